@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import pii
+from ..session import cut, table
+from . import mixing, packing, percentiles, pii
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +18,32 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "cases"), "case_id", "customer_message")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted)}
+def p6_latency_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stage and day, and over all days (run_day null), from merged sketches of the days."""
+    cells = table(spark, sf_dir, "stage_cells")
+    days = percentiles.sketches(cells, ["stage_name", "run_day"], F.col("metadata.latency_ms"), "cell_id")
+    days = cut(days)
+    whole = percentiles.merge(days, ["stage_name"]).withColumn("run_day", F.lit(None).cast("date"))
+    return percentiles.percentiles(days.unionByName(whole))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = table(spark, sf_dir, "containers")
+    return packing.report(packing.pack(table(spark, sf_dir, "documents"), containers), containers)
+
+
+def p9_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.report(mixing.select(table(spark, sf_dir, "documents"), targets), targets)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p6_latency_by_day, p8_packed, p8_fill, p9_selected, p9_shares)}
 ORACLE: dict[str, str] = {}
