@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import mixing, packing, percentiles, pii, truncation
+from . import mixing, packing, pairs, percentiles, pii, truncation
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "cases"), "case_id", "customer_message")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective_pairs(*(table(spark, sf_dir, n) for n in ("garage_fixture", "small_responses", "large_responses")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut_off = truncation.cut_runs(table(spark, sf_dir, "agent_runs"), "run_id", "harness", "harness_result.final_output")
     return cut_off.select(F.col("key").alias("run_id")).distinct()
@@ -55,5 +59,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.select(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p4_found, p4_rates, p6_latency_by_day, p8_packed, p8_fill, p9_selected, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p4_rates, p6_latency_by_day, p8_packed, p8_fill, p9_selected, p9_shares)}
 ORACLE: dict[str, str] = {}
