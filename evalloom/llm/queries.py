@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import mixing, packing, pairs, percentiles, pii, truncation
+from . import mixing, packing, pairs, percentiles, pii, subjects, truncation
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,5 +59,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.select(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p4_rates, p6_latency_by_day, p8_packed, p8_fill, p9_selected, p9_shares)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.classify(*(table(spark, sf_dir, n) for n in ("documents", "subject_examples", "subjects"))).distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents are about each subject."""
+    return subjects.composition(p10_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p4_rates, p6_latency_by_day, p8_packed, p8_fill, p9_selected, p9_shares, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
