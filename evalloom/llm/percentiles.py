@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Sketch size; the rank error of a single percentile is about 2.3 / K ** 0.9 of the rows with 99 % confidence.
 K = 1000
-PERCENTILES = (0.5, 0.9, 0.95, 0.99)
+PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 
 def rank_error(k: int = K) -> float:
@@ -45,9 +45,10 @@ def merge(parts: DataFrame, keys: list[str], k: int = K) -> DataFrame:
     return parts.groupBy(*keys).agg(F.kll_merge_agg_bigint("sketch", F.lit(k)).alias("sketch"), F.sum("n").alias("n"))
 
 
-def percentiles(parts: DataFrame, ranks: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """The sketch replaced by one column per rank, `p50`, `p99_9` and so on."""
-    name = lambda r: "p" + f"{100 * r:g}".replace(".", "_")
-    return parts.select(
-        *[c for c in parts.columns if c != "sketch"], *[F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(r))).alias(name(r)) for r in ranks]
-    )
+def percentiles(parts: DataFrame, ranks: tuple[float, ...] = PERCENTILES, k: int = K) -> DataFrame:
+    """A row per group and rank: the value there, and the values between which the exact one lies with 99 % confidence."""
+    bound = rank_error(k)
+    at = lambda r: F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(min(1.0, max(0.0, r)))))
+    answers = F.array(*[F.struct(F.lit(float(r)).alias("rank"), at(r - bound).alias("least"), at(r).alias("value"), at(r + bound).alias("most")) for r in ranks])
+    kept = [c for c in parts.columns if c != "sketch"]
+    return parts.select(*kept, F.explode(answers).alias("a")).select(*kept, "a.rank", "a.least", "a.value", "a.most")
