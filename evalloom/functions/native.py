@@ -57,7 +57,7 @@ def final_rating(target_model: Any, model_a_seq: Any, model_b_seq: Any, outcome_
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
-def fenced_blocks(content: str | None, kind: str | None = None) -> list:
+def fenced_blocks(content: str | None, fence_type: str | None = None) -> list:
     """Closed code blocks of a text: their contents if a kind is asked for, else [kind, content] pairs."""
     if not content:
         return []
@@ -72,9 +72,9 @@ def fenced_blocks(content: str | None, kind: str | None = None) -> list:
             opened, body = (mark[3:].split() or [""])[0], []
         else:
             text = "\n".join(body).strip()
-            if kind is None:
+            if fence_type is None:
                 out.append([opened, text])
-            elif kind.strip().lower() in ("", opened.lower()):
+            elif fence_type.strip().lower() in ("", opened.lower()):
                 out.append(text)
             opened, body = None, []
     return out
