@@ -179,7 +179,10 @@ def concat(*cells: Cell) -> Cell:
 
 
 def aggregate(fn: Callable[..., Column], *cells: Cell) -> Cell:
-    """fn over the group's values, errored ones being null; the errors of the whole group, flattened."""
+    """fn over the group's values, errored ones being null; the errors of the whole group, flattened.
+
+    Stored, the cell has no value where the group has errors; err_or() around the argument takes them out first.
+    """
     value = fn(*[c.plain() for c in cells])
     errors = merged(*[c.errors for c in cells])
     if errors is None:
