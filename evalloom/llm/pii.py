@@ -545,18 +545,18 @@ def redact(cases: DataFrame, key: str, column: str) -> DataFrame:
     spans = found.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("spans"))
 
     @F.pandas_udf("string")
-    def replace(text: pd.Series, spans: pd.Series) -> pd.Series:
+    def replace(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
         out = []
-        for t, found in zip(text, spans):
-            if t is not None and found is not None:
+        for t, begins, stops, names in zip(text, starts, ends, kinds):
+            if t is not None and begins is not None:
                 parts, at = [], 0
-                for m in found:
-                    if m["s"] >= at:
-                        parts += [t[at : m["s"]], f"<{m['kind'].upper()}>"]
-                        at = m["e"]
+                for s, e, kind in zip(begins, stops, names):
+                    if s >= at:
+                        parts += [t[at:s], f"<{kind.upper()}>"]
+                        at = e
                 t = "".join([*parts, t[at:]])
             out.append(t)
         return pd.Series(out, dtype="object")
 
     joined = rows.join(spans, rows[column] == spans["text"], "left")
-    return joined.select(key, replace(F.col(column), F.col("spans")).alias(column))
+    return joined.select(key, replace(F.col(column), F.col("spans.s"), F.col("spans.e"), F.col("spans.kind")).alias(column))

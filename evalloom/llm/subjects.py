@@ -67,6 +67,7 @@ def sentences(text: str) -> list[str]:
         if code or _HEADING.match(line):
             continue
         line = _SETTING.sub(" ", _ASIDE.sub(" ", _COMPANY.sub(" ", _PREFIX.sub("", " ".join(line.split())))))
+        line = " ".join(line.split())
         out += [s for s in _SPLIT.split(line) if _WORD.search(s)]
     return out
 

@@ -104,9 +104,9 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append(("sure", "", text, False, 1))
             elif last:
                 rows.append(("last", _key(last), text, dots, 1))
-                # A last segment with its stop, or dots, stands whole; its beginnings are beginnings of it.
-                if dots or last[-1] in ".!?":
-                    k = _key([*last, "..."] if dots else last)
+                # A last segment with its stop stands whole; its beginnings are beginnings of it.
+                if not dots and last[-1] in ".!?":
+                    k = _key(last)
                     counts[k] = counts.get(k, 0) + 1
         rows += [("whole", k, None, False, n) for k, n in counts.items()]
         yield pd.DataFrame(rows, columns=["kind", "tokens", "text", "dots", "n"])
@@ -140,7 +140,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     whole = pieces.where(F.col("kind") == "whole").groupBy("tokens").agg(F.sum("n").alias("n"))
     probes = pieces.where(F.col("kind") == "last").groupBy("tokens", "dots").agg(F.count(F.lit(1)).alias("n_last"))
     # An ending that recurs without a stop shows how segments begin, but not that it stands whole itself.
-    recurs = probes.where((F.col("n_last") >= RECURS) & ~F.col("dots")).select("tokens", F.lit(False).alias("stands"))
+    shape = F.when(F.col("dots"), F.concat("tokens", F.lit("\x1f..."))).otherwise(F.col("tokens")).alias("tokens")
+    recurs = probes.where(F.col("n_last") >= RECURS).select(shape, F.lit(False).alias("stands"))
     sources = whole.select("tokens", F.lit(True).alias("stands")).unionAll(recurs)
     nodes = sources.mapInPandas(_nodes, "prefix string, next string").distinct()
     nodes = nodes.select(F.sha2("prefix", 256).alias("h"), "next")
@@ -160,7 +161,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
         .agg(
             F.max((F.col("next") != END) & ~F.col("next").isin("...") & ~F.col("stop")).alias("extends"),
             F.max(F.col("next") == END).alias("stands"),
-            F.max(F.col("next").isin(".", "!", "?", "...")).alias("stops"),
+            F.max(F.col("next").isin(".", "!", "?")).alias("stops"),
             F.max(~F.col("next").isin(".", "!", "?", "...", END) & ~F.col("stop")).alias("extends_far"),
         )
     )
