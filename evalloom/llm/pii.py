@@ -291,7 +291,7 @@ def _edge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [edge for text in batch.text for edge in graph_edges(text)]
         frame = pd.DataFrame(rows, columns=["graph", "pattern", "instance", "seed"], dtype="object")
         frame = frame.groupby(["graph", "pattern", "instance", "seed"], dropna=False).size().reset_index(name="n")
-        frame["seed"] = frame["seed"].where(frame["seed"].notna(), None)
+        frame["seed"] = pd.Series([s if isinstance(s, str) else None for s in frame["seed"]], dtype="object")
         yield frame
 
 
