@@ -153,15 +153,12 @@ class Model:
                 slow_t[unique] += (grad * grad).mean(axis=1)
                 self.table[unique] -= rate * grad / np.sqrt(slow_t[unique])[:, None]
 
-    def pack(self) -> bytes:
-        return np.concatenate([x.ravel() for x in (self.table, self.weights, self.bias)]).astype(np.float32).tobytes()
-
-    def unpacked(self, data: bytes) -> list[np.ndarray]:
-        flat, out = np.frombuffer(data, np.float32), []
-        for x in (self.table, self.weights, self.bias):
-            out.append(flat[: x.size].reshape(x.shape))
-            flat = flat[x.size :]
-        return out
+    def change_since(self, before: tuple[np.ndarray, ...]) -> dict[str, bytes]:
+        """What training changed: the rows of the table that moved, with half precision, and the output layer."""
+        moved = np.flatnonzero(np.any(self.table != before[0], axis=1)).astype(np.int32)
+        rows = (self.table[moved] - before[0][moved]).astype(np.float16)
+        layer = np.concatenate([(self.weights - before[1]).ravel(), self.bias - before[2]]).astype(np.float32)
+        return {"moved": moved.tobytes(), "rows": rows.tobytes(), "layer": layer.tobytes()}
 
 
 def fit(rows: DataFrame, model: Model, rounds: int, passes: int = PASSES, parts: int = TRAIN_PARTS) -> Model:
@@ -180,23 +177,23 @@ def fit(rows: DataFrame, model: Model, rounds: int, passes: int = PASSES, parts:
             own = Model(*[x.copy() for x in before])
             ids, starts = Features(len(own.table)).rows(pdf.text.tolist())
             own.train(ids, starts, np.stack(pdf.target.to_numpy()).astype(np.float32), passes, seed=r)
-            change = Model(*[a - b for a, b in zip((own.table, own.weights, own.bias), before)])
-            yield pd.DataFrame({"n": [len(pdf)], "change": [change.pack()]})
+            yield pd.DataFrame([{"n": len(pdf), **own.change_since(before)}])
 
-        changes = rows.mapInPandas(steps, "n bigint, change binary").collect()
-        total = sum(c["n"] for c in changes)
+        changes = rows.mapInPandas(steps, "n bigint, moved binary, rows binary, layer binary").toLocalIterator()
+        # A feature that few partitions saw moves as those moved it, not less for the others' silence.
+        table, touched, total = np.zeros_like(model.table), np.zeros(len(model.table), np.float32), 0
+        layer = np.zeros(model.weights.size + model.bias.size, np.float32)
+        for c in changes:
+            moved = np.frombuffer(c["moved"], np.int32)
+            table[moved] += np.frombuffer(c["rows"], np.float16).reshape(len(moved), -1).astype(np.float32) * c["n"]
+            touched[moved] += c["n"]
+            layer += np.frombuffer(c["layer"], np.float32) * c["n"]
+            total += c["n"]
         if not total:
             break
-        touched = np.zeros(len(model.table), np.float32)
-        table = np.zeros_like(model.table)
-        for c in changes:
-            t, w, b = model.unpacked(bytes(c["change"]))
-            moved = np.any(t != 0, axis=1)
-            # A feature that few partitions saw moves as those moved it, not less for the others' silence.
-            touched += moved * c["n"]
-            table += t * c["n"]
-            model.weights += w * (c["n"] / total)
-            model.bias += b * (c["n"] / total)
+        layer /= total
+        model.weights += layer[: model.weights.size].reshape(model.weights.shape)
+        model.bias += layer[model.weights.size :]
         model.table += table / np.maximum(touched, 1)[:, None]
         sent.unpersist()
     return model
