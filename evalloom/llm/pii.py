@@ -480,7 +480,11 @@ def name_candidates(text: str, lexicon: dict[str, tuple[float, float]]) -> list[
         left, right, both = context(words, a, b)
         # At the start of a sentence a capital and what stands before it say nothing.
         starts = keep_case and (a == 0 or words[a - 1].text in ".!?")
-        out.append((words[a].start, words[b].end, lex, len(carriers), [right] if starts else [left, right, both]))
+        patterns = [right] if starts else [left, right, both]
+        # What follows a name and a comma is mostly where the person works: only its own words can make it a name.
+        if a > 1 and words[a - 1].text == "," and score(a - 2) >= WORD_FLOOR:
+            patterns = []
+        out.append((words[a].start, words[b].end, lex, len(carriers), patterns))
     return out
 
 
@@ -504,7 +508,7 @@ def find(texts: DataFrame) -> DataFrame:
     sure = found.where(F.col("graph").isin("email", "address")).select("tid", "kind", "s", "e")
     open_ = found.where(F.col("graph").isin("number", "name"))
     scored = (
-        open_.select("tid", "graph", "s", "e", "instance", "cue", "lex", "n_words", F.explode("patterns").alias("pattern"))
+        open_.select("tid", "graph", "s", "e", "instance", "cue", "lex", "n_words", F.explode_outer("patterns").alias("pattern"))
         .join(patterns.where((F.col("mass") >= SUPPORT) & ((F.col("graph") != "name") | (F.col("breadth") >= SUPPORT + 1))), ["graph", "pattern"], "left")
         .groupBy("tid", "graph", "s", "e", "instance", "cue", "lex", "n_words")
         .agg(*[F.avg(k).alias(f"p_{k}") for k in KINDS], F.max("name").alias("best_name"), F.max(F.when(~F.col("pattern").startswith("r:"), F.col("name"))).alias("left_name"))
