@@ -2,8 +2,8 @@
 
 A block of records takes a columnar path: one Arrow CSV parse of the whole block plus vectorised checks that
 the block holds nothing Arrow reads more leniently than the format allows. A block that fails is halved, and
-its halves take the same path again, until single bad records are left; only those meet the strict scanner
-that names the reason. The work is one pass over the rows in whatever partitions they have, so neither a hot
+its halves take the same path again, until the bad records are isolated; only they and their few neighbours
+meet the strict scanner that names the reason. The work is one pass over the rows in whatever partitions they have, so neither a hot
 file nor a hot key matters; only the header lookup moves data.
 
 Nulls: a null or blank value is missing, not bad; a null or empty line is no record.
@@ -11,7 +11,6 @@ Nulls: a null or blank value is missing, not bad; a null or empty line is no rec
 
 from __future__ import annotations
 
-import io
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,8 +26,9 @@ from .strict_json import fast_value, is_object
 #: One finite decimal number in ASCII digits, spaces around it allowed.
 NUMBER = r"^ *[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)? *$"
 _NUMBER = re.compile(NUMBER.replace("$", r"\Z"))
-#: Least and most rows of a block; blocks double while they pass and shrink where bad rows are dense.
-LEAST_BLOCK, MOST_BLOCK = 16, 8192
+#: Failing blocks are halved down to LEAST_BLOCK records, which are scanned one by one. Blocks double while they
+#: pass, up to MOST_BLOCK, and shrink where bad rows are dense.
+LEAST_BLOCK, MOST_BLOCK = 8, 8192
 
 
 def good_number(text: str) -> bool:
@@ -110,23 +110,23 @@ def _value_reason(score: str | None, payload: str | None) -> str | None:
 
 
 def bisect(n: int, bulk: Callable[[int, int], bool], single: Callable[[int], None]) -> None:
-    """Blocks of rows 0..n that bulk() accepts are done; others are halved down to single rows."""
+    """Blocks of rows 0..n that bulk() accepts are done; others are halved until few are left, each given to single()."""
     at, size = 0, 512
     while at < n:
         end = min(at + size, n)
         stack, failed = [(at, end)], 0
         while stack:
             lo, hi = stack.pop()
-            if bulk(lo, hi):
-                continue
-            failed += 1
-            if hi - lo == 1:
-                single(lo)
-            else:
+            if hi - lo <= LEAST_BLOCK:
+                # A bulk parse costs as much as the strict scan of so few records.
+                for i in range(lo, hi):
+                    single(i)
+            elif not bulk(lo, hi):
+                failed += 1
                 mid = (lo + hi) // 2
                 stack += [(mid, hi), (lo, mid)]
         at = end
-        size = min(size * 2, MOST_BLOCK) if not failed else max(LEAST_BLOCK, size // 2 if failed > 4 else size)
+        size = min(size * 2, MOST_BLOCK) if not failed else max(4 * LEAST_BLOCK, size // 2 if failed > 4 else size)
 
 
 def _text(column) -> pa.Array:
@@ -174,9 +174,11 @@ def _parse_block(lines: list[str], delimiter: str, width: int) -> pa.Table | Non
     """The block as a table of text columns, or None if any record of it may be bad."""
     names = [f"f{i}" for i in range(width)]
     try:
+        data = "\n".join([*lines, ""]).encode()
         table = pacsv.read_csv(
-            io.BytesIO("\n".join([*lines, ""]).encode("utf-8", "surrogatepass")),
-            pacsv.ReadOptions(column_names=names, use_threads=False, block_size=1 << 30),
+            pa.BufferReader(data),
+            # One block: a record that holds line breaks may not be cut.
+            pacsv.ReadOptions(column_names=names, use_threads=False, block_size=len(data) + 1),
             pacsv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
             pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False),
         )
