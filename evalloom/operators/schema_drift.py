@@ -207,8 +207,8 @@ def edit_script(old: dict, new: dict, support: dict[tuple, tuple[int, int]], at:
 def file_schemas(sidecars: DataFrame) -> DataFrame:
     """(stage_table, file_no, tree, prev_no, prev_tree): each file with a readable schema and the one before it."""
     tree = F.pandas_udf(lambda w, v: pd.Series([value_tree(x, y) for x, y in zip(w, v)], dtype="object"), "string")
-    # Two columns are read: equal pairs of schemas parse once.
-    pairs = sidecars.groupBy("stage_table", "file_no", "wrapped_schema", "value_schema").agg(F.max("sidecar_id").alias("sidecar_id"))
+    # Two columns are read: equal pairs of schemas parse once. A sidecar without table or number describes no file.
+    pairs = sidecars.where(F.col("stage_table").isNotNull() & F.col("file_no").isNotNull()).groupBy("stage_table", "file_no", "wrapped_schema", "value_schema").agg(F.max("sidecar_id").alias("sidecar_id"))
     files = pairs.select("stage_table", "file_no", "sidecar_id", tree("wrapped_schema", "value_schema").alias("tree"))
     files = files.where(F.col("tree").isNotNull()).groupBy("stage_table", "file_no").agg(F.max_by("tree", "sidecar_id").alias("tree"))
     w = Window.partitionBy("stage_table").orderBy("file_no")
@@ -437,6 +437,7 @@ def consistent_table(sidecars: DataFrame, records: DataFrame) -> DataFrame:
 
     record is JSON with the consistent names; null where a record isn't JSON or its file has no schema.
     """
+    records = records.select("record_id", "stage_table", "file_no", "line_no", "case_id", "record_json")
     joined = records.join(projections(sidecars, records), ["stage_table", "file_no"], "left")
     return joined.select("record_id", "stage_table", "file_no", "line_no", "case_id", "record_json", "projection").mapInPandas(
         _project, "record_id bigint, stage_table string, file_no int, line_no int, case_id string, record string"

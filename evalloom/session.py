@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +63,3 @@ def local_session(app: str = "evalloom", cpus: int | None = None, **conf: str) -
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def latest(df: DataFrame, keys: list[str], order: str = "arrived_at") -> DataFrame:
-    """One row per key, the one that arrived first; redelivered rows differ at most in arrival.
-
-    max_by over a struct combines on the map side, so a hot key costs one row per task, unlike a window.
-    """
-    rest = [c for c in df.columns if c not in keys]
-    packed = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(order)).alias("__row")
-    return df.groupBy(*keys).agg(packed).select(*keys, *[F.col("__row").getField(c).alias(c) for c in rest])

@@ -126,6 +126,14 @@ def test_drift(spark):
     assert table[1]["B"] == "u" and table[1]["t.x2"] == 5 and table[1]["gone"] == "v" and table[3]["t.x2"] == 5 and table[4] is None
 
 
+def test_drift_with_nulls_and_clashing_names(spark):
+    text = json.dumps(schema({"a": "string"}))
+    s = spark.createDataFrame([(1, "t", 1, None, text, "x"), (2, None, 1, None, text, "x"), (3, "t", None, None, text, "x")], SIDE + ", projection string")
+    r = spark.createDataFrame([(1, "t", 1, None, None, '{"a": "b"}', "x"), (2, None, None, 1, "c", None, "x")], RECORD + ", projection string")
+    assert schema_drift.field_changes(s, r).collect() == []
+    assert {(x.record_id, x.record) for x in schema_drift.consistent_table(s, r).collect()} == {(1, '{"a": "b"}'), (2, None)}
+
+
 def test_drift_of_nothing(spark):
     assert schema_drift.field_changes(spark.createDataFrame([], SIDE), spark.createDataFrame([], RECORD)).collect() == []
 
