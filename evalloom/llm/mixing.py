@@ -10,7 +10,7 @@ The flows are then made out in texts: a seeded hash lines up the units of a patt
 stretch of the line, going round it as often as texts repeat. Places on the line are prefix sums over hash
 buckets and then inside the small buckets, so no pattern is ever sorted in one task.
 
-Null texts, texts without tokens, and sources without a target take no part.
+Null texts, texts without tokens, and sources without a target take no part. A null cap is one use.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def select(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     found = cut(units(documents, targets, vocabulary))
     grouped = found.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
-    goals = targets.where(F.col("target_share") > 0).select(source_name("source"), "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()
+    goals = targets.where((F.col("target_share") > 0) & F.col("source").isNotNull()).select(source_name("source"), "target_share", "max_repeats").limit(MAX_SOURCES + 1).collect()
     if len(grouped) > MAX_PATTERNS or len(goals) > MAX_SOURCES:
         raise ValueError("more membership patterns or sources than the flow graph may have")
     sums: dict[tuple, int] = {tuple(r["pattern"]): r["tokens"] for r in grouped}

@@ -37,7 +37,7 @@ def sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def fill(items: list[tuple[int, str, int]], capacity: int, shares: dict[str, float], credit: dict[str, float]):
     """Yield (container, position, doc, piece, first_token, tokens) for items (doc, source, tokens)."""
-    queues: dict[str, list[tuple[int, int, int, int]]] = {}
+    queues: dict[str, list[tuple]] = {}
     window = 0
     for doc, source, tokens in items:
         piece = first = 0
@@ -49,7 +49,7 @@ def fill(items: list[tuple[int, str, int]], capacity: int, shares: dict[str, flo
             window, piece, first = window + 1, piece + 1, first + capacity
         queues.setdefault(source, []).append((tokens - first, doc, piece, first))
     for queue in queues.values():
-        queue.sort()
+        queue.sort(key=lambda x: x[0])
     while queues:
         for s, share in shares.items():
             credit[s] = credit.get(s, 0.0) + share * capacity
@@ -58,7 +58,7 @@ def fill(items: list[tuple[int, str, int]], capacity: int, shares: dict[str, flo
             # Most credit first; a source nothing of which fits lets the next one try.
             for source in sorted(queues, key=lambda s: (-credit.get(s, 0.0), s)):
                 queue = queues[source]
-                at = bisect_right(queue, (left, float("inf"))) - 1
+                at = bisect_right(queue, left, key=lambda x: x[0]) - 1
                 if at >= 0:
                     break
             else:
@@ -73,6 +73,8 @@ def fill(items: list[tuple[int, str, int]], capacity: int, shares: dict[str, flo
 
 
 PACKED = "container_name string, shard int, container_no bigint, position int, doc_id bigint, piece int, first_token int, tokens int"
+#: In the groups ids are text: pandas would make numbers with nulls among them floating.
+_GROUP = PACKED.replace("doc_id bigint", "doc_id string")
 
 
 def _pack_shard(capacities: dict[str, int]):
@@ -82,7 +84,7 @@ def _pack_shard(capacities: dict[str, int]):
         per_source = pdf.groupby("source")[["share_tokens", "credit"]].first()
         shares = {s: t / total for s, t in per_source.share_tokens.items()}
         items = list(zip(pdf.doc_id.tolist(), pdf.source.tolist(), pdf.tokens.tolist()))
-        items.sort(key=lambda x: (x[2], x[0]))
+        items.sort(key=lambda x: (x[2], x[0] or ""))
         rows = [(name, shard, *r) for r in fill(items, capacities[name], shares, dict(per_source.credit))]
         return pd.DataFrame(rows, columns=["container_name", "shard", "container_no", "position", "doc_id", "piece", "first_token", "tokens"])
 
@@ -105,7 +107,7 @@ def pack(documents: DataFrame, containers: DataFrame, shares: DataFrame | None =
     total = sized.agg(F.sum("tokens").cast("bigint")).first()[0] or 0
     shard_tokens = max(SHARD_TOKENS, SHARD_CONTAINERS * max(capacities.values()))
     shards = max(1, round(total / shard_tokens))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("int"))
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tokens", F.lit(7)), F.lit(shards)).cast("int"))
     by_shard = sized.groupBy("shard", "source").agg(F.sum("tokens").cast("double").alias("shard_tokens"))
     by_source = by_shard.groupBy("source").agg(F.sum("shard_tokens").alias("share_tokens"))
     if shares is not None:
@@ -122,8 +124,9 @@ def pack(documents: DataFrame, containers: DataFrame, shares: DataFrame | None =
         .select("shard", "source", "share_tokens", "credit")
     )
     each = F.explode(F.array(*[F.lit(n) for n in capacities])).alias("container_name")
-    placed = sized.join(credits, ["shard", "source"]).select("doc_id", "source", "tokens", "shard", "share_tokens", "credit", each)
-    return placed.groupBy("container_name", "shard").applyInPandas(_pack_shard(capacities), PACKED)
+    placed = sized.join(credits, ["shard", "source"]).select(F.col("doc_id").cast("string").alias("doc_id"), "source", "tokens", "shard", "share_tokens", "credit", each)
+    packed = placed.groupBy("container_name", "shard").applyInPandas(_pack_shard(capacities), _GROUP)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def report(packed: DataFrame, containers: DataFrame) -> DataFrame:

@@ -290,7 +290,9 @@ def classify(documents: DataFrame, examples: DataFrame, subjects: DataFrame) ->
                     rows += [(doc, names[k]) for k in document_subjects(own.probabilities(*features.rows(parts)))]
             yield pd.DataFrame(rows, columns=["doc_id", "subject"])
 
-    return spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text")).mapInPandas(run, "doc_id bigint, subject string")
+    # Ids travel as text: pandas would make numbers with nulls among them floating.
+    texts = spread(documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return texts.mapInPandas(run, "doc_id string, subject string").select(F.col("doc_id").cast("bigint").alias("doc_id"), "subject")
 
 
 def composition(found: DataFrame, documents: DataFrame) -> DataFrame:

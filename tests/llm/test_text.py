@@ -126,6 +126,17 @@ def test_packing_places_every_token_once(spark):
     assert packing.pack(docs.limit(0), boxes).collect() == [] and packing.pack(docs, boxes.limit(0)).collect() == []
 
 
+def test_nulls_ties_and_clashing_names(spark):
+    rows = [(i if i % 3 else None, "same text" if i % 2 else f"text {i}", "a" if i % 5 else None, i, "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tokens int, shard string")
+    boxes = spark.createDataFrame([("b", 16, 1)], "container_name string, capacity_tokens int, tokens int")
+    packed = packing.pack(docs, boxes).toPandas()
+    assert packed.tokens.sum() == packing.sizes(docs).agg(F.sum("tokens")).first()[0] and packed.doc_id.isna().sum() == 14
+    assert packed.groupby(["shard", "container_no"]).tokens.sum().max() <= 16
+    targets = spark.createDataFrame([("a", 1.0, None), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.select(docs, targets).agg(F.max("uses")).first()[0] == 1
+
+
 def test_windows_are_mixed():
     items = [(i, "ab"[i % 4 == 0], 10) for i in range(4000)]
     rows = list(packing.fill(items, 400, {"b": 0.25, "a": 0.75}, {}))
@@ -186,7 +197,7 @@ def test_held_out_accuracy(spark):
     sentence = lambda s: f"The {rng.choice(words[s])} was near the {rng.choice(words[s])} and the {rng.choice(words[s])}."
     examples = spark.createDataFrame([(s, " ".join(sentence(s) for _ in range(2))) for s in words for _ in range(25)], "subject string, text string")
     truth = [("sport", "food")[i % 2] for i in range(60)]
-    docs = [(i, " ".join([*[sentence(s) for _ in range(3)], "The reply was polite."])) for i, s in enumerate(truth)] + [(900, None), (901, " "), (902, "x " * 5000)]
+    docs = [(i, " ".join([*[sentence(s) for _ in range(3)], "The reply was polite."])) for i, s in enumerate(truth)] + [(900, None), (901, " "), (902, "x " * 5000), (None, "x.")]
     found = subjects.classify(
         spark.createDataFrame(docs, "doc_id bigint, text string"), examples, spark.createDataFrame([("sport",), ("food",)], "subject string")
     ).collect()
