@@ -21,7 +21,7 @@ from ..plans.graph import Step
 from ..publish import reports
 from ..script import ast as N
 from ..script import statements as S
-from ..script.lower import Context, Macro, check_query, limit_rows, lower_query
+from ..script.lower import Context, Macro, check_query, limit_rows, lower_query, output_name
 from ..script.surface import ScriptError
 from ..sources import readers, sinks
 from ..streaming import stages as streams
@@ -82,8 +82,11 @@ def validate(text: str, registry: Registry | None = None, macros: dict[str, str]
             if strict:
                 check_query(s.query)
             _check_calls(s.query, registry, statements)
+            _check_table_options(s, statements)
         if isinstance(s, S.Publish) and s.target == "annotation":
             reports.annotation_settings(s.options)
+        if isinstance(s, S.Publish) and str(s.options.get("COMPONENT", "")).upper() == "METRIC":
+            _check_metric_source(s, statements)
     if not any(isinstance(s, (S.Load, S.CreateTable)) for s in statements):
         raise ScriptError("a recipe makes at least one table")
     return statements, graph.steps(statements)
@@ -107,6 +110,35 @@ def _check_calls(q: N.Query, registry: Registry, statements: list[S.Statement])
             raise ScriptError(f"unknown function {node.name}")
 
 
+#: How a column is to be shown: a fixed list.
+COLUMN_SEMANTICS = ("text", "markdown", "trace", "conversation", "code", "json", "directory", "image")
+
+
+def _check_table_options(s: S.CreateTable, statements: list[S.Statement]) -> None:
+    """POOL names a declared executor pool; COLUMN_SEMANTICS gives known kinds."""
+    pools = {d.name: str(d.options.get("KIND", "")).lower() for d in statements if isinstance(d, S.DeclareInput) and d.kind == "POOL"}
+    pool = s.options.get("POOL")
+    if pool is not None and pools.get(str(pool)) != "executor":
+        raise ScriptError(f"table {s.name}: POOL must name a declared executor pool")
+    for column, shown in (s.options.get("COLUMN_SEMANTICS") or {}).items():
+        kind = shown.get("type") if isinstance(shown, dict) else shown
+        if kind not in COLUMN_SEMANTICS:
+            raise ScriptError(f"table {s.name}: {column} can't be shown as {kind}")
+
+
+def _check_metric_source(s: S.Publish, statements: list[S.Statement]) -> None:
+    """A METRIC's table, where its columns are written out, has metric and value."""
+    made = next((t for t in statements if isinstance(t, S.CreateTable) and t.name == s.name), None)
+    if made is None:
+        return
+    q = made.query
+    while q.operator:
+        q = q.left
+    names = {output_name(i) for i in q.items}
+    if not any(isinstance(i.expr, N.Star) for i in q.items) and not {"metric", "value"} <= names:
+        raise ScriptError(f"{s.name} needs metric and value to be published as METRIC")
+
+
 def input_cells(statements: list[S.Statement], settings: Settings, context: Context) -> dict[str, Any]:
     """Declared inputs as cells of the context; overrides win over defaults. The plain values, for fingerprints."""
     declared = [s for s in statements if isinstance(s, S.DeclareInput) and (s.environment is None or s.environment == settings.environment)]

@@ -142,6 +142,10 @@ def test_annotation_results(spark, data):
         ("LOAD t FROM 'x.csv'; PUBLISH t TO REPORTS WITH (COMPONENT = CHART)", "CHART_TYPE"),
         ("LOAD t FROM 'x.csv'; PUBLISH t TO ANNOTATION QUEUE 'q'", "TEMPLATE"),
         ("DECLARE INPUT a INT DEFAULT 1", "at least one table"),
+        ("LOAD t FROM 'x.csv'; CREATE BATCH TABLE a OPTIONS (POOL = p) SELECT x FROM t", "executor pool"),
+        ("LOAD t FROM 'x.csv'; CREATE BATCH TABLE a OPTIONS (COLUMN_SEMANTICS = {x: 'video'}) SELECT x FROM t", "can't be shown"),
+        ("LOAD t FROM 'x.csv'; CREATE BATCH TABLE a SELECT x AS metric FROM t; PUBLISH a TO REPORTS WITH (COMPONENT = METRIC)", "metric and value"),
+        ("LOAD t FROM 'x.csv'; CREATE BATCH TABLE a SELECT http.get(url = x, limiter = n) FROM t", "declared RATELIMIT"),
     ],
 )
 def test_refused(recipe, says):
