@@ -179,7 +179,7 @@ def fit(rows: DataFrame, model: Model, rounds: int, passes: int = PASSES, parts:
             own.train(ids, starts, np.stack(pdf.target.to_numpy()).astype(np.float32), passes, seed=r)
             yield pd.DataFrame([{"n": len(pdf), **own.change_since(before)}])
 
-        changes = rows.mapInPandas(steps, "n bigint, moved binary, rows binary, layer binary").toLocalIterator()
+        changes = rows.mapInPandas(steps, "n bigint, moved binary, rows binary, layer binary").collect()
         # A feature that few partitions saw moves as those moved it, not less for the others' silence.
         table, touched, total = np.zeros_like(model.table), np.zeros(len(model.table), np.float32), 0
         layer = np.zeros(model.weights.size + model.bias.size, np.float32)
