@@ -3,18 +3,25 @@
 Every object that is an element of a list becomes a node. Its label is the list of ordinal path steps from
 the column to it, one step per enclosing node, so that the parent's label is the label without its last step
 and ancestors at any distance are truncations. Nodes of one schema path (the path without ordinals) form one
-flat table; scalars and plain objects between two nodes are columns of the nearer one.
+flat table. All that stands between two nodes belongs to the nearer one above: its attributes hold the scalars
+under their dotted path (`arguments.limit`), lists of scalars, plain text and empty lists and objects whole, and
+the scalars of a list that also holds nodes under their ordinal (`content[2]`). Keys that hold a point, bracket or
+backquote are quoted by backquotes, so that no two values share a path. What stands above all nodes of a column
+(plain text in its list) forms one row that is named like the column, unless it is all null or empty.
 
 The walk runs once per record inside Arrow batches with its own stack, so depth is bounded by memory only;
 nothing is grouped, and parent links need no join.
 
 Nulls: null elements and plain text keep their ordinal but give no node; text that isn't JSON is plain text.
+Numbers that JSON can't write (NaN, Infinity, overflowing ones) stay text.
 Duplicate node paths of redelivered records count once.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,12 +50,19 @@ class _Json(str):
     """Text that stands for the JSON value in it."""
 
 
+def _float(text: str) -> float | str:
+    return value if math.isfinite(value := float(text)) else text
+
+
+_DECODER = json.JSONDecoder(parse_float=_float, parse_constant=str)
+
+
 def _decode(text: str):
     """The value that JSON text holds, however often it is wrapped in text; the text itself if it isn't JSON."""
     value = text
     while isinstance(value, str):
         try:
-            inner = json.loads(value)
+            inner = _DECODER.decode(value)
         except (ValueError, RecursionError):
             return value
         if isinstance(inner, str) and inner == value:
@@ -68,29 +82,66 @@ def _typed(value, json_fields: frozenset[str], name: str):
     return value
 
 
-def walk(value, column: str, spec: NestedSpec) -> Iterator[tuple[list[str], list[str], str]]:
-    """(label, schema path steps, own fields as JSON) of every node of one column value, in document order."""
-    short = column.rpartition(".")[2]
-    # (value, key it stands under, label so far, path since the last node, is it a list element)
-    stack: list[tuple] = [(_typed(value, spec.json_fields, short), short, (), column, False)]
+def _quoted(key: str) -> str:
+    """A key as a step of an attribute's path."""
+    return "`" + key.replace("`", "``") + "`" if not key or any(c in key for c in ".[]`") else key
+
+
+def _between(start: list[tuple], label: tuple[str, ...], spec: NestedSpec) -> tuple[dict, list[tuple]]:
+    """What stands below a node down to the next ones: its leaves by attribute path, and (value, label) of those nodes."""
+    leaves, nodes = {}, []
+    # (value, key it stands under, path since the node, attribute path, is it a list element)
+    stack = start[::-1]
     while stack:
-        value, key, label, step, element = stack.pop()
-        if isinstance(value, _Json) or isinstance(value, str) and key in spec.json_keys:
-            value = _decode(str(value))
+        value, key, step, name, element = stack.pop()
+        value = _opened(value, key, spec)
         scope = spec.scoped_list_keys.get(key)
         stands = key in spec.list_keys or scope is not None and scope in "".join((*label, step))
         if isinstance(value, dict) and not element and stands:
             value = [value]
         if isinstance(value, list):
-            stack += [(v, key, label, f"{step}[{i}]", True) for i, v in reversed(list(enumerate(value)))]
+            value = [_opened(v, key, spec) for v in value]
+            if any(isinstance(v, (dict, list)) for v in value):
+                stack += [(v, key, f"{step}[{i}]", f"{name}[{i}]", True) for i, v in reversed(list(enumerate(value)))]
+                continue
+        elif isinstance(value, dict) and element:
+            nodes.append((value, (*label, step)))
             continue
-        if not isinstance(value, dict):
+        elif isinstance(value, dict) and value:
+            stack += [(v, str(k), f"{step}.{k}", f"{name}.{_quoted(str(k))}", False) for k, v in reversed(list(value.items()))]
             continue
-        if element:
-            label, step = (*label, step), ""
-            own = {k: v for k, v in value.items() if not isinstance(v, (dict, list, _Json))}
-            yield list(label), [_pathless(s) for s in label], json.dumps(own, ensure_ascii=False, default=str)
-        stack += [(v, str(k), label, f"{step}.{k}", False) for k, v in reversed(list(value.items()))]
+        leaves[name] = value
+    return leaves, nodes
+
+
+def _opened(value, key: str, spec: NestedSpec):
+    """The value itself, or the one that its JSON text holds."""
+    return _decode(str(value)) if isinstance(value, _Json) or isinstance(value, str) and key in spec.json_keys else value
+
+
+def walk(value, column: str, spec: NestedSpec) -> Iterator[tuple[list[str], list[str], str]]:
+    """(label, schema path steps, own leaves as JSON) of every node of one column value, in document order.
+
+    Leaves above all nodes come first, under the column as the only step.
+    """
+    short = column.rpartition(".")[2]
+    leaves, stack = _between([(_typed(value, spec.json_fields, short), short, column, _quoted(short), False)], (), spec)
+    if any(v is not None and v != {} and not (isinstance(v, list) and all(x is None for x in v)) for v in leaves.values()):
+        yield [column], [column], _text(leaves)
+    stack.reverse()
+    while stack:
+        value, label = stack.pop()
+        leaves, nodes = _between([(v, str(k), f".{k}", _quoted(str(k)), False) for k, v in value.items()], label, spec)
+        yield list(label), [_pathless(s) for s in label], _text(leaves)
+        stack += reversed(nodes)
+
+
+_UNPAIRED = re.compile("[\ud800-\udfff]")
+
+
+def _text(leaves: dict) -> str:
+    text = json.dumps(leaves, ensure_ascii=False, default=str)
+    return json.dumps(leaves, default=str) if not text.isascii() and _UNPAIRED.search(text) else text
 
 
 def _pathless(step: str) -> str:
@@ -144,7 +195,7 @@ def parent(label: Column) -> Column:
 
 
 def flatten(df: DataFrame, keys: list[str], spec: NestedSpec) -> DataFrame:
-    """Every node of the records: keys, label, schema_steps, attributes (JSON of its own fields)."""
+    """Every node of the records: keys, label, schema_steps, attributes (JSON of its own leaves)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     picked = df.select(*keys, *[F.col(c).alias(f"__c{n}") for n, c in enumerate(spec.columns)])
@@ -155,7 +206,8 @@ def flatten(df: DataFrame, keys: list[str], spec: NestedSpec) -> DataFrame:
 
 def links(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, node_path, parent_path of every node, each once."""
-    return nodes.select(*keys, path(F.col("label")).alias("node_path"), path(parent(F.col("label"))).alias("parent_path")).distinct()
+    elements = nodes.where(F.element_at("label", -1).endswith("]"))  # the leaves above all nodes are none
+    return elements.select(*keys, path(F.col("label")).alias("node_path"), path(parent(F.col("label"))).alias("parent_path")).distinct()
 
 
 def tables(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +222,7 @@ def tables(nodes: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         path(F.col("label")).alias("node_path"),
         path(parent(F.col("label"))).alias("parent_path"),
-        F.regexp_extract(last, r"\[(\d+)\]$", 1).cast("int").alias("ordinal"),
+        F.regexp_extract(last, r"\[(\d+)\]$", 1).try_cast("int").alias("ordinal"),
         "attributes",
     ).dropDuplicates([*keys, "node_path"])
 

@@ -42,6 +42,45 @@ def test_flat_tables_link_by_truncation(spark):
     assert json.loads(rows["harness_result.transcript*.content*.files*"].attributes) == {"n": 1}
 
 
+def leaves_of(value, key, path, json_fields=nested.AGENT_RUNS.json_fields):
+    """(path, leaf) of everything in a value, by plain recursion; a bare object under a list's key is element 0."""
+    spec = nested.AGENT_RUNS
+    if isinstance(value, str) and (key in json_fields or key in spec.json_keys):
+        value = nested._decode(value)
+        json_fields = frozenset()
+    if isinstance(value, dict) and key in spec.list_keys and not path.endswith("]"):
+        value = [value]
+    if isinstance(value, dict) and value:
+        return [x for k, v in value.items() for x in leaves_of(v, k, f"{path}.{k}", json_fields)]
+    if isinstance(value, list) and value:
+        return [x for i, v in enumerate(value) for x in leaves_of(v, key, f"{path}[{i}]", json_fields)]
+    return [] if value == {} and path.endswith("]") else [(path, repr(value))]
+
+
+def test_every_leaf_is_in_one_flat_row(spark):
+    request = {"messages": [{"role": "u", "content": "plain"}, {"content": [{"kind": "t"}, None, "text", ["a", {"deep": 1}]]}], "tags": ["vip", None], "meta": {"x": {"y": 2, "none": {}}, "x.y": 3}, "half": "\ud83d"}
+    calls = [{"arguments": {"limit": 7, "filters": [], "note": None}}, {"arguments": json.dumps({"limit": 8})}, {"arguments": "free text"}]
+    turn = (1, json.dumps(request), "plain answer", json.dumps({"tool_calls": calls, "content": "NaN", "big": 1e300}))
+    run = ("r", ([turn, None], [('{"n": 1}', ["[1, 2]", None, "x"])]), (["not json", '{"error": {"code": "e", "retryable": false}}', "null"], [("n", "5"), ("m", "[1e999, NaN]")]))
+    rows = nested.tables(nested.flatten(spark.createDataFrame([run, run], RUN), ["run_id"], nested.AGENT_RUNS), ["run_id"]).collect()
+    kept = []
+    for r in rows:
+        at = r.node_path if r.ordinal is not None else r.node_path.rpartition(".")[0]
+        for name, value in json.loads(r.attributes, parse_constant=lambda c: pytest.fail(c)).items():
+            name = f"{at}.{name}".replace("`", "")
+            kept += [(f"{name}[{i}]", repr(v)) for i, v in enumerate(value)] if isinstance(value, list) and value else [(name, repr(value))]
+    plain = spark.createDataFrame([run], RUN).first().asDict(True)
+    want = [x for c in nested.AGENT_RUNS.columns for x in leaves_of(plain[c.split(".")[0]][c.split(".")[1]], c.split(".")[1], c)]
+    want.remove(("simulator_result.turns[1]", "None"))  # nothing but a null above the nodes of its column
+    assert sorted(kept) == sorted(want)
+    by_path = {r.node_path: r for r in rows}
+    top = by_path["harness_result.transcript"]
+    assert (top.table_name, top.parent_path, top.ordinal, json.loads(top.attributes)) == ("harness_result.transcript", "", None, {"transcript[0]": "not json", "transcript[2]": None})
+    own = json.loads(by_path["simulator_result.turns[0]"].attributes)
+    assert own["request.tags"] == ["vip", None] and own["request.meta.x.y"] == 2 and own["request.meta.`x.y`"] == 3
+    assert {path for _, path, _ in found(spark, [run])} == {p for p, r in by_path.items() if r.ordinal is not None}
+
+
 @pytest.mark.parametrize(
     "text, good",
     [
