@@ -285,3 +285,28 @@ def load_lines(raw_lines: DataFrame) -> DataFrame:
     return good.select(
         "line_id", "file_name", "line_no", "dataset", F.when(same, F.map_from_arrays(columns, F.col("__fields"))).alias("fields")
     )
+
+
+def load_values(df: DataFrame, key: str, score_col: str | None, payload_col: str | None) -> DataFrame:
+    """The valid rows of a table, redelivered ones once (as they first arrived): row_key, and all columns as JSON in fields."""
+    columns = [c for c in df.columns if c != "arrived_at"]
+    once = df.groupBy(*columns).agg(F.min("arrived_at").alias("arrived_at")) if "arrived_at" in df.columns else df.distinct()
+    good = judge_values(once, score_col, payload_col).where(F.col("__reason").isNull())
+    # Without a format of their own, times lose their microseconds.
+    exact = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    fields = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false", "timestampNTZFormat": exact, "timestampFormat": exact + "XXX"})
+    return good.select(F.col(key).cast("string").alias("row_key"), fields.alias("fields"))
+
+
+def load_all(raw_lines: DataFrame, scores: DataFrame, metadata_cases: DataFrame) -> DataFrame:
+    """The valid rows of all three tables: source_table, row_key, fields (JSON), and where a record came from a file, its place."""
+    lines = load_lines(raw_lines).select(
+        F.lit("raw_lines").alias("source_table"), F.col("line_id").cast("string").alias("row_key"), "file_name", "line_no", "dataset", F.to_json("fields").alias("fields")
+    )
+    loaded = lines
+    for name, df in (
+        ("scores", load_values(scores, "row_id", "score_text", "payload_text")),
+        ("metadata_cases", load_values(metadata_cases, "case_id", None, "payload_json")),
+    ):
+        loaded = loaded.unionByName(df.withColumn("source_table", F.lit(name)), allowMissingColumns=True)
+    return loaded

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import nested, quarantine, schema_drift
 from ..session import table
@@ -32,9 +31,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The valid records of raw_lines, loaded; fields as JSON."""
-    loaded = quarantine.load_lines(table(spark, sf_dir, "raw_lines"))
-    return loaded.withColumn("fields", F.to_json("fields"))
+    """The valid rows of the three tables, loaded; fields as JSON."""
+    return quarantine.load_all(*(table(spark, sf_dir, n) for n in ("raw_lines", "scores", "metadata_cases")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p5_found, p5_table, p7_found, p7_loaded)}

@@ -1,6 +1,7 @@
 """The general data problems against brute force and odd input."""
 
 import json
+from datetime import datetime
 
 import pytest
 
@@ -128,6 +129,31 @@ def test_quarantine_matches_single_records(spark):
     assert quarantine.load_lines(df).count() == len(good) * 700 + 1
 
 
+def test_valid_rows_of_all_tables_are_loaded(spark):
+    lines = [(1, "f", 1, "scores", "row_id;score_text"), (2, "f", 2, "scores", "5;0.5"), (3, "f", 3, "scores", "6;x")]
+    score = "row_id bigint, score_text string, payload_text string, note string, arrived_at timestamp_ntz"
+    early, late = datetime(2026, 1, 1, 0, 0, 0, 123456), datetime(2026, 2, 1)
+    scores = [(1, "1", "{}", None, late), (1, "1", "{}", None, early), (2, None, " ", "n", early), (3, "x", "{}", "n", early), (4, "1", "[]", "n", early), (None, "2", None, "n", early)]
+    cases = [("a", "not judged", '{"k": [1]}', early), ("a", "not judged", '{"k": [1]}', late), ("b", "1", "{", early), ("c", None, None, None)]
+    tables = (
+        spark.createDataFrame(lines, "line_id bigint, file_name string, line_no int, dataset string, raw_line string"),
+        spark.createDataFrame(scores, score),
+        spark.createDataFrame(cases, "case_id string, score_text string, payload_json string, arrived_at timestamp_ntz"),
+    )
+    rows = [(r.source_table, r.row_key, r.file_name, json.loads(r.fields)) for r in quarantine.load_all(*tables).collect()]
+    first = "2026-01-01T00:00:00.123456"
+    value = lambda *v: dict(zip(("row_id", "score_text", "payload_text", "note", "arrived_at"), v))
+    case = lambda *v: dict(zip(("case_id", "score_text", "payload_json", "arrived_at"), v))
+    want = [
+        ("raw_lines", "2", "f", {"row_id": "5", "score_text": "0.5"}),
+        ("scores", "1", None, value(1, "1", "{}", None, first)), ("scores", "2", None, value(2, None, " ", "n", first)), ("scores", None, None, value(None, "2", None, "n", first)),
+        ("metadata_cases", "a", None, case("a", "not judged", '{"k": [1]}', first)), ("metadata_cases", "c", None, case("c", None, None, None)),
+    ]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    bad = {tuple(r)[:2] for r in quarantine.bad_rows(*tables).collect()}
+    assert bad == {("raw_lines", "3"), ("scores", "3"), ("scores", "4"), ("metadata_cases", "b")}
+
+
 def schema(fields):
     kind = lambda k: schema(k) if isinstance(k, dict) else {"type": "array", "elementType": k[1:-1], "containsNull": True} if k.startswith("[") else k
     return {"type": "struct", "fields": [{"name": n, "type": kind(k), "nullable": True, "metadata": {}} for n, k in fields.items()]}
