@@ -348,48 +348,74 @@ def _wider(a: str, b: str) -> str:
     return "string"
 
 
-def _leaves(tree, at=()) -> Iterator[tuple[tuple, str]]:
+#: Step of a path from a list to the fields of its elements.
+ELEMENT = None
+
+
+def _leaves(tree, at=(), within=None) -> Iterator[tuple[tuple, str, tuple | None]]:
+    """(path, type, path of the list of structs around it) of every column; lists of structs come before their fields."""
     for k, v in (_children(tree) or {}).items():
         if isinstance(v, dict) and "struct" in v:
-            yield from _leaves(v, (*at, k))
+            yield from _leaves(v, (*at, k), within)
+        elif _children(v) is not None:
+            yield (*at, k), _plain(v), within
+            yield from _leaves(v, (*at, k, ELEMENT), (*at, k))
         else:
-            yield (*at, k), v if isinstance(v, str) else json.dumps(v, sort_keys=True)
+            yield (*at, k), v if isinstance(v, str) else json.dumps(v, sort_keys=True), within
+
 
+def _renamed(path: tuple, renames: dict[tuple, tuple]) -> tuple:
+    """The path after the longest rename that it begins with; a rename changes the last step."""
+    for cut in range(len(path), 0, -1):
+        new = renames.get(tuple(p for p in path[:cut] if p is not ELEMENT)) if path[cut - 1] is not ELEMENT else None
+        if new:
+            return (*path[: cut - 1], new[-1], *path[cut:])
+    return path
 
-def compile_projections(files: list[tuple[int, dict, list[tuple]]]) -> dict[int, list[tuple[list[str], str, str]]]:
-    """Per file_no the projection [(path in the file, name in the consistent table, type there)].
 
-    A field lives from its addition to its removal, through all renames; its column has its newest name, with
-    `_<file_no>` of its first file where another field took that name later.
+def compile_projections(files: list[tuple[int, dict, list[tuple]]]) -> dict[int, list[tuple]]:
+    """Per file_no the projection [(path in the file, name in the consistent table, type there, columns of elements)].
+
+    Every projection lists all columns of the table, with no path where the file lacks the field. A field lives
+    from its addition to its removal, through all renames; its column has its newest name, with `_<file_no>` of
+    its first file where another field took that name later. A list of structs is one column, whose elements have
+    columns of their own by the same rules.
     """
     lives: list[dict] = []
     alive: dict[tuple, dict] = {}
-    held: dict[int, dict[tuple, dict]] = {}
+    held: dict[int, dict[int, list[str]]] = {}
     for no, tree, script in files:
         renames = {tuple(a): tuple(b) for k, a, b in script if k == "renamed"}
-        now: dict[tuple, dict] = {}
-        for path, life in alive.items():
-            for cut in range(len(path), 0, -1):
-                if path[:cut] in renames:
-                    path = renames[path[:cut]] + path[cut:]
-                    break
-            now[path] = life
-        alive = {}
-        for path, kind in _leaves(tree):
+        now = {_renamed(path, renames): life for path, life in alive.items()}
+        alive, held[no] = {}, {}
+        for path, kind, within in _leaves(tree):
+            around = alive[within] if within else None
             life = now.get(path)
             if life is None:
-                life = {"first": no, "type": kind}
+                life = {"first": no, "type": kind, "no": len(lives), "within": around and around["no"]}
                 lives.append(life)
-            life["type"], life["path"] = _wider(life["type"], kind), path
+            life["type"], life["path"] = _wider(life["type"], kind), list(path[len(within) + 1 if within else 0 :])
             alive[path] = life
-        held[no] = dict(alive)
-    names: dict[str, dict] = {}
+            held[no][life["no"]] = life["path"]
+    names: set[tuple] = set()
     for life in reversed(lives):
         name = ".".join(life["path"])
-        if name in names:
+        while (life["within"], name) in names:
             name = f"{name}_{life['first']}"
-        names[name], life["name"] = life, name
-    return {no: [(list(path), life["name"], life["type"]) for path, life in fields.items()] for no, fields in held.items()}
+        names.add((life["within"], name))
+        life["name"] = name
+    below: dict[int | None, list[dict]] = {}
+    for life in lives:
+        below.setdefault(life["within"], []).append(life)
+
+    def columns(within: int | None, paths: dict[int, list[str]]) -> list[tuple]:
+        out = []
+        for life in below.get(within, []):
+            listed = life["type"].startswith("list<") and life["no"] in paths
+            out.append((paths.get(life["no"]), life["name"], life["type"], columns(life["no"], paths) if listed else None))
+        return out
+
+    return {no: columns(None, paths) for no, paths in held.items()}
 
 
 def _projection_rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -409,6 +435,27 @@ def projections(sidecars: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def _row(record, columns: list) -> dict:
+    row = {}
+    for path, name, kind, elements in columns:
+        value = record if path is not None else None
+        for step in path or ():
+            value = value.get(step) if isinstance(value, dict) else None
+        if elements is not None:
+            value = _elements(value, elements)
+        elif value is not None and kind == "string" and not isinstance(value, str):
+            value = json.dumps(value, ensure_ascii=False)
+        row[name] = float(value) if kind == "double" and isinstance(value, int) and not isinstance(value, bool) else value
+    return row
+
+
+def _elements(value, columns: list):
+    """A list of records, however deep, with each record in the given columns; nulls stay."""
+    if isinstance(value, list):
+        return [_elements(v, columns) for v in value]
+    return _row(value, columns) if isinstance(value, dict) else value
+
+
 def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         compiled: dict[str, list] = {}
@@ -420,15 +467,7 @@ def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except (ValueError, TypeError, RecursionError):
                 out.append(None)
                 continue
-            row = {}
-            for path, name, kind in steps:
-                value = record
-                for step in path:
-                    value = value.get(step) if isinstance(value, dict) else None
-                if value is not None and kind == "string" and not isinstance(value, str):
-                    value = json.dumps(value, ensure_ascii=False)
-                row[name] = float(value) if kind == "double" and isinstance(value, int) and not isinstance(value, bool) else value
-            out.append(json.dumps(row, ensure_ascii=False, sort_keys=True))
+            out.append(json.dumps(_row(record, steps), ensure_ascii=False, sort_keys=True))
         yield batch.assign(record=out)[["record_id", "stage_table", "file_no", "line_no", "case_id", "record"]]
 
 

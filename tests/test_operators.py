@@ -199,6 +199,28 @@ def test_drift_with_nulls_and_clashing_names(spark):
     assert {(x.record_id, x.record) for x in schema_drift.consistent_table(s, r).collect()} == {(1, '{"a": "b"}'), (2, None)}
 
 
+def test_every_column_is_in_every_row_also_of_elements(spark):
+    listed = lambda name, **fields: {"name": name, "type": {"type": "array", "elementType": schema(fields), "containsNull": True}, "nullable": True, "metadata": {}}
+    files = [schema({"a": "string", "gone": "string"}), schema({"a": "string", "fresh": "double"}), schema({"a": "string", "fresh": "double"})]
+    files[0]["fields"].append(listed("items", price="integer", s={"x": "string"}, code="integer"))
+    files[1]["fields"].append(listed("items", cost="integer", s={"y": "string"}, code="string"))
+    files[2]["fields"].append(listed("items", cost="integer", s={"y": "string"}, code="string", more="date"))
+    s = spark.createDataFrame([(n, "t", n, None, json.dumps(f)) for n, f in enumerate(files, 1)], SIDE)
+    records = [
+        {"a": "u", "gone": "v", "items": [{"price": 1, "s": {"x": "p"}, "code": 7}, None]},
+        {"a": "u", "fresh": 2, "items": [{"cost": 1, "s": {"y": "p"}, "code": "8"}, None]},
+        {"a": "u", "items": []},
+    ]
+    r = spark.createDataFrame([(n, "t", n, 1, "c", json.dumps(x)) for n, x in enumerate(records, 1)], RECORD)
+    assert (2, "renamed", "items.price", "items.cost") in {tuple(x)[1:] for x in schema_drift.field_changes(s, r).collect()}
+    table = {x.record_id: json.loads(x.record) for x in schema_drift.consistent_table(s, r).collect()}
+    assert table == {
+        1: {"a": "u", "gone": "v", "fresh": None, "items": [{"cost": 1, "s.y": "p", "code": "7", "more": None}, None]},
+        2: {"a": "u", "gone": None, "fresh": 2.0, "items": [{"cost": 1, "s.y": "p", "code": "8", "more": None}, None]},
+        3: {"a": "u", "gone": None, "fresh": None, "items": []},
+    }
+
+
 def test_drift_of_nothing(spark):
     assert schema_drift.field_changes(spark.createDataFrame([], SIDE), spark.createDataFrame([], RECORD)).collect() == []
 
