@@ -11,7 +11,8 @@ company and inherit its label; phrases that stand in documents of any subject (r
 words of several meanings) get all labels weakly and so none.
 
 Bounds, all parameters: the table has BUCKETS x DIM numbers whatever the data; a training set has at most
-TRAIN_ROWS sentences, chosen by hash from all documents. Scoring covers every sentence of every document, in
+TRAIN_ROWS sentences of the corpus, chosen by hash of document and place from all documents, so that each copy of
+a repeated sentence is drawn or not by itself. Their labels are the model's own. Scoring covers every sentence of every document, in
 one pass without a shuffle.
 
 Null and blank texts have no subject. Sentences inside code blocks, headings and settings are not read as prose.
@@ -210,26 +211,40 @@ def example_rows(examples: DataFrame, subjects: list[str]) -> DataFrame:
     return examples.where(F.col("subject").isin(subjects)).select("text", "subject").mapInPandas(run, "text string, target array<float>")
 
 
-def company_rows(documents: DataFrame, model: Model, share: float, sharpen: bool) -> DataFrame:
-    """A hash sample of the corpus' sentences, with what the model finds in their documents' other sentences."""
+def sentence_count(documents: DataFrame) -> int:
+    """Sentences of the documents that have more than one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts = [len(sentences(text)) for text in b.text]
+            yield pd.DataFrame({"n": [sum(n for n in counts if n > 1)]})
+
+    return spread(documents.select("text")).mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def company_rows(documents: DataFrame, model: Model, n_sentences: int, train_rows: int, sharpen: bool) -> DataFrame:
+    """At most train_rows of the corpus' n_sentences sentences, with what the model finds in their documents' other sentences."""
     sent = documents.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))
-    cutoff = int(min(1.0, share) * (1 << 32))
+    cutoff = min(1 << 32, (train_rows << 32) // max(n_sentences, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, features = Model(*sent.value), Features(len(sent.value[0]))
         for b in batches:
             rows = []
-            for text in b.text:
+            for doc, text in zip(b.doc_id, b.text):
                 parts = sentences(text)
                 if len(parts) < 2:
                     continue
+                places = [zlib.crc32(f"{doc} {i}".encode(), 1) for i in range(len(parts))]
+                if min(places) >= cutoff:
+                    continue
                 p = own.probabilities(*features.rows(parts))
                 best = p.max(axis=1)
                 sure = best >= SENTENCE_FLOOR
                 held = np.where(sure[:, None], p / p.sum(axis=1, keepdims=True) * best[:, None], 0)
                 total = held.sum(axis=0)
                 for i, s in enumerate(parts):
-                    if zlib.crc32(s.encode(), 1) >= cutoff:
+                    if places[i] >= cutoff:
                         continue
                     others = total - held[i]
                     weight = others.sum()
@@ -241,10 +256,12 @@ def company_rows(documents: DataFrame, model: Model, share: float, sharpen: bool
                         target = 0.5 * target + 0.5 * mixed / mixed.sum() * min(1.0, best[i] * 1.5)
                     elif sharpen:
                         target = target * 0.5
-                    rows.append((s, target.tolist()))
-            yield pd.DataFrame(rows, columns=["text", "target"])
+                    rows.append((s, target.tolist(), places[i]))
+            yield pd.DataFrame(rows, columns=["text", "target", "place"])
 
-    return spread(documents.select("text")).mapInPandas(run, "text string, target array<float>")
+    drawn = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, "text string, target array<float>, place bigint")
+    # The hash meets its share only about; what is drawn beyond the bound is left out.
+    return (drawn if n_sentences <= train_rows else drawn.orderBy("place", "text").limit(train_rows)).select("text", "target")
 
 
 def learn(documents: DataFrame, examples: DataFrame, subjects: list[str], train_rows: int = TRAIN_ROWS) -> Model:
@@ -252,11 +269,9 @@ def learn(documents: DataFrame, examples: DataFrame, subjects: list[str], train_
     labelled = cut(example_rows(examples, subjects))
     model = fit(labelled, Model.fresh(len(subjects)), ROUNDS_FIRST, passes=6, parts=2)
     documents = documents.where(F.col("text").isNotNull())
-    # About one sentence per hundred characters.
-    amount = (documents.agg(F.sum(F.length("text"))).first()[0] or 0) / 100
-    share = train_rows / max(amount, 1)
+    n_sentences = sentence_count(documents)
     for again in (False, True):
-        rows = company_rows(documents, model, share, again)
+        rows = company_rows(documents, model, n_sentences, train_rows, again)
         model = fit(rows.unionAll(labelled), Model.fresh(len(subjects)) if not again else model, ROUNDS_NEXT)
     return model
 

@@ -174,6 +174,19 @@ def test_mix_meets_shares_and_caps(spark):
 # --- subjects -----------------------------------------------------------------------------------------------------
 
 
+def test_training_set_holds_its_bound_and_copies_are_drawn_apart(spark):
+    docs = [(i, "The soup was cold. " + " ".join(f"Word{i} x{k}." for k in range(4))) for i in range(60)] + [(60, "One alone."), (61, None)]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string").where("text is not null")
+    assert subjects.sentence_count(documents) == 300
+    sure = subjects.Model(np.zeros((1 << 10, 8), np.float32), np.zeros((8, 2), np.float32), np.array([3.0, -3.0], np.float32))
+    rows = subjects.company_rows(documents, sure, 300, 100, False).collect()
+    copies = sum(r.text == "The soup was cold." for r in rows)
+    assert 75 < len(rows) <= 100 and 5 < copies < 40
+    assert len(subjects.company_rows(documents, sure, 300, 7, False).collect()) <= 7
+    assert len(subjects.company_rows(documents, sure, 300, 300, False).collect()) == 300
+
+
+
 def test_gradient_step_lowers_the_loss():
     features, model = subjects.Features(1 << 10), subjects.Model.fresh(2, 1 << 10, 8)
     ids, starts = features.rows(["the cup final was decided late", "bread needs salt and flour"] * 20)
