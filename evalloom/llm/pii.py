@@ -1,9 +1,10 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
-Mentions of four kinds (numbers, names, addresses, e-mail addresses) are proposed by shape. What a mention is,
-is learned: a bipartite graph links patterns (the words left and right of a mention) with instances (shapes of
-numbers, words of names, street words). Seed instances and seed patterns, few and general, carry scores; Spark
-passes scores from instances to patterns and back for some rounds, always over the aggregated edges, never over
+Mentions of four kinds (numbers, names, addresses, e-mail addresses) are proposed by shape. E-mail addresses and
+street addresses are plain patterns: what has their form counts, an address only with a street word of the lists
+below. What a number or name is, is learned: a bipartite graph links patterns (the words left and right of a
+mention) with instances (shapes of numbers, words of names). Seed instances and seed patterns, few and general,
+carry scores; Spark passes scores from instances to patterns and back for some rounds, always over the aggregated edges, never over
 the texts. Patterns that score high then discover instances no seed covers, and known instances are found again
 in messages written all in capitals or small letters, where shape says nothing.
 
@@ -57,8 +58,8 @@ STREETS_FR = "rue avenue av chemin boulevard bd place allée impasse quai route
 STREETS_ES = "calle c/ avenida avda av plaza paseo camino carretera ronda".split()
 
 ROUNDS = 4
-#: Share of a pattern's mass that must be of the kind, and least mass, before it may find new instances.
-SURE, SUPPORT = 0.8, 3.0
+#: Least mass of a pattern before it may find new instances.
+SUPPORT = 3.0
 #: A word is a common one if this share of it is written small or starts sentences.
 COMMON = 0.93
 #: A pattern counts for names from this share of names among what it takes.
