@@ -7,7 +7,6 @@ JVM: nothing here needs Python on the executors, and plain values keep their pre
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,33 +33,62 @@ def error(code: str, message: str, source: str = "engine", path: str | Column |
     )
 
 
-def merged(*errors: Column | None) -> Column | None:
-    """All errors one after another; None if no operand can have any."""
-    known = [F.coalesce(e, no_errors()) for e in errors if e is not None]
-    if not known:
-        return None
-    return known[0] if len(known) == 1 else F.concat(*known)
+def _strict(errors: Column | tuple[Column, ...] | None) -> tuple[Column, ...]:
+    """Errors as parts, each null where there is none. A column from outside may hold empty arrays."""
+    if errors is None:
+        return ()
+    return errors if isinstance(errors, tuple) else (F.when(F.size(errors) > 0, errors),)
+
+
+def merged(*errors: Column | tuple[Column, ...] | None) -> tuple[Column, ...]:
+    """The errors of all operands, one after another."""
+    return tuple(p for e in errors for p in _strict(e))
+
+
+def any_error(parts: tuple[Column, ...]) -> Column:
+    out = F.lit(False)
+    for i, p in enumerate(parts):
+        out = p.isNotNull() if i == 0 else out | p.isNotNull()
+    return out
+
+
+def joined(parts: tuple[Column, ...]) -> Column:
+    """The parts as one array."""
+    known = [F.coalesce(p, no_errors()) for p in parts]
+    return no_errors() if not known else known[0] if len(known) == 1 else F.concat(*known)
 
 
-@dataclass(frozen=True)
 class Cell:
-    """A value, its errors (None: none possible), its latency, and the stored cell if it is one unchanged."""
+    """A value, its errors (None: none possible), its latency and call trace, and the stored cell if it is one unchanged.
 
-    value: Column
-    errors: Column | None = None
-    latency: Column | None = None
-    stored: Column | None = None
-    kind: T.DataType | None = None
+    Errors are kept as parts, one per source, each null where it has none: so a step after a step mentions what
+    came before once, and expressions grow with their length, not with its power.
+    """
+
+    __slots__ = ("value", "parts", "latency", "stored", "kind", "trace")
+
+    def __init__(self, value: Column, errors: Column | tuple[Column, ...] | None = None, latency: Column | None = None, stored: Column | None = None, kind: T.DataType | None = None, trace: Column | None = None) -> None:  # noqa: E501
+        self.value, self.parts = value, _strict(errors)
+        self.latency, self.stored, self.kind, self.trace = latency, stored, kind, trace
+
+    @property
+    def errors(self) -> Column | None:
+        """All errors as one array; None if no operand can have any."""
+        return joined(self.parts) if self.parts else None
+
+    def of(self, kind: T.DataType | None) -> Cell:
+        """The same value of a known type, no longer the stored cell."""
+        return Cell(self.value, self.parts, kind=kind)
 
     def plain(self) -> Column:
         """The value, null where the cell has errors."""
-        return self.value if self.errors is None else F.when(F.size(F.coalesce(self.errors, no_errors())) > 0, None).otherwise(self.value)
+        return self.value if not self.parts else F.when(any_error(self.parts), None).otherwise(self.value)
 
 
-def column(stored: Column, kind: T.DataType | None = None) -> Cell:
-    """A wrapped column."""
+def column(stored: Column, kind: T.DataType | None = None, clean: bool = False) -> Cell:
+    """A wrapped column; clean: known to hold no error, so that its errors need no reading."""
     value = kind["value"].dataType if isinstance(kind, T.StructType) and C.is_cell(kind) else None
-    return Cell(stored["value"], stored["metadata"]["errors"], stored["metadata"]["latency_ms"], stored, value)
+    return Cell(stored["value"], None if clean else stored["metadata"]["errors"], stored["metadata"]["latency_ms"], stored, value)
 
 
 def raw(value: Column, kind: T.DataType | None = None) -> Cell:
@@ -74,16 +102,16 @@ def literal(value: object) -> Cell:
 
 def lift(fn: Callable[..., Column], *cells: Cell) -> Cell:
     """fn over the values, the errors of all operands (also of branches that aren't taken)."""
-    return Cell(fn(*[c.value for c in cells]), merged(*[c.errors for c in cells]))
+    return Cell(fn(*[c.value for c in cells]), merged(*[c.parts for c in cells]))
 
 
-def _own_error(cell_errors: Column | None, failed: Column, new: Column) -> Column:
-    """The operand's errors if it has any, else the new one where the step failed."""
-    mine = F.when(failed, new).otherwise(no_errors())
-    if cell_errors is None:
-        return mine
-    upstream = F.coalesce(cell_errors, no_errors())
-    return F.when(F.size(upstream) > 0, upstream).otherwise(mine)
+def own_error(upstream: tuple[Column, ...], failed: Column, new: Column) -> tuple[Column, ...]:
+    """The operands' errors if they have any, else the new one where the step failed."""
+    mine = F.when(failed, new)
+    if not upstream:
+        return (mine,)
+    before = upstream[0] if len(upstream) == 1 else F.when(any_error(upstream), joined(upstream))
+    return (F.coalesce(before, mine),)
 
 
 def cast(cell: Cell, kind: str) -> Cell:
@@ -91,7 +119,7 @@ def cast(cell: Cell, kind: str) -> Cell:
     source = cell.value
     value = source.try_cast(kind)
     failed = source.isNotNull() & value.isNull()
-    return Cell(value, _own_error(cell.errors, failed, error(C.CAST_ERROR, f"value does not convert to {kind}")), kind=None)
+    return Cell(value, own_error(cell.parts, failed, error(C.CAST_ERROR, f"value does not convert to {kind}")), kind=None)
 
 
 def parse_json(cell: Cell) -> Cell:
@@ -99,7 +127,7 @@ def parse_json(cell: Cell) -> Cell:
     text = cell.value.cast("string")
     value = F.try_parse_json(text)
     failed = text.isNotNull() & value.isNull()
-    return Cell(value, _own_error(cell.errors, failed, error(C.JSON_PARSE_ERROR, "text is not JSON")), kind=T.VariantType())
+    return Cell(value, own_error(cell.parts, failed, error(C.JSON_PARSE_ERROR, "text is not JSON")), kind=T.VariantType())
 
 
 def json_path(*steps: str | int) -> str:
@@ -117,8 +145,10 @@ def json_path(*steps: str | int) -> str:
 
 
 def variant_get(value: Column, path: str, kind: str = "variant") -> Column:
-    """Tolerant access below a VARIANT; null where the path leads nowhere."""
-    return F.try_variant_get(F.try_parse_json(value.cast("string")), path, kind)
+    """Tolerant access below a VARIANT; null where the path leads nowhere. A VARIANT that is text counts as the JSON it holds."""
+    v = value.cast("variant")
+    text = F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(v.cast("string")))
+    return F.coalesce(F.try_variant_get(v, path, kind), F.try_variant_get(text, path, kind))
 
 
 def access_json(cell: Cell, *steps: str | int) -> Cell:
@@ -126,7 +156,7 @@ def access_json(cell: Cell, *steps: str | int) -> Cell:
     path = json_path(*steps)
     value = variant_get(cell.value, path)
     failed = cell.value.isNull() | value.isNull()
-    return Cell(value, _own_error(cell.errors, failed, error(C.JSON_ACCESS_ERROR, "nothing at this path", path=path)), kind=T.VariantType())
+    return Cell(value, own_error(cell.parts, failed, error(C.JSON_ACCESS_ERROR, "nothing at this path", path=path)), kind=T.VariantType())
 
 
 def access_json_key(cell: Cell, key: Cell) -> Cell:
@@ -134,16 +164,16 @@ def access_json_key(cell: Cell, key: Cell) -> Cell:
     entries = F.from_json(F.to_json(cell.value), "map<string,variant>")
     value = F.try_element_at(entries, key.value.cast("string"))
     failed = cell.value.isNull() | key.value.isNull() | value.isNull()
-    upstream = merged(cell.errors, key.errors)
-    return Cell(value, _own_error(upstream, failed, error(C.JSON_ACCESS_ERROR, "no such key", path=key.value.cast("string"))), kind=T.VariantType())
+    upstream = merged(cell.parts, key.parts)
+    return Cell(value, own_error(upstream, failed, error(C.JSON_ACCESS_ERROR, "no such key", path=key.value.cast("string"))), kind=T.VariantType())
 
 
 def access(cell: Cell, key: Cell, is_map: bool) -> Cell:
     """a[i] on arrays (from 0) and m[k] on maps."""
     value = F.try_element_at(cell.value, key.value) if is_map else F.get(cell.value, key.value.cast("int"))
     failed = cell.value.isNull() | value.isNull()
-    upstream = merged(cell.errors, key.errors)
-    return Cell(value, _own_error(upstream, failed, error(C.ACCESS_ERROR, "nothing at this position or key")))
+    upstream = merged(cell.parts, key.parts)
+    return Cell(value, own_error(upstream, failed, error(C.ACCESS_ERROR, "nothing at this position or key")))
 
 
 def get(cell: Cell, key: Cell, kind: T.DataType | None) -> Cell:
@@ -152,21 +182,21 @@ def get(cell: Cell, key: Cell, kind: T.DataType | None) -> Cell:
         entries = F.from_json(F.to_json(cell.value), "map<string,variant>")
         items = F.from_json(F.to_json(cell.value), "array<variant>")
         by_key = F.try_element_at(entries, key.value.cast("string"))
-        return Cell(F.coalesce(by_key, F.get(items, key.value.try_cast("int"))), merged(cell.errors, key.errors), kind=T.VariantType())
+        return Cell(F.coalesce(by_key, F.get(items, key.value.try_cast("int"))), merged(cell.parts, key.parts), kind=T.VariantType())
     if isinstance(kind, T.MapType):
         return lift(lambda v, k: F.try_element_at(v, k), cell, key)
     return lift(lambda v, k: F.get(v, k.cast("int")), cell, key)
 
 
 def is_err(cell: Cell) -> Cell:
-    return Cell(F.lit(False) if cell.errors is None else F.size(F.coalesce(cell.errors, no_errors())) > 0)
+    return Cell(any_error(cell.parts))
 
 
 def err_or(cell: Cell, fallback: Cell) -> Cell:
     """The value, or the fallback where there are errors; free of errors, the fallback's too."""
-    if cell.errors is None:
+    if not cell.parts:
         return Cell(cell.value)
-    return Cell(F.when(F.size(F.coalesce(cell.errors, no_errors())) > 0, fallback.value).otherwise(cell.value))
+    return Cell(F.when(any_error(cell.parts), fallback.value).otherwise(cell.value))
 
 
 def latency(cell: Cell) -> Cell:
@@ -178,35 +208,37 @@ def concat(*cells: Cell) -> Cell:
     return lift(lambda *v: F.concat(*[x.cast("string") for x in v]), *cells)
 
 
+def gathered(parts: tuple[Column, ...]) -> Column:
+    """A group's errors, flattened. Rows without errors add nothing, so the state grows with the errors alone."""
+    return F.flatten(F.collect_list(parts[0] if len(parts) == 1 else F.when(any_error(parts), joined(parts))))
+
+
 def aggregate(fn: Callable[..., Column], *cells: Cell) -> Cell:
     """fn over the group's values, errored ones being null; the errors of the whole group, flattened.
 
     Stored, the cell has no value where the group has errors; err_or() around the argument takes them out first.
     """
     value = fn(*[c.plain() for c in cells])
-    errors = merged(*[c.errors for c in cells])
-    if errors is None:
-        return Cell(value)
-    return Cell(value, F.flatten(F.collect_list(errors)))
+    parts = merged(*[c.parts for c in cells])
+    return Cell(value, gathered(parts)) if parts else Cell(value)
 
 
 def over(fn: Callable[..., Column], window, cells: list[Cell], keys: list[Cell]) -> Cell:
     """A window function over values; the errors are those of this row's operands and keys."""
-    return Cell(fn(*[c.plain() for c in cells]).over(window), merged(*[c.errors for c in cells], *[k.errors for k in keys]))
+    return Cell(fn(*[c.plain() for c in cells]).over(window), merged(*[c.parts for c in cells], *[k.parts for k in keys]))
 
 
 def assemble(cell: Cell, cell_id: Column | None = None) -> Column:
     """The stored form; a bare column passes through whole."""
     if cell.stored is not None:
         return cell.stored
-    errors = no_errors() if cell.errors is None else F.coalesce(cell.errors, no_errors())
     return F.struct(
         (cell_id if cell_id is not None else F.lit(None)).cast("string").alias("cell_id"),
         cell.plain().alias("value"),
         F.struct(
-            errors.alias("errors"),
-            F.lit(None).cast("bigint").alias("latency_ms"),
-            F.lit(None).cast(C.TRACE).alias("trace"),
+            joined(cell.parts).alias("errors"),
+            (F.lit(None) if cell.latency is None else cell.latency).cast("bigint").alias("latency_ms"),
+            (F.lit(None) if cell.trace is None else cell.trace).cast(C.TRACE).alias("trace"),
         ).alias("metadata"),
         F.lit(True).alias("marker"),
     )
@@ -217,11 +249,10 @@ def decision(cell: Cell, clause: str) -> Column:
 
     The check and the value are one conditional expression, so the optimizer can't part them.
     """
-    if cell.errors is None:
+    if not cell.parts:
         return cell.value
-    bad = F.size(F.coalesce(cell.errors, no_errors())) > 0
-    return F.when(bad, F.raise_error(F.lit(f"cells: {clause} consumed an errored cell"))).otherwise(cell.value)
+    return F.when(any_error(cell.parts), F.raise_error(F.lit(f"cells: {clause} consumed an errored cell"))).otherwise(cell.value)
 
 
 def without_stored(cell: Cell) -> Cell:
-    return replace(cell, stored=None)
+    return Cell(cell.value, cell.parts, cell.latency, None, cell.kind, cell.trace)

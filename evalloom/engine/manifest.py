@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -14,6 +13,7 @@ from .. import __version__
 from ..cells import types as C
 from ..plans.graph import Step, downstream
 from ..script.surface import ScriptError
+from ..sources import files
 
 
 def fingerprint(step: Step, payload: str, upstream: dict[str, str], wrapped: bool = True) -> str:
@@ -26,7 +26,10 @@ def fingerprint(step: Step, payload: str, upstream: dict[str, str], wrapped: boo
 
 
 def error_summary(df: DataFrame, samples: int = 10) -> dict:
-    """Counts of errors by code and column, in one pass over the stage, and a few samples."""
+    """Counts of errors by code and column, in one pass over the stage, and a few samples.
+
+    Codes are few by nature, but functions may invent them: all are counted, read one partition at a time.
+    """
     names = [f.name for f in df.schema if C.is_cell(f.dataType)]
     errors = {n: F.coalesce(F.col(f"`{n}`")["metadata"]["errors"], F.array().cast(C.ERRORS)) for n in names}
     if not names:
@@ -42,7 +45,7 @@ def error_summary(df: DataFrame, samples: int = 10) -> dict:
     if by_column:
         each = F.explode(F.concat(*[F.transform(errors[n], lambda e, n=n: F.struct(F.lit(n).alias("column"), e["code"].alias("code"), e["message"].alias("message"))) for n in by_column]))
         found = df.select(each.alias("e"))
-        by_code = {r["code"]: r["count"] for r in found.groupBy("e.code").count().limit(1000).collect()}
+        by_code = {r["code"]: r["count"] for r in found.groupBy("e.code").count().toLocalIterator()}
         shown = [r["e"].asDict() for r in found.limit(samples).collect()]
     return {"row_count": one["rows"], "row_error_count": one["bad"], "cell_error_count": sum(by_column.values()), "by_code": by_code, "by_column": by_column, "samples": shown}
 
@@ -59,9 +62,7 @@ class Manifest:
     errors: dict = field(default_factory=dict)
 
     def write(self, folder: str) -> None:
-        os.makedirs(folder, exist_ok=True)
-        with open(f"{folder}/{self.name}.json", "w") as f:
-            json.dump(asdict(self), f, indent=1, default=str)
+        files.write_text(f"{folder}/{self.name}.json", json.dumps(asdict(self), indent=1, default=str))
 
     def reusable(self, wanted: str, wrapped: bool = True) -> bool:
         """Same fingerprint and mode, completed, and without any error."""
@@ -70,12 +71,10 @@ class Manifest:
 
 def load(folder: str) -> dict[str, Manifest]:
     out = {}
-    if os.path.isdir(folder):
-        for name in sorted(os.listdir(folder)):
-            if name.endswith(".json"):
-                with open(f"{folder}/{name}") as f:
-                    m = Manifest(**json.load(f))
-                out[m.name] = m
+    for name in files.names(folder):
+        if name.endswith(".json"):
+            m = Manifest(**json.loads(files.read_text(f"{folder}/{name}")))
+            out[m.name] = m
     return out
 
 

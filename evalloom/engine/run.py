@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 import threading
 import time
+from collections.abc import Iterator
 from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,10 @@ from ..script import ast as N
 from ..script import statements as S
 from ..script.lower import Context, Macro, check_query, limit_rows, lower_query, output_name
 from ..script.surface import ScriptError
-from ..sources import readers, sinks
+from ..sources import files, readers, sinks
 from ..streaming import stages as streams
 from . import manifest as M
+from . import plain
 
 #: Options that LOAD knows; WRAP may not be turned off.
 WRAP_OPTIONS = ("WRAP", "WRAP_CELLS")
@@ -48,6 +50,8 @@ class Settings:
     poll_seconds: float = 1.0
     environment: str | None = None
     debug_rows: int = 0
+    #: False: plain mode. Stages hold values without cells, and queries are Spark SQL, read by Spark's own parser.
+    wrapped: bool = True
 
 
 @dataclass
@@ -68,10 +72,10 @@ def keyword_functions(registry: Registry) -> frozenset[str]:
     return frozenset(n for n in registry.functions if "." not in n)
 
 
-def validate(text: str, registry: Registry | None = None, macros: dict[str, str] | None = None, strict: bool = True) -> tuple[list[S.Statement], list[Step]]:
+def validate(text: str, registry: Registry | None = None, macros: dict[str, str] | None = None, strict: bool = True, wrapped: bool = True) -> tuple[list[S.Statement], list[Step]]:
     """Everything that can be checked without running: syntax, inputs, names, calls, the constructs cells don't take."""
     registry = registry or Registry()
-    statements = S.parse_script(text, macros, keyword_functions(registry))
+    statements = S.parse_script(text, macros, keyword_functions(registry), lenient=not wrapped)
     S.check_inputs(statements)
     for s in statements:
         if isinstance(s, S.AdHoc):
@@ -79,9 +83,10 @@ def validate(text: str, registry: Registry | None = None, macros: dict[str, str]
         if isinstance(s, S.Load) and any(s.options.get(o) is False for o in WRAP_OPTIONS):
             raise ScriptError("LOAD ... WRAP = false is not supported; cells are needed")
         if isinstance(s, S.CreateTable):
-            if strict:
+            if strict and wrapped:
                 check_query(s.query)
-            _check_calls(s.query, registry, statements)
+            if s.query is not None:
+                _check_calls(s.query, registry, statements)
             _check_table_options(s, statements)
         if isinstance(s, S.Publish) and s.target == "annotation":
             reports.annotation_settings(s.options)
@@ -129,7 +134,7 @@ def _check_table_options(s: S.CreateTable, statements: list[S.Statement]) -> Non
 def _check_metric_source(s: S.Publish, statements: list[S.Statement]) -> None:
     """A METRIC's table, where its columns are written out, has metric and value."""
     made = next((t for t in statements if isinstance(t, S.CreateTable) and t.name == s.name), None)
-    if made is None:
+    if made is None or made.query is None:
         return
     q = made.query
     while q.operator:
@@ -174,7 +179,7 @@ class Runner:
 
     def __init__(self, spark: SparkSession, text: str, settings: Settings, registry: Registry | None = None) -> None:
         self.spark, self.settings, self.registry = spark, settings, registry or Registry()
-        self.statements, self.steps = validate(text, self.registry, settings.macros, settings.strict)
+        self.statements, self.steps = validate(text, self.registry, settings.macros, settings.strict, settings.wrapped)
         self.context = Context(spark, self.registry, strict=settings.strict)
         for s in self.statements:
             if isinstance(s, S.CreateFunction):
@@ -182,20 +187,23 @@ class Runner:
         self.values = input_cells(self.statements, settings, self.context)
         self.result, self.lock = Result(), threading.RLock()
         self._published: frozenset[str] = frozenset()
+        self._events: str | None = None
         self.prints: dict[str, str] = {}
         for step in self.steps:
             if step.makes:
                 used = {n: v for n, v in self.values.items() if n in step.statement.text}
                 macros = " ".join(s.text for s in self.statements if isinstance(s, S.CreateFunction) and s.name in step.statement.text)
-                self.prints[step.makes] = M.fingerprint(step, f"{step.statement.text} {json.dumps(used, sort_keys=True, default=str)} {macros}", self.prints)
+                self.prints[step.makes] = M.fingerprint(step, f"{step.statement.text} {json.dumps(used, sort_keys=True, default=str)} {macros}", self.prints, settings.wrapped)
 
     # --- events -------------------------------------------------------------------------------------------
 
     def event(self, kind: str, name: str, **more: Any) -> None:
+        path = f"{self.settings.folder}/events.jsonl"
         with self.lock:
-            os.makedirs(self.settings.folder, exist_ok=True)
-            with open(f"{self.settings.folder}/events.jsonl", "a") as f:
-                f.write(json.dumps({"time": time.time(), "event": kind, "stage": name, **more}, default=str) + "\n")
+            if self._events is None:
+                self._events = files.read_text(path) if files.exists(path) else ""
+            self._events += json.dumps({"time": time.time(), "event": kind, "stage": name, **more}, default=str) + "\n"
+            files.write_text(path, self._events)
 
     # --- running ------------------------------------------------------------------------------------------
 
@@ -267,22 +275,22 @@ class Runner:
         return f"{self.settings.folder}/tables/{name}"
 
     def _register(self, name: str, df: DataFrame, m: M.Manifest) -> None:
+        bad = m.errors.get("by_column", {})
         with self.lock:
             self.context.tables[name] = df
+            self.context.clean[name] = frozenset(c for c in df.columns if c not in bad) if m.errors else frozenset()
             self.result.tables[name] = m.path
             self.result.manifests[name] = m
 
     def _finish(self, step: Step, path: str) -> None:
         stored = self.spark.read.parquet(path)
         summary = M.error_summary(stored)
-        m = M.Manifest(step.makes, step.kind, self.prints[step.makes], path=path, schema=json.loads(stored.schema.json()), errors=summary)
+        m = M.Manifest(step.makes, step.kind, self.prints[step.makes], wrapped=self.settings.wrapped, path=path, schema=json.loads(stored.schema.json()), errors=summary)
         m.write(f"{self.settings.folder}/manifests")
         if self.settings.debug_rows:
-            place = f"{self.settings.folder}/debug"
-            os.makedirs(place, exist_ok=True)
-            with open(f"{place}/{step.makes}.jsonl", "w") as f:
-                for r in stored.limit(self.settings.debug_rows).toJSON().toLocalIterator():
-                    f.write(r + "\n")
+            # A sample of settings.debug_rows rows: the feature's own limit.
+            rows = stored.limit(self.settings.debug_rows).toJSON().collect()
+            files.write_text(f"{self.settings.folder}/debug/{step.makes}.jsonl", "".join(r + "\n" for r in rows))
         self._register(step.makes, stored, m)
 
     def _one(self, step: Step) -> None:
@@ -290,11 +298,16 @@ class Runner:
         if step.kind == "load":
             self._load(step, s)
         elif step.kind == "batch":
-            out = lower_query(s.query, self.context)
-            if out.df.isStreaming:
+            if self.settings.wrapped:
+                out = CellFrame.wrap(lower_query(s.query, self.context).df, step.makes).df
+            else:
+                with self.lock:
+                    out = plain.query(self.spark, s.query_text, self.context, self.values, self.statements)
+            if out.isStreaming:
                 raise ScriptError("a batch table can't read a stream")
-            CellFrame.wrap(out.df).df.write.mode("overwrite").parquet(self._path(step.makes))
-            self._finish(step, self._path(step.makes))
+            with self._pool(s):
+                out.write.mode("overwrite").parquet(self._path(step.makes))
+                self._finish(step, self._path(step.makes))
         elif step.kind == "stream":
             self._stream(step, s)
         elif step.kind == "save":
@@ -313,12 +326,31 @@ class Runner:
         df = readers.read(self.spark, path, s.options, self.settings.datasets)
         if s.limit is not None:
             df = df.limit(limit_rows(s.limit, self.context))
-        CellFrame.wrap(df, step.makes).df.write.mode("overwrite").parquet(self._path(step.makes))
+        self._store(df, step)
+
+    def _store(self, df: DataFrame, step: Step) -> None:
+        """Rows from outside as a stage's table: cells with ids, or in plain mode the values."""
+        out = CellFrame.wrap(df, step.makes).df if self.settings.wrapped else CellFrame(df).unwrap()
+        out.write.mode("overwrite").parquet(self._path(step.makes))
         self._finish(step, self._path(step.makes))
 
+    @contextmanager
+    def _pool(self, s: S.CreateTable) -> Iterator[None]:
+        """A table's executor pool as Spark's scheduler pool, for the jobs of this thread."""
+        sc, pool = self.spark.sparkContext, s.options.get("POOL")
+        if pool is None:
+            yield
+            return
+        before = sc.getLocalProperty("spark.scheduler.pool")
+        sc.setLocalProperty("spark.scheduler.pool", str(pool))
+        try:
+            yield
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", before)
+
     def _stream(self, step: Step, s: S.CreateTable) -> None:
         rows = s.options.get("BATCH_SIZE")
-        own = Context(self.spark, self.registry, {}, self.context.inputs, self.context.limits, self.context.macros, self.context.strict)
+        own = replace(self.context, tables={})
         for need in step.needs:
             path = self.result.tables[need]
             if rows:
@@ -326,9 +358,14 @@ class Runner:
                 streams.in_batches(self.spark.read.parquet(path), batched, int(rows))
                 path = batched
             own.tables[need] = streams.source(self.spark, path, 1 if rows else None)
-        out = lower_query(s.query, own).df
-        streams.drain(CellFrame.wrap(out).df, self._path(step.makes), f"{self.settings.folder}/checkpoints/{step.makes}")
-        self._finish(step, self._path(step.makes))
+        if self.settings.wrapped:
+            out = CellFrame.wrap(lower_query(s.query, own).df, step.makes).df
+        else:
+            with self.lock:
+                out = plain.query(self.spark, s.query_text, own, self.values, self.statements)
+        with self._pool(s):
+            streams.drain(out, self._path(step.makes), f"{self.settings.folder}/checkpoints/{step.makes}")
+            self._finish(step, self._path(step.makes))
 
     def _publish(self, s: S.Publish) -> None:
         df = self.context.tables[s.name]
@@ -339,8 +376,8 @@ class Runner:
             name = s.destination or s.name
             path = f"{self.settings.folder}/datasets/{name}"
             sinks.dataset(df, path)
-            with open(f"{self.settings.folder}/datasets/{name}.json", "w") as f:
-                json.dump({"name": name, "table": s.name, "path": path, "schema": json.loads(CellFrame(df).unwrap().schema.json())}, f, indent=1)
+            record = {"name": name, "table": s.name, "path": path, "schema": json.loads(CellFrame(df).unwrap().schema.json())}
+            files.write_text(f"{self.settings.folder}/datasets/{name}.json", json.dumps(record, indent=1))
         else:
             reports.publish_annotation(df, s.name, s.destination, s.alias, s.options, f"{self.settings.folder}/annotations")
             with self.lock:
@@ -357,8 +394,7 @@ class Runner:
                     self.result.waiting.append(step.makes)
                 return
             time.sleep(max(0.1, self.settings.poll_seconds))
-        CellFrame.wrap(df, step.makes).df.write.mode("overwrite").parquet(self._path(step.makes))
-        self._finish(step, self._path(step.makes))
+        self._store(df, step)
 
 
 def run(spark: SparkSession, text: str, settings: Settings, registry: Registry | None = None) -> Result:

@@ -5,16 +5,16 @@ from __future__ import annotations
 import hashlib
 import html
 import json
-import os
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..cells import types as C
 from ..cells.frame import CellFrame
 from ..script.surface import ScriptError
+from ..sources import files
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 CHART_AGGREGATIONS = ("sum", "count", "avg", "min", "max")
@@ -90,14 +90,8 @@ def records(df: DataFrame) -> list[dict]:
 
 def append(path: str, items: list[dict]) -> None:
     """Append to a JSON list; the file appears whole or not at all."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    old = []
-    if os.path.exists(path):
-        with open(path) as f:
-            old = json.load(f)
-    with open(path + ".new", "w") as f:
-        json.dump(old + items, f, ensure_ascii=False, indent=1)
-    os.replace(path + ".new", path)
+    old = json.loads(files.read_text(path)) if files.exists(path) else []
+    files.write_text(path, json.dumps(old + items, ensure_ascii=False, indent=1))
 
 
 def publish_report(df: DataFrame, name: str, options: dict[str, Any], folder: str) -> None:
@@ -145,35 +139,33 @@ def check_template(text: str) -> None:
 
 
 def publish_annotation(df: DataFrame, name: str, queue: str, alias: str | None, options: dict[str, Any], folder: str) -> str:
-    """Tasks as JSONL, streamed row by row; the request's id."""
+    """Tasks as JSONL, written by the executors; the request's id. A task's number is unique, not consecutive."""
     settings = annotation_settings(options)
     request = hashlib.sha256(f"{name}|{queue}|{alias}".encode()).hexdigest()[:16]
     place = f"{folder}/{request}"
-    os.makedirs(place, exist_ok=True)
-    n = 0
-    with open(f"{place}/tasks.jsonl", "w") as f:
-        for n, r in enumerate(CellFrame(df).unwrap().select(F.to_json(F.struct("*"))).toLocalIterator(), 1):
-            f.write(json.dumps({"task_id": f"{request}-{n}", "data": json.loads(r[0])}, ensure_ascii=False) + "\n")
-    with open(f"{place}/manifest.json", "w") as f:
-        json.dump({"request": request, "table": name, "queue": queue, "alias": alias, "task_count": n, **settings}, f, indent=1)
+    tasks = CellFrame(df).unwrap().select(F.struct("*").alias("data"))
+    seen = Observation()
+    numbered = tasks.observe(seen, F.count(F.lit(1)).alias("n")).select(F.concat(F.lit(f"{request}-"), F.monotonically_increasing_id() + 1).alias("task_id"), "data")
+    numbered.select(F.to_json(F.struct("task_id", "data"), {"ignoreNullFields": "false"})).write.mode("overwrite").text(f"{place}/tasks")
+    files.join_parts(f"{place}/tasks", f"{place}/tasks.jsonl")
+    record = {"request": request, "table": name, "queue": queue, "alias": alias, "task_count": seen.get["n"], **settings}
+    files.write_text(f"{place}/manifest.json", json.dumps(record, indent=1))
     if alias:
-        with open(f"{folder}/{alias}.alias", "w") as f:
-            f.write(request)
+        files.write_text(f"{folder}/{alias}.alias", request)
     return request
 
 
 def retrieve_annotation(spark: SparkSession, folder: str, alias: str | None, request: str | None) -> DataFrame | None:
     """The results of a request; None while there are none."""
     if request is None:
-        if not os.path.exists(f"{folder}/{alias}.alias"):
+        if not files.exists(f"{folder}/{alias}.alias"):
             return None
-        with open(f"{folder}/{alias}.alias") as f:
-            request = f.read().strip()
+        request = files.read_text(f"{folder}/{alias}.alias").strip()
     place = f"{folder}/{request}/results"
-    if os.path.exists(f"{place}.parquet"):
+    if files.exists(f"{place}.parquet"):
         return spark.read.parquet(f"{place}.parquet")
     for suffix, multi in ((".json", True), (".jsonl", False)):
-        if os.path.exists(place + suffix):
+        if files.exists(place + suffix):
             return spark.read.option("multiLine", multi).json(place + suffix)
     return None
 
@@ -202,9 +194,8 @@ def render(folder: str, form: str = "md", secrets: list[str] | None = None) -> s
     parts: dict[str, list[dict]] = {}
     for kind in ("metrics", "issues", "charts"):
         path = f"{folder}/{kind}.json"
-        if os.path.exists(path):
-            with open(path) as f:
-                parts[kind] = json.load(f)
+        if files.exists(path):
+            parts[kind] = json.loads(files.read_text(path))
     lines = []
     for kind, rows in parts.items():
         lines.append(("h", kind.capitalize()))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from ..publish import reports
 from ..script import ast as N
 from ..script.lower import Context, Macro, check_query, lower_query
 from ..script.surface import ScriptError
-from ..session import checkpoint_dir, table
+from ..session import scratch, table
 from ..sources import readers, sinks
 from ..streaming import stages as streams
 
@@ -34,13 +32,6 @@ def query(sql: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, which all executors see."""
-    base = checkpoint_dir(spark).removeprefix("file:")
-    base = "/" + base.lstrip("/") if not base.startswith("hdfs") else base
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
-
-
 def recipe(spark: SparkSession, sf_dir: str, text: str, *tables: str, **inputs) -> DataFrame:
     """Lower one query of the recipe language over driver tables, wrapped; the values."""
     context = Context(spark, tables={t: CellFrame.wrap(table(spark, sf_dir, t)).df for t in tables})

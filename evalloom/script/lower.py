@@ -27,18 +27,26 @@ AGGREGATES = frozenset(
     "first_value grouping grouping_id last last_value max max_by mean median min min_by mode percentile percentile_approx approx_percentile some stddev stddev_pop stddev_samp sum "
     "var_pop var_samp variance skewness kurtosis array_agg regr_count listagg string_agg".split()
 )
-GENERATORS = frozenset(("explode", "posexplode"))
+GENERATORS = frozenset(("explode", "posexplode", "explode_outer", "posexplode_outer"))
 BANNED_FIELDS = ("metadata", "marker", "cell_id")
 
 
+class Ungrouped(ScriptError):
+    """A column of a grouped query that is neither a key nor below an aggregate."""
+
+
 def unsupported(construct: str, rewrite: str) -> ScriptError:
     return ScriptError(f"{construct} is not supported over cells; {rewrite}")
 
 
+#: What no mode lowers onto cells.
+NEVER = ("PIVOT", "UNPIVOT", "WITH RECURSIVE")
+
 REWRITES = {
     "PIVOT": "use conditional aggregates", "UNPIVOT": "use UNION ALL", "LATERAL VIEW": "use explode() in the projection", "QUALIFY": "filter in an outer query",
     "ROLLUP": "use UNION ALL of grouped queries", "CUBE": "use UNION ALL of grouped queries", "GROUPING SETS": "use UNION ALL of grouped queries",
     "window frame": "leave the frame out", "scalar subquery": "join to a derived table", "JOIN USING": "write ON", "NATURAL JOIN": "write ON",
+    "WITH RECURSIVE": "use plain mode, which Spark's own parser reads", "INTERSECT": "join on the values", "EXCEPT": "left join and keep the unmatched rows",
     "JOIN without ON": "write ON with equalities", "non-equi JOIN": "join on equalities", "cell field": "use is_err(), err_or() or latency()",
 }
 
@@ -49,6 +57,9 @@ def check_query(q: N.Query) -> None:
         if isinstance(node, N.Query):
             for construct in node.banned:
                 raise unsupported(construct, REWRITES[construct])
+            if node.operator and not node.operator.startswith("union"):
+                kind = node.operator.split()[0].upper()
+                raise unsupported(kind, REWRITES[kind])
             for j in node.joins:
                 if j.using is not None:
                     raise unsupported("JOIN USING", REWRITES["JOIN USING"])
@@ -91,6 +102,8 @@ class Context:
     spark: SparkSession
     registry: Registry = field(default_factory=Registry)
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Per table the columns of cells that hold no error.
+    clean: dict[str, frozenset[str]] = field(default_factory=dict)
     inputs: dict[str, Cell] = field(default_factory=dict)
     limits: dict[str, int] = field(default_factory=dict)
     macros: dict[str, Macro] = field(default_factory=dict)
@@ -99,16 +112,26 @@ class Context:
 
 @dataclass
 class _Source:
+    """A relation: its columns as hidden ones of the frame; `merged` ones were joined away and answer to `alias.name` only."""
+
     alias: str
     columns: dict[str, str]
+    merged: dict[str, str] = field(default_factory=dict)
+
+
+def _conjuncts(e: N.Expr | None) -> list[N.Expr]:
+    if isinstance(e, N.Binary) and e.op == "and":
+        return _conjuncts(e.left) + _conjuncts(e.right)
+    return [] if e is None else [e]
 
 
 class Lowering:
     """One SELECT: a DataFrame that grows hidden columns, and the names that its expressions may use."""
 
-    def __init__(self, context: Context, ctes: dict[str, DataFrame]) -> None:
+    def __init__(self, context: Context, ctes: dict[str, CellFrame]) -> None:
         self.context, self.ctes = context, dict(ctes)
         self.df: DataFrame | None = None
+        self.clean: set[str] = set()
         self.sources: list[_Source] = []
         self.scoped: dict[str, str] = {}
         self.bound: dict[str, Cell] = {}
@@ -118,69 +141,140 @@ class Lowering:
 
     # --- sources ------------------------------------------------------------------------------------------
 
-    def frame(self, s: N.Source) -> DataFrame:
+    def frame(self, s: N.Source) -> CellFrame:
         if s.query is not None:
-            return lower_query(s.query, self.context, self.ctes).df
+            return lower_query(s.query, self.context, self.ctes)
         if s.values is not None:
             rows = [F.struct(*[self._constant(v).alias(f"c{i}") for i, v in enumerate(r)]) for r in s.values]
             names = s.columns or [f"col{i + 1}" for i in range(len(s.values[0]))]
             df = self.context.spark.range(1).select(F.explode(F.array(*rows)).alias("r"))
-            return df.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+            return CellFrame(df.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
         name = s.table
         if name in self.ctes:
             return self.ctes[name]
         if name in self.context.tables:
-            return self.context.tables[name]
+            return CellFrame(self.context.tables[name], self.context.clean.get(name, ()))
         raise ScriptError(f"unknown relation {name}")
 
     def _constant(self, e: N.Expr) -> Column:
         return self.lower(e).value
 
-    def add_source(self, s: N.Source) -> None:
-        df = self.frame(s)
+    def add_source(self, s: N.Source) -> DataFrame:
+        """A source under names of its own; it becomes the frame only if there is none yet."""
+        f = self.frame(s)
         n = len(self.sources)
-        names = {c: f"__s{n}_{c}" for c in df.columns}
-        df = df.select(*[F.col(f"`{c}`").alias(new) for c, new in names.items()])
+        names = {c: f"__s{n}_{c}" for c in f.columns}
+        df = f.df.select(*[F.col(f"`{c}`").alias(new) for c, new in names.items()])
+        self.clean |= {names[c] for c in f.clean if c in names}
         self.sources.append(_Source(s.alias or (s.table or "").rpartition(".")[2] or f"__t{n}", names))
-        self.df = df if self.df is None else self.df
-        self._pending = df
+        if self.df is None:
+            self.df = df
+        return df
 
     def join(self, j: N.Join) -> None:
-        left = self.df
-        self.add_source(j.source)
-        right = self._pending
-        self.df = left
+        """A join by its equalities between the two sides; what else the condition holds is checked beside them."""
+        left, n = self.df, len(self.sources)
+        right = self.add_source(j.source)
         how = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}[j.kind]
-        if j.on is None:
+        shared = self._shared(j, n)
+        pairs: list[tuple[Cell, Cell]] = []
+        rest: list[N.Expr] = []
+        for name in shared:
+            self.df = left
+            mine = self.resolve([name], before=n)
+            self.df = right
+            pairs.append((mine, self.stored(self.sources[n].columns[name])))
+        for e in _conjuncts(j.on):
+            sides = [self._owners(x) for x in (e.left, e.right)] if isinstance(e, N.Binary) and e.op == "=" else [set(), set()]
+            if all(sides) and (sides[0] == {n}) != (sides[1] == {n}) and not (n in sides[0] and n in sides[1]) and (sides[0] == {n} or n not in sides[0]) and (sides[1] == {n} or n not in sides[1]):
+                mine, other = (e.right, e.left) if sides[0] == {n} else (e.left, e.right)
+                self.df = left
+                a = self.lower(mine)
+                left = self.df
+                self.df = right
+                b = self.lower(other)
+                right = self.df
+                pairs.append((a, b))
+            else:
+                rest.append(e)
+        extra = None
+        if rest:
+            both = left.crossJoin(right)
+            self.df = both
+            condition = self.lower(rest[0]) if len(rest) == 1 else A.lift(lambda *v: _all(v), *[self.lower(e) for e in rest])
+            if self.df is not both:
+                raise ScriptError("Python calls across both sides of a JOIN ON are not allowed; call them in a derived table")
+            extra = A.decision(condition, "JOIN ON")
+        if not pairs and extra is None:
+            if j.kind not in ("inner", "cross"):
+                raise unsupported("JOIN without ON", REWRITES["JOIN without ON"])
             self.df = left.crossJoin(right)
-            return
-        # Conditions are lowered against both sides' schemas, then used as the join's own.
-        both = left.crossJoin(right)
-        self.df = both
-        condition = self.lower(j.on)
-        if self.df is not both:
-            raise ScriptError("Python calls are not allowed in JOIN ON; call them in a derived table")
-        self.df = left.join(right, A.decision(condition, "JOIN ON"), how)
+        else:
+            self.df = CellFrame(left).join_keys(CellFrame(right), pairs, "inner" if how == "cross" else how, extra).df
+        for name in shared:
+            self._merge(name, n, j.kind)
         if j.kind in ("semi", "anti"):
             self.sources.pop()
 
+    def _shared(self, j: N.Join, n: int) -> list[str]:
+        """The columns of USING or NATURAL."""
+        mine = [c for s in self.sources[:n] for c in s.columns]
+        other = self.sources[n].columns
+        if j.natural:
+            return [c for c in mine if c in other]
+        for name in j.using or []:
+            if mine.count(name) != 1 or name not in other:
+                raise ScriptError(f"USING: {name} must be one column of each side")
+        return list(j.using or [])
+
+    def _merge(self, name: str, n: int, kind: str) -> None:
+        """A column of USING appears once, as the side's that is always there, or as either's."""
+        if kind in ("semi", "anti"):
+            return
+        right = self.sources[n]
+        owner = next(s for s in self.sources[:n] if name in s.columns)
+        owner.merged[name], right.merged[name] = owner.columns[name], right.columns.pop(name)
+        if kind == "right":
+            owner.columns[name] = right.merged[name]
+        elif kind == "full":
+            both = f"__u{n}_{name}"
+            self.df = self.df.withColumn(both, F.coalesce(F.col(f"`{owner.merged[name]}`"), F.col(f"`{right.merged[name]}`")))
+            if {owner.merged[name], right.merged[name]} <= self.clean:
+                self.clean.add(both)
+            owner.columns[name] = both
+
+    def _owners(self, e: N.Expr) -> set[int]:
+        """Which sources an expression reads; -1 for what can't be told."""
+        out: set[int] = set()
+        for node in N.walk(e):
+            if isinstance(node, (N.Lambda, N.Subquery)):
+                out.add(-1)
+            if isinstance(node, N.Name):
+                first, rest = node.parts[0], node.parts[1:]
+                found = [i for i, s in enumerate(self.sources) if rest and s.alias == first and (rest[0] in s.columns or rest[0] in s.merged)]
+                found = found or [i for i, s in enumerate(self.sources) if first in s.columns]
+                out |= set(found[:1]) if len(found) == 1 else set(found) | ({-1} if found else set())
+        return out
+
     # --- names --------------------------------------------------------------------------------------------
 
     def stored(self, column: str) -> Cell:
         kind = self.df.schema[column].dataType
         c = F.col(f"`{column}`")
-        return A.column(c, kind) if C.is_cell(kind) else A.raw(c, kind)
+        return A.column(c, kind, column in self.clean) if C.is_cell(kind) else A.raw(c, kind)
 
-    def resolve(self, parts: list[str]) -> Cell:
+    def resolve(self, parts: list[str], before: int | None = None) -> Cell:
         first, rest = parts[0], parts[1:]
         if first in self.bound:
             return self._fields(self.bound[first], rest)
         if first in self.scoped:
             return self._fields(self.stored(self.scoped[first]), rest)
-        for s in self.sources:
-            if rest and s.alias == first and rest[0] in s.columns:
-                return self._fields(self.stored(s.columns[rest[0]]), rest[1:])
-        owners = [s for s in self.sources if first in s.columns]
+        sources = self.sources[:before]
+        for s in sources:
+            own = s.merged | s.columns if rest and s.alias == first else {}
+            if rest and rest[0] in own:
+                return self._fields(self.stored(s.merged.get(rest[0], s.columns.get(rest[0]))), rest[1:])
+        owners = [s for s in sources if first in s.columns]
         if len(owners) > 1:
             raise ScriptError(f"{first} is a column of {' and '.join(s.alias for s in owners)}")
         if owners:
@@ -189,6 +283,10 @@ class Lowering:
             return self._fields(self.context.inputs[first], rest)
         raise ScriptError(f"unknown name {'.'.join(parts)}")
 
+    def explode(self, items: Cell, name: str, position: str | None, outer: bool = False) -> None:
+        f = CellFrame(self.df, self.clean).explode(items, name, position, outer)
+        self.df, self.clean = f.df, set(f.clean)
+
     def _fields(self, cell: Cell, names: list[str]) -> Cell:
         for n in names:
             kind = self.type_of(cell)
@@ -240,7 +338,7 @@ class Lowering:
                 if isinstance(known, N.Name) and known.parts[-1] == e.parts[-1]:
                     return cell
             if e.parts[0] not in self.context.inputs and e.parts[0] not in self.bound:
-                raise ScriptError(f"{'.'.join(e.parts)} is neither grouped nor aggregated")
+                raise Ungrouped(f"{'.'.join(e.parts)} is neither grouped nor aggregated")
         return self.resolve(e.parts)
 
     def _unary(self, e: N.Unary) -> Cell:
@@ -325,6 +423,21 @@ class Lowering:
                 cell = A.access(cell, self.lower(key), isinstance(kind, T.MapType))
         return cell
 
+    def _slice(self, e: N.Slice) -> Cell:
+        """x[a:b] of an array or a VARIANT list, positions a to b - 1 from 0; no error of its own."""
+        cell = self.lower(e.base)
+        variant = isinstance(self.type_of(cell), T.VariantType)
+        low = self.lower(e.low) if e.low is not None else A.literal(0)
+        high = self.lower(e.high) if e.high is not None else None
+
+        def build(v: Column, a: Column, *b: Column) -> Column:
+            items = F.from_json(F.to_json(v), "array<variant>") if variant else v
+            n = F.greatest((b[0] if b else F.size(items)) - a, F.lit(0))
+            part = F.when(items.isNotNull(), F.slice(items, a.cast("int") + 1, n.cast("int")))
+            return F.to_variant_object(part) if variant else part
+
+        return Cell(*_pair(A.lift(build, cell, low, *([high] if high else []))), kind=T.VariantType() if variant else None)
+
     def _path(self, e: N.Path) -> Cell:
         cell = self.lower(e.base)
         kind = self.type_of(cell)
@@ -366,7 +479,7 @@ class Lowering:
             kind = e.args[2].value if len(e.args) > 2 else "variant"
             if not isinstance(path, N.Literal):
                 raise ScriptError(f"{low} needs a literal path")
-            return Cell(A.variant_get(base.value, path.value, kind), base.errors, kind=T.VariantType() if kind == "variant" else None)
+            return Cell(A.variant_get(base.value, path.value, kind), base.parts, kind=T.VariantType() if kind == "variant" else None)
         if low == "get" and len(e.args) == 2:
             base = self.lower(e.args[0])
             return A.get(base, self.lower(e.args[1]), self.type_of(base))
@@ -389,7 +502,7 @@ class Lowering:
                     hidden = f"__h{self.hidden}"
                     self.hide(c.value)
                     texts.append(f"`{hidden}`")
-            return Cell(F.expr(f"{name}({', '.join(texts)})"), A.merged(*[c.errors for c in cells if c is not None]))
+            return Cell(F.expr(f"{name}({', '.join(texts)})"), A.merged(*[c.parts for c in cells if c is not None]))
         cells = [self.lower(a) for a in e.args]
         return A.lift(lambda *v: F.call_function(name, *v), *cells)
 
@@ -403,14 +516,13 @@ class Lowering:
         if len(e.args) > len(names) or len(given) < len(names):
             raise BindError(f"{m.name} takes {len(names)} arguments")
         before, grouping = self.bound, self.grouping
-        # Values only: what goes wrong inside the body isn't tracked, the arguments' errors are.
-        self.bound = {n: Cell(c.value, kind=self.type_of(c)) for n, c in given.items()}
+        # The body is lowered as if written in place of the call, over the arguments with their errors.
+        self.bound = {n: c.of(self.type_of(c)) for n, c in given.items()}
         self.grouping = False
         try:
-            result = self.lower(m.body)
+            return self.lower(m.body)
         finally:
             self.bound, self.grouping = before, grouping
-        return Cell(result.value, A.merged(*[c.errors for c in given.values()]), kind=result.kind)
 
     def _function(self, e: N.Call) -> Cell:
         f = self.context.registry.get(e.name)
@@ -436,6 +548,8 @@ class Lowering:
         if not self.grouping:
             raise ScriptError(f"{e.name} is an aggregate; it is not allowed here")
         name = e.name.lower()
+        if name in ("grouping", "grouping_id"):
+            return Cell(F.call_function(name, *[self.lower(a).value for a in e.args]))
         self.grouping = False
         try:
             if len(e.args) == 1 and isinstance(e.args[0], N.Star) or not e.args:
@@ -466,7 +580,7 @@ class Lowering:
         if orders:
             w = w.orderBy(*[_direction(c.plain(), o) for c, o in orders])
         if e.window.frame:
-            raise unsupported("window frame", REWRITES["window frame"])
+            w = _framed(w, e.window.frame)
         name = e.name.lower()
         star = not args and name == "count"
         literal = [a.value if isinstance(a, N.Literal) else None for a in e.args]
@@ -485,8 +599,35 @@ class Lowering:
         return A.over(fn, w, args, [*parts, *[c for c, _ in orders]])
 
 
-def _pair(cell: Cell) -> tuple[Column, Column | None]:
-    return cell.value, cell.errors
+def _all(parts) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out & p
+    return out
+
+
+def _framed(w, text: str):
+    """ROWS or RANGE frames with whole-number bounds."""
+    words = text.lower().split()
+    kind, bounds = words[0], " ".join(words[1:]).removeprefix("between ").split(" and ")
+    if len(bounds) == 1:
+        bounds.append("current row")
+
+    def bound(b: str) -> int:
+        amount, _, side = b.partition(" ")
+        if b == "current row":
+            return Window.currentRow
+        if amount == "unbounded":
+            return Window.unboundedPreceding if side == "preceding" else Window.unboundedFollowing
+        if not amount.isdigit() or side not in ("preceding", "following"):
+            raise unsupported(f"frame bound {b}", "use a whole number")
+        return -int(amount) if side == "preceding" else int(amount)
+
+    return (w.rowsBetween if kind == "rows" else w.rangeBetween)(*[bound(b.strip()) for b in bounds])
+
+
+def _pair(cell: Cell) -> tuple[Column, tuple[Column, ...]]:
+    return cell.value, cell.parts
 
 
 def _column_names(fn, order: list[str]) -> list[str]:
@@ -529,10 +670,13 @@ def output_name(item: N.Item) -> str:
     return " ".join(item.text.split())
 
 
-def lower_query(q: N.Query, context: Context, ctes: dict[str, DataFrame] | None = None) -> CellFrame:
+def lower_query(q: N.Query, context: Context, ctes: dict[str, CellFrame] | None = None) -> CellFrame:
+    for construct in q.banned:
+        if construct in NEVER or context.strict:
+            raise unsupported(construct, REWRITES[construct])
     known = dict(ctes or {})
     for name, sub in q.ctes:
-        known[name] = lower_query(sub, context, known).df
+        known[name] = lower_query(sub, context, known)
     if q.operator:
         return _set_operation(q, context, known)
     low = Lowering(context, known)
@@ -542,14 +686,19 @@ def lower_query(q: N.Query, context: Context, ctes: dict[str, DataFrame] | None
         low.df = context.spark.range(1).select(F.lit(0).alias("__one"))
     for j in q.joins:
         low.join(j)
+    _laterals(q, low)
     if q.where is not None:
         low.df = low.df.where(A.decision(low.lower(q.where), "WHERE"))
     _generators(q, low)
     aggregated = bool(q.group) or _has_aggregate([i.expr for i in q.items], context) or _has_aggregate(q.having, context)
-    out = _grouped(q, low) if aggregated else _projected(q, low)
+    return _cut(_grouped(q, low) if aggregated else _projected(q, low), q, context)
+
+
+def _cut(out: CellFrame, q: N.Query, context: Context) -> CellFrame:
+    skip = limit_rows(q.offset, context) if q.offset is not None else 0
     if q.limit is not None:
-        out = out.limit(limit_rows(q.limit, context))
-    return out
+        return out.limit(limit_rows(q.limit, context), skip)
+    return out.offset(skip) if skip else out
 
 
 def limit_rows(e: N.Expr, context: Context) -> int:
@@ -557,44 +706,59 @@ def limit_rows(e: N.Expr, context: Context) -> int:
         return e.value
     if isinstance(e, N.Name) and e.parts[0] in context.inputs:
         return int(context.spark.range(1).select(context.inputs[e.parts[0]].value).first()[0])
-    raise ScriptError("LIMIT takes a number or a declared input")
+    raise ScriptError("LIMIT and OFFSET take a number or a declared input")
 
 
-def _set_operation(q: N.Query, context: Context, known: dict[str, DataFrame]) -> CellFrame:
-    left, right = CellFrame.wrap(lower_query(q.left, context, known).df), CellFrame.wrap(lower_query(q.right, context, known).df)
+def _set_operation(q: N.Query, context: Context, known: dict[str, CellFrame]) -> CellFrame:
+    left, right = (CellFrame.wrap(f.df, clean=f.clean) for f in (lower_query(q.left, context, known), lower_query(q.right, context, known)))
     if len(left.columns) != len(right.columns):
         raise ScriptError("both sides of a set operation need as many columns")
-    right = CellFrame(right.df.toDF(*left.columns))
+    places = dict(zip(right.columns, left.columns))
+    right = CellFrame(right.df.toDF(*left.columns), {places[c] for c in right.clean})
     op = q.operator
     if op.startswith("union"):
         out = left.union(right, distinct=op == "union")
     else:
-        a, b = left.unwrap(), right.unwrap()
+        # Rows are compared by value; an errored cell has none, so it fails the stage.
+        a, b = (f.df.select(*[A.decision(f[n], op.upper()).alias(n) for n in f.columns]) for f in (left, right))
         fn = {"intersect": a.intersect, "intersect all": a.intersectAll, "except": a.subtract, "except all": a.exceptAll}[op]
         out = CellFrame.wrap(fn(b))
     if q.order:
         out = out.order(*[(out[".".join(o.expr.parts)] if isinstance(o.expr, N.Name) else out[out.columns[o.expr.value - 1]], _how(o)) for o in q.order])
-    if q.limit is not None:
-        out = out.limit(limit_rows(q.limit, context))
-    return out
+    return _cut(out, q, context)
 
 
 def _how(o: N.Order) -> str:
     return f"{'desc' if o.desc else 'asc'}_nulls_{o.nulls or ('last' if o.desc else 'first')}"
 
 
+def _laterals(q: N.Query, low: Lowering) -> None:
+    """LATERAL VIEW: a row per item beside the columns so far."""
+    for n, view in enumerate(q.laterals):
+        name = view.call.name.lower()
+        if name not in GENERATORS:
+            raise ScriptError(f"LATERAL VIEW {view.call.name} is not supported; use explode or posexplode")
+        items = low.lower(view.call.args[0])
+        positions = name.startswith("pos")
+        names = view.names if len(view.names) == 1 + positions else ["pos", "col"] if positions else ["col"]
+        cell, at = f"__l{n}", f"__lp{n}" if positions else None
+        low.explode(items.of(low.type_of(items)), cell, at, view.outer or name.endswith("_outer"))
+        columns = {names[-1]: cell} | ({names[0]: at} if positions else {})
+        low.sources.append(_Source(f"__lateral{n}", columns))
+
+
 def _generators(q: N.Query, low: Lowering) -> None:
     """Row-expanding items first: their outputs are names that all items may use."""
     for n, item in enumerate(q.items):
         if isinstance(item.expr, N.Call) and item.expr.name.lower() in GENERATORS:
             items = low.lower(item.expr.args[0])
-            items = Cell(items.value, items.errors, kind=low.type_of(items))
-            positions = item.expr.name.lower() == "posexplode"
+            items = items.of(low.type_of(items))
+            positions = item.expr.name.lower().startswith("pos")
             names = item.aliases or ([item.alias] if item.alias else (["pos", "col"] if positions else ["col"]))
             if len(names) != 1 + positions:
                 raise ScriptError(f"{item.expr.name} has {1 + positions} outputs")
             cell, at = f"__g{n}", f"__p{n}" if positions else None
-            low.df = CellFrame(low.df).explode(items, cell, at).df
+            low.explode(items, cell, at, item.expr.name.lower().endswith("_outer"))
             low.scoped[names[-1]] = cell
             outputs = [N.Item(N.Name([names[-1]]), names[-1])]
             if positions:
@@ -624,18 +788,23 @@ def _items(q: N.Query, low: Lowering) -> list[tuple[str, Cell]]:
 
 def _projected(q: N.Query, low: Lowering) -> CellFrame:
     cells = dict(_items(q, low))
-    order: list[tuple[Cell, N.Order]] = []
+    order: list[tuple[Column, str]] = []
     for o in q.order:
         name = o.expr.parts[0] if isinstance(o.expr, N.Name) and len(o.expr.parts) == 1 else None
         if name in cells:
-            order.append((cells[name], o))
+            cell = cells[name]
         elif isinstance(o.expr, N.Literal) and isinstance(o.expr.value, int):
-            order.append((list(cells.values())[o.expr.value - 1], o))
+            cell = list(cells.values())[o.expr.value - 1]
         else:
-            order.append((low.lower(o.expr), o))
-    if order and not q.distinct:
-        low.df = low.df.orderBy(*[_direction(A.decision(c, "ORDER BY"), o) for c, o in order])
-    out = CellFrame(low.df).select(cells)
+            cell = low.lower(o.expr)
+        order.append((A.decision(cell, "ORDER BY"), _how(o)))
+    keep = None
+    if q.qualify is not None:
+        before = low.bound
+        low.bound = {**{n: A.without_stored(c) for n, c in cells.items() if not any(n in s.columns for s in low.sources)}, **before}
+        keep = A.decision(low.lower(q.qualify), "QUALIFY")
+        low.bound = before
+    out = CellFrame(low.df, low.clean).select(cells, keep, [] if q.distinct else order)
     if q.distinct:
         out = out.distinct()
         if q.order:
@@ -659,7 +828,7 @@ def _grouped(q: N.Query, low: Lowering) -> CellFrame:
         errors.append(None)
         if c.errors is not None:
             low.df = low.df.withColumn(f"__ke{n}", c.errors)
-            errors[n] = F.flatten(F.collect_list(F.col(f"__ke{n}")))
+            errors[n] = A.gathered((F.when(F.size(F.col(f"__ke{n}")) > 0, F.col(f"__ke{n}")),))
     low.keys = [(g, Cell(F.col(f"__k{n}"), errors[n])) for n, (g, _) in enumerate(key_cells)]
     low.grouping = True
     cells = dict(_items(q, low))
@@ -669,7 +838,7 @@ def _grouped(q: N.Query, low: Lowering) -> CellFrame:
         if isinstance(o.expr, N.Name) and o.expr.parts[-1] in cells:
             named.append((o.expr.parts[-1], None, o))
         else:
-            named.append((None, low.lower(o.expr), o))
+            named.append((None, _order_of_group(o.expr, low), o))
     parts = []
     for i, c in enumerate(cells.values()):
         parts.append(c.value.alias(f"__v{i}"))
@@ -680,12 +849,31 @@ def _grouped(q: N.Query, low: Lowering) -> CellFrame:
     for i, (name, c, _) in enumerate(named):
         if name is None:
             parts.append(A.decision(c, "ORDER BY").alias(f"__o{i}"))
-    df = low.df.groupBy(*[F.col(f"__k{n}") for n in range(len(low.keys))]).agg(*parts)
+    columns = [F.col(f"__k{n}") for n in range(len(low.keys))]
+    if q.group_kind == "grouping sets":
+        places = [next(n for n, g in enumerate(q.group) if g == e) for s in q.sets for e in s]
+        at = iter(places)
+        grouped = low.df.groupingSets([[columns[next(at)] for _ in s] for s in q.sets], *columns)
+    else:
+        grouped = {"rollup": low.df.rollup, "cube": low.df.cube}.get(q.group_kind, low.df.groupBy)(*columns)
+    df = grouped.agg(*parts)
     if having is not None:
         df = df.where("__having")
     places = {n: i for i, n in enumerate(cells)}
     if named:
         df = df.orderBy(*[_direction(F.col(f"__v{places[name]}") if name else F.col(f"__o{i}"), o) for i, (name, _, o) in enumerate(named)])
     final = [A.assemble(Cell(F.col(f"__v{i}"), F.col(f"__e{i}") if c.errors is not None else None)).alias(n) for i, (n, c) in enumerate(cells.items())]
-    out = CellFrame(df.select(*final))
+    out = CellFrame(df.select(*final), {n for n, c in cells.items() if c.errors is None})
     return out.distinct() if q.distinct else out
+
+
+def _order_of_group(e: N.Expr, low: Lowering) -> Cell:
+    """An order key of a grouped query; what is neither grouped nor aggregated counts as the group's first value."""
+    try:
+        return low.lower(e)
+    except Ungrouped:
+        low.grouping = False
+        try:
+            return A.aggregate(lambda v: F.first(v, ignorenulls=True), low.lower(e))
+        finally:
+            low.grouping = True

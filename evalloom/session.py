@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder, which all executors see; Spark makes it."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable lineage cut: computed once, kept in the shared checkpoint folder, survives lost executors."""
     checkpoint_dir(df.sparkSession)

@@ -6,13 +6,12 @@ all that was there is processed. The checkpoint folder makes a second run take o
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..script.surface import ScriptError
+from ..session import scratch
+from ..sources import files
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -42,21 +41,33 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append", liste
         listener += [p["numInputRows"] for p in query.recentProgress]
 
 
-def drain_to_table(df: DataFrame, mode: str, checkpoint: str | None = None, folder: str | None = None) -> DataFrame:
-    """Run a stream in any mode; the last state of each batch is written by foreachBatch, complete batches overwrite."""
-    folder = folder or tempfile.mkdtemp(prefix="evalloom-stream-")
+def drain_to_table(df: DataFrame, mode: str, checkpoint: str | None = None, folder: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream in any mode; the rows of its last state.
+
+    Each batch is written by foreachBatch under its number: complete batches replace all before, those of update
+    mode replace the rows of the same keys, which must be named, and those of append mode add rows. A batch that
+    runs again overwrites itself. Without a folder, one below the shared checkpoint folder is made.
+    """
+    if mode == "update" and not keys:
+        raise ScriptError("update mode needs the keys whose rows replace each other")
+    folder = folder or scratch(df.sparkSession, "stream")
     out = f"{folder}/out"
-    how = "overwrite" if mode == "complete" else "append"
     query = (
         df.writeStream.outputMode(mode)
-        .foreachBatch(lambda b, _: b.write.mode(how).parquet(out))
+        .foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}"))
         .option("checkpointLocation", checkpoint or f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     spark = df.sparkSession
-    return spark.read.parquet(out) if os.path.exists(out) else spark.createDataFrame([], df.schema)
+    if not files.exists(out):
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.parquet(out)
+    if mode == "update":
+        last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col("batch"))
+        return rows.groupBy(*keys).agg(last.alias("__last")).select("__last.*")
+    return rows if mode == "complete" else rows.drop("batch")
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], aggregates: list[Column], delay: str | None = None, slide: str | None = None) -> DataFrame:
