@@ -21,12 +21,12 @@ def no_errors() -> Column:
     return F.expr(f"CAST(array() AS {_ERRORS})")
 
 
-def error(code: str, message: str, source: str = "engine", path: str | Column | None = None) -> Column:
+def error(code: str | Column, message: str | Column, source: str = "engine", path: str | Column | None = None) -> Column:
     """An array of one error."""
     text = lambda v: v if isinstance(v, Column) else F.lit(v).cast("string")
     return F.array(
         F.struct(
-            F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(source).alias("source"), text(path).alias("path"), F.lit(True).alias("recoverable"),
+            text(code).alias("code"), text(message).alias("message"), F.lit(source).alias("source"), text(path).alias("path"), F.lit(True).alias("recoverable"),
             F.lit(None).cast("string").alias("cause_code"), F.lit(None).cast("string").alias("cause_message"),
             F.lit(None).cast("map<string,string>").alias("details"),
         )

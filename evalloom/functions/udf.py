@@ -110,13 +110,7 @@ def prepare(function: Function, arguments: dict[str, Cell], in_flight: int | Non
 
     def cell(done: Column) -> Cell:
         value = F.try_parse_json(done["value"]) if function.returns == "variant" else done["value"]
-        own = F.array(
-            F.struct(
-                done["code"].alias("code"), done["message"].alias("message"), F.lit(function.name).alias("source"), F.lit(None).cast("string").alias("path"),
-                F.lit(True).alias("recoverable"), F.lit(None).cast("string").alias("cause_code"), F.lit(None).cast("string").alias("cause_message"),
-                F.lit(None).cast("map<string,string>").alias("details"),
-            )
-        )
+        own = A.error(done["code"], done["message"], function.name)
         errors = A.own_error(upstream, done["code"].isNotNull(), own)
         return Cell(value, errors, done["ms"], kind=_variant(function), trace=_trace(function, done, skip, in_flight))
 
@@ -163,8 +157,7 @@ def _parts(results: list) -> pd.DataFrame:
 
 def outcome(done: Column, source: str) -> Cell:
     """The cell of a function that was made with errors=True."""
-    own = A.error(C.PYTHON_ERROR, "", source)
-    own = F.transform(own, lambda e: e.withField("message", F.coalesce(done["message"], done["name"])))
+    own = A.error(C.PYTHON_ERROR, F.coalesce(done["message"], done["name"]), source)
     return Cell(done["value"], (F.when(done["name"].isNotNull(), own),))
 
 
