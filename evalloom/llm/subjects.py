@@ -11,9 +11,9 @@ company and inherit its label; phrases that stand in documents of any subject (r
 words of several meanings) get all labels weakly and so none.
 
 Bounds, all parameters: the table has BUCKETS x DIM numbers whatever the data; a training set has at most
-TRAIN_ROWS sentences of the corpus, chosen by hash of document and place from all documents, so that each copy of
-a repeated sentence is drawn or not by itself. Their labels are the model's own. Scoring covers every sentence of every document, in
-one pass without a shuffle.
+TRAIN_ROWS sentences of the corpus, those of documents drawn by a hash from all documents before any is scored, so
+that a repeated sentence is in it as often as in the corpus. Their labels are the model's own. Every sentence of every
+document is scored, in one pass without a shuffle; there is one output per subject, however many there are.
 
 Null and blank texts have no subject. Sentences inside code blocks, headings and settings are not read as prose.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
@@ -49,6 +49,7 @@ LEAST_SENTENCES = 2
 #: Second words of company names.
 COMPANY_WORDS = "Systems|Foods|Clinics|Rail|Works|Energy|Studios|Labs|Mutual|Logistics|Ltd|Inc|GmbH|AG|Group|Bank|Insurance|Airlines|Partners|Holdings"
 
+_COMPANY_WORD = re.compile(rf" (?:{COMPANY_WORDS})\b")
 _COMPANY = re.compile(rf"\b[A-Z][\w'&-]+(?: (?:&|and|und|et|y) [A-Z][\w'-]+)? (?:{COMPANY_WORDS})\b")
 _ASIDE = re.compile(r"\s*\((?:(?:see|siehe|voir|véase) )?[^()]{0,60}\)")
 _PREFIX = re.compile(r"^\s*(?:[-*>•]+\s*|\d+[.)]\s+|§\s*\d+\s*|\[[^\]]{0,20}\]\s*|[^\W\d_]+(?:\s\[\d+\])?:\s+)+")
@@ -67,7 +68,11 @@ def sentences(text: str) -> list[str]:
             continue
         if code or _HEADING.match(line):
             continue
-        line = _SETTING.sub(" ", _ASIDE.sub(" ", _COMPANY.sub(" ", _PREFIX.sub("", " ".join(line.split())))))
+        line = _PREFIX.sub("", " ".join(line.split()))
+        # A pattern is tried only where what it needs is there.
+        for needed, pattern in ((_COMPANY_WORD.search(line), _COMPANY), ("(" in line, _ASIDE), ("=" in line, _SETTING)):
+            if needed:
+                line = pattern.sub(" ", line)
         line = " ".join(line.split())
         out += [s for s in _SPLIT.split(line) if _WORD.search(s)]
     return out
@@ -91,10 +96,14 @@ class Features:
             self.words[w] = [self._hash("w" + w)] * 2 + grams
         return self.words[w]
 
-    def sentence(self, text: str) -> list[int]:
+    def split(self, text: str) -> tuple[list[str], list[int]]:
+        """A sentence's words, and the ids of its pairs of words."""
         words = [w.lower() for w in _WORD.findall(text)]
-        ids = [i for w in words for i in self.word(w)]
-        return ids + [self._hash(f"b{a} {b}") for a, b in zip(words, words[1:])] * 1
+        return words, [self._hash(f"b{a} {b}") for a, b in zip(words, words[1:])]
+
+    def sentence(self, text: str) -> list[int]:
+        words, pairs = self.split(text)
+        return [i for w in words for i in self.word(w)] + pairs
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All feature ids in one array, and where each text's begin."""
@@ -162,6 +171,64 @@ class Model:
         return {"moved": moved.tobytes(), "rows": rows.tobytes(), "layer": layer.tobytes()}
 
 
+class Scorer:
+    """A model's probabilities for many sentences: equal ones once, and each word's embeddings summed once."""
+
+    #: Words whose sums are kept.
+    KEPT = 100_000
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.features = model, Features(len(model.table))
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sums = np.zeros((1024, self.model.table.shape[1]), np.float32)
+        self.sizes = np.zeros(1024, np.float32)
+
+    def _word(self, w: str) -> int:
+        at = self.known.get(w)
+        if at is None:
+            at = self.known[w] = len(self.known)
+            if at == len(self.sums):
+                self.sums, self.sizes = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            ids = self.features.word(w)
+            self.sums[at], self.sizes[at] = self.model.table[ids].sum(axis=0), len(ids)
+        return at
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, len(self.model.bias)), np.float32)
+        if len(self.known) > self.KEPT:
+            self._reset()
+        places: dict[str, int] = {}
+        at = [places.setdefault(t, len(places)) for t in texts]
+        words, pairs, n_words, n_pairs = [], [], [], []
+        for t in places:
+            own, ids = self.features.split(t)
+            words += [self._word(w) for w in own]
+            pairs += ids
+            n_words.append(len(own))
+            n_pairs.append(len(ids))
+        total, size = self._gather(self.sums, words, n_words), self._gather(self.sizes[:, None], words, n_words)
+        total += self._gather(self.model.table, pairs, n_pairs)
+        size += np.array(n_pairs, np.float32)[:, None]
+        hidden = total / np.maximum(size, 1)
+        p = 1 / (1 + np.exp(-np.clip(hidden @ self.model.weights + self.model.bias, -30, 30)))
+        return p[at]
+
+    @staticmethod
+    def _gather(rows: np.ndarray, ids: list[int], counts: list[int]) -> np.ndarray:
+        """Sums of the rows of each text; texts may have none."""
+        out = np.zeros((len(counts), rows.shape[1]), np.float32)
+        n = np.array(counts, np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            starts = np.cumsum(n) - n
+            out[some] = np.add.reduceat(rows[np.array(ids, np.int64)], starts[some], axis=0)
+        return out
+
+
 def fit(rows: DataFrame, model: Model, rounds: int, passes: int = PASSES, parts: int = TRAIN_PARTS) -> Model:
     """Train on rows (text, target array<float>): rounds of local steps, changes averaged between rounds."""
     spark = rows.sparkSession
@@ -222,30 +289,48 @@ def sentence_count(documents: DataFrame) -> int:
     return spread(documents.select("text")).mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
+#: Documents, about, from which the sentences of all are estimated.
+COUNTED = 4_000
+
+
+def _place() -> Column:
+    """A document's place in the order of a draw, from 0 to 2**32."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 32))
+
+
+def estimated_sentences(documents: DataFrame) -> int:
+    """About how many sentences the documents have: their characters by those of a sentence in a drawn part."""
+    size = F.length("text").cast("bigint")
+    n, chars = documents.agg(F.count(F.lit(1)), F.sum(size)).first()
+    share = min(1.0, COUNTED / max(n, 1))
+    drawn = documents.where(_place() < int(share * (1 << 32))) if share < 1 else documents
+    seen = drawn.agg(F.sum(size)).first()[0] or 1
+    return max(1, round(sentence_count(drawn) * (chars or 0) / seen))
+
+
 def company_rows(documents: DataFrame, model: Model, n_sentences: int, train_rows: int, sharpen: bool) -> DataFrame:
-    """At most train_rows of the corpus' n_sentences sentences, with what the model finds in their documents' other sentences."""
+    """At most train_rows of the corpus' n_sentences sentences, with what the model finds in their documents' other sentences.
+
+    Documents are drawn first and only they are scored; sentences beyond the bound are those of the documents drawn last.
+    """
     sent = documents.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))
     cutoff = min(1 << 32, (train_rows << 32) // max(n_sentences, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, features = Model(*sent.value), Features(len(sent.value[0]))
+        scorer = Scorer(Model(*sent.value))
         for b in batches:
-            rows = []
-            for doc, text in zip(b.doc_id, b.text):
-                parts = sentences(text)
+            split = [sentences(text) for text in b.text]
+            scores = scorer.of([s for parts in split for s in parts])
+            rows, end = [], 0
+            for place, parts in zip(b.place, split):
+                p, end = scores[end : end + len(parts)], end + len(parts)
                 if len(parts) < 2:
                     continue
-                places = [zlib.crc32(f"{doc} {i}".encode(), 1) for i in range(len(parts))]
-                if min(places) >= cutoff:
-                    continue
-                p = own.probabilities(*features.rows(parts))
                 best = p.max(axis=1)
                 sure = best >= SENTENCE_FLOOR
                 held = np.where(sure[:, None], p / p.sum(axis=1, keepdims=True) * best[:, None], 0)
                 total = held.sum(axis=0)
                 for i, s in enumerate(parts):
-                    if places[i] >= cutoff:
-                        continue
                     others = total - held[i]
                     weight = others.sum()
                     if weight < 0.5:
@@ -256,12 +341,13 @@ def company_rows(documents: DataFrame, model: Model, n_sentences: int, train_row
                         target = 0.5 * target + 0.5 * mixed / mixed.sum() * min(1.0, best[i] * 1.5)
                     elif sharpen:
                         target = target * 0.5
-                    rows.append((s, target.tolist(), places[i]))
+                    rows.append((s, target.tolist(), place))
             yield pd.DataFrame(rows, columns=["text", "target", "place"])
 
-    drawn = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).mapInPandas(run, "text string, target array<float>, place bigint")
-    # The hash meets its share only about; what is drawn beyond the bound is left out.
-    return (drawn if n_sentences <= train_rows else drawn.orderBy("place", "text").limit(train_rows)).select("text", "target")
+    drawn = documents.select("text", _place().alias("place")).where(F.col("place") < F.lit(cutoff))
+    rows = spread(drawn).mapInPandas(run, "text string, target array<float>, place bigint")
+    # The draw meets its share only about; what lies beyond the bound is left out.
+    return (rows if n_sentences <= train_rows else rows.orderBy("place", "text").limit(train_rows)).select("text", "target")
 
 
 def learn(documents: DataFrame, examples: DataFrame, subjects: list[str], train_rows: int = TRAIN_ROWS) -> Model:
@@ -269,7 +355,7 @@ def learn(documents: DataFrame, examples: DataFrame, subjects: list[str], train_
     labelled = cut(example_rows(examples, subjects))
     model = fit(labelled, Model.fresh(len(subjects)), ROUNDS_FIRST, passes=6, parts=2)
     documents = documents.where(F.col("text").isNotNull())
-    n_sentences = sentence_count(documents)
+    n_sentences = estimated_sentences(documents)
     for again in (False, True):
         rows = company_rows(documents, model, n_sentences, train_rows, again)
         model = fit(rows.unionAll(labelled), Model.fresh(len(subjects)) if not again else model, ROUNDS_NEXT)
@@ -289,20 +375,21 @@ def document_subjects(p: np.ndarray) -> list[int]:
 
 def classify(documents: DataFrame, examples: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject) for every document and subject that it is about."""
-    names = [r[0] for r in subjects.select("subject").where(F.col("subject").isNotNull()).distinct().orderBy("subject").limit(1000).collect()]
+    names = [r[0] for r in subjects.select("subject").where(F.col("subject").isNotNull()).distinct().orderBy("subject").collect()]
     if not names:
         return documents.select("doc_id", F.lit("").alias("subject")).limit(0)
     model = learn(documents, examples, names)
     sent = documents.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, features = Model(*sent.value), Features(len(sent.value[0]))
+        scorer = Scorer(Model(*sent.value))
         for b in batches:
-            rows = []
-            for doc, text in zip(b.doc_id, b.text):
-                parts = sentences(text)
-                if parts:
-                    rows += [(doc, names[k]) for k in document_subjects(own.probabilities(*features.rows(parts)))]
+            split = [sentences(text) for text in b.text]
+            scores = scorer.of([s for parts in split for s in parts])
+            rows, end = [], 0
+            for doc, parts in zip(b.doc_id, split):
+                p, end = scores[end : end + len(parts)], end + len(parts)
+                rows += [(doc, names[k]) for k in document_subjects(p)]
             yield pd.DataFrame(rows, columns=["doc_id", "subject"])
 
     # Ids travel as text: pandas would make numbers with nulls among them floating.
