@@ -8,7 +8,7 @@ as the caps on repetition let it be with all shares met, or as large as asked fo
 
 The flows are then made out in texts: a seeded hash lines up the units of a pattern, and each flow takes a
 stretch of the line, going round it as often as texts repeat. Places on the line are prefix sums over hash
-buckets and then inside the small buckets, so no pattern is ever sorted in one task.
+buckets (blocks of them first) and then inside the small buckets, so no pattern is ever sorted or summed in one task.
 
 Null texts, texts without tokens, and sources without a target take no part. A null cap is one use.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
+from .packing import running_sum
 from .tokens import VOCABULARY, count_tokens, source_name
 
 SEED = 20
@@ -169,8 +170,7 @@ def select(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     # Unsigned order of h, as in the bucket.
     order = [(F.col("h") < 0).asc(), F.col("h"), F.col("unit")]
     per_bucket = hashed.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("t"))
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("pattern", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
+    offsets = running_sum(per_bucket, "pattern", "bucket", "t", "offset").select("pattern", "bucket", "offset")
     inside = Window.partitionBy("pattern", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = hashed.withColumn("inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(offsets, ["pattern", "bucket"])
     placed = placed.withColumn("place", F.col("offset") + F.col("inside"))

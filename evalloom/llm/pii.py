@@ -1,15 +1,20 @@
 """Personal information in free text, by bootstrapped contextual extraction.
 
-Mentions of four kinds (numbers, names, addresses, e-mail addresses) are proposed by shape. E-mail addresses and
-street addresses are plain patterns: what has their form counts, an address only with a street word of the lists
-below. What a number or name is, is learned: a bipartite graph links patterns (the words left and right of a
-mention) with instances (shapes of numbers, words of names). Seed instances and seed patterns, few and general,
-carry scores; Spark passes scores from instances to patterns and back for some rounds, always over the aggregated edges, never over
-the texts. Patterns that score high then discover instances no seed covers, and known instances are found again
-in messages written all in capitals or small letters, where shape says nothing.
+Mentions of four kinds (numbers, names, addresses, e-mail addresses) are proposed by shape; what they are is
+learned. A bipartite graph links patterns with instances: patterns are the words left and right of a mention and the
+nearest word that says what it is; instances are the forms of numbers and of e-mail addresses, the street words of
+addresses and the words of names. Seeds, few and general, carry scores: numbers beside cue words, names after titles,
+e-mail addresses with an @ or a bracketed one, listed street words. Spark passes scores from instances to patterns and back for some
+rounds, always over the aggregated edges, never over the texts. Patterns that score high then discover what no seed
+covers: numbers without a cue, e-mail addresses in words, street words on no list, names without a title; and known
+instances are found again in messages written all in capitals or small letters, where shape says nothing. A mention
+of any kind counts by the scores of its patterns and its instance alone, and is left out where those for `other` are
+higher.
 
 The graph's edges are pre-aggregated on the map side, so a customer or a text that makes up a third of all rows
-costs one edge; equal texts are examined once. Lexicon and pattern scores reach the texts through joins.
+costs one edge; equal texts are examined once. Texts are read twice: once for mentions and edges, once for names,
+when the lexicon is known. Scores reach the mentions by broadcast where their table is measured to be small, and
+otherwise by joins on salted keys, with the same result.
 
 Nulls and blank texts have no mentions. A row redelivered gives its mentions once. Positions are code points.
 """
@@ -18,8 +23,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,6 +70,11 @@ SUPPORT = 3.0
 COMMON = 0.93
 #: A pattern counts for names from this share of names among what it takes.
 PATTERN_FLOOR = 0.6
+#: What an e-mail or street address needs from its patterns and its form or street word together; and a street word
+#: that is on no list, from the graph alone, over so many patterns.
+SURE, OPEN_FLOOR, OPEN_BREADTH = 0.5, 0.5, 4
+#: Most rows of a table of scores that is broadcast; larger ones are joined on salted keys.
+BROADCAST_ROWS, SALTS = 500_000, 16
 
 # --- tokens and mentions ------------------------------------------------------------------------------------
 
@@ -91,8 +102,7 @@ def fold(text: str) -> str:
     return "".join(out)
 
 
-@dataclass
-class Token:
+class Token(NamedTuple):
     text: str
     low: str
     start: int
@@ -100,6 +110,9 @@ class Token:
 
 
 def tokens(text: str) -> list[Token]:
+    low = text.lower() if text.isascii() else None
+    if low is not None:
+        return [Token(m[0], low[m.start() : m.end()], m.start(), m.end()) for m in _TOKEN.finditer(text)]
     return [Token(m[0], m[0].lower().replace("’", "'"), m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
 
@@ -125,6 +138,12 @@ def shape(text: str) -> str:
     return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", text.lower()))
 
 
+def mail_form(text: str) -> str:
+    """The form of an e-mail address: words as a, the signs and words between them kept."""
+    form = re.sub(r"[^\W_]+", lambda m: m[0] if m[0] in ("at", "dot", "punkt") else "a", text.lower())
+    return re.sub(r"a(?:[._+-]+a)+", "a", form)
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in _EMAIL.finditer(text)]
 
@@ -169,10 +188,35 @@ _ADDRESS = [
 ]
 
 
+#: What every match of a pattern above holds: tried first, since it is found faster.
+_HINT = [
+    re.compile(rf"\s(?:{'|'.join(STREETS)})(?!\w)", re.IGNORECASE), re.compile(rf"(?:{'|'.join(STREETS_DE)})\.?\s\d", re.IGNORECASE),
+    re.compile(rf"\s(?:{'|'.join(STREETS_FR)})\s", re.IGNORECASE), re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, STREETS_ES))})\s", re.IGNORECASE),
+]
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿ][\w'’\-]+"
+#: The same forms around a street word that no list has.
+_OPEN = [
+    re.compile(rf"(?<!\w)(?<!\d[ /.-])(?:{_UNIT},\s)?[1-9]\d{{0,3}}\s?[A-Za-z]?,?\s(?:{_CAPITAL}\s){{1,2}}(?P<street>{_CAPITAL})(?!\w)(?:,\s{_UNIT})?"),
+    re.compile(rf"(?<!\w)(?<!\d[ /.-])[1-9]\d{{0,3}}(?:\s(?:bis|ter))?,?\s(?P<street>[a-zß-öø-ÿ]{{4,}})\s(?:de\sla\s|des\s|du\s|de\s|d'|l'){_CAPITAL}"),
+    re.compile(rf"(?<!\w)(?P<street>[^\W\d_]{{4,}})\s(?:de\sla\s|del\s|de\slos\s|de\s){_CAPITAL},?\s[1-9]\d{{0,3}}(?!\w)"),
+]
+
+
 def addresses(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, street word) of what has the form of a street address with a house number."""
+    """(start, end, street word) of what has the form of a street address with a house number and a listed street word."""
+    out: list[tuple[int, int, str]] = []
+    for hint, pattern in zip(_HINT, _ADDRESS):
+        for m in pattern.finditer(text) if hint.search(text) else ():
+            s, e = m.span()
+            if not any(s < b and a < e for a, b, *_ in [*taken, *out]):
+                out.append((s, e, m["street"].lower()))
+    return out
+
+
+def open_addresses(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """The same with any street word: candidates, where capitals tell words apart."""
     out: list[tuple[int, int, str]] = []
-    for pattern in _ADDRESS:
+    for pattern in _OPEN:
         for m in pattern.finditer(text):
             s, e = m.span()
             if not any(s < b and a < e for a, b, *_ in [*taken, *out]):
@@ -223,8 +267,9 @@ def mentions(text: str) -> tuple[str, list[Token], list[tuple[int, int]], list[t
     """Folded text, its tokens, spans of e-mails, addresses, numbers."""
     plain = fold(text)
     mails = emails(plain)
-    streets = addresses(plain, mails)
-    nums = numbers(plain, mails + [(a, b) for a, b, _ in streets])
+    digits = any(map(str.isdigit, plain))
+    streets = addresses(plain, mails) if digits else []
+    nums = numbers(plain, mails + [(a, b) for a, b, _ in streets]) if digits else []
     return plain, tokens(plain), mails, streets, nums
 
 
@@ -233,36 +278,60 @@ def _span_words(words: list[Token], s: int, e: int) -> tuple[int, int]:
     return (inside[0], inside[-1]) if inside else (0, -1)
 
 
-def _cue(words: list[Token], first: int, last: int) -> str | None:
-    """What the nearest cue word left of a number, else right of it, in its sentence, says."""
+def _cue(words: list[Token], first: int, last: int) -> tuple[str | None, str | None]:
+    """What the nearest cue word left of a number in its sentence says, and that word; without one, the nearest longer word."""
     near = [w.low for w in words[max(0, first - 6) : first]][::-1]
+    nearest = None
     for k, low in enumerate(near):
         if low in ".!?\n" and k and not (low == "." and k + 1 < len(near) and near[k + 1] in ("no", "tel", "nr", "n")):
             break
         for kind, cues in (("id_number", ID_CUES), ("other", OTHER_CUES), ("phone", PHONE_CUES)):
             if low in cues:
-                return kind
-    return None
+                return kind, low
+        if nearest is None and len(low) > 3 and low.isalpha():
+            nearest = low
+    return None, nearest
+
+
+class Mention(NamedTuple):
+    graph: str
+    start: int
+    end: int
+    instance: str
+    seed: str | None
+    patterns: list[str]
 
 
-def graph_edges(text: str) -> Iterator[tuple[str, str, str, str | None]]:
-    """(graph, pattern, instance, kind that a seed says) of every mention, for learning."""
-    plain, words, mails, streets, nums = mentions(text)
+def form_mentions(plain: str, words: list[Token], mails, streets, nums) -> list[Mention]:
+    """The mentions that have a form of their own: e-mails, addresses, numbers; with what a seed says of them."""
+    out = []
+    for s, e in mails:
+        a, b = _span_words(words, s, e)
+        out.append(Mention("email", s, e, mail_form(plain[s:e]), "email" if re.search(r"@|[\[({]at[\])}]", plain[s:e], re.IGNORECASE) else None, context(words, a, b)))
+    busy = mails + nums + [(a, b) for a, b, _ in streets]
+    wide = open_addresses(plain, busy) if any(map(str.isdigit, plain)) and cased(plain) else []
+    for s, e, street in streets + wide:
+        a, b = _span_words(words, s, e)
+        company = b + 1 < len(words) and words[b + 1].low in COMPANY
+        out.append(Mention("address", s, e, street, "other" if company else "address" if (s, e, street) in streets else None, context(words, a, b)))
     for s, e in nums:
         a, b = _span_words(words, s, e)
         form = shape(plain[s:e])
-        seed = _cue(words, a, b)
+        seed, cue = _cue(words, a, b)
         if seed is None and (form.startswith("+") or re.fullmatch(r"\(999\) 999-9999", form)):
             seed = "phone"
-        for p in context(words, a, b):
-            yield "number", p, form, seed
+        out.append(Mention("number", s, e, form, seed, context(words, a, b) + ([f"c:{cue}"] if cue else [])))
+    return out
+
+
+def name_edges(plain: str, words: list[Token], taken: list[tuple[int, int]]) -> Iterator[tuple[str, str, str, str | None]]:
+    """(graph, pattern, instance, kind that a seed says): how words are written, and what stands around runs of capitals."""
     if not cased(plain):
         return
     for i, w in enumerate(words):
         if len(w.low) > 1 and w.text[0].isalpha():
             where = "small" if w.text[0].islower() else "first" if not i or words[i - 1].text in ".!?" else "line" if words[i - 1].text in "\n>-:" else "inside"
             yield "case", where, w.low, None
-    taken = mails + [(a, b) for a, b, _ in streets] + nums
     free = _free_words(words, taken)
     allowed = lambda i: _is_name_word(words[i], True)
     for a, b in name_runs(words, plain, allowed, free):
@@ -287,23 +356,35 @@ def graph_edges(text: str) -> Iterator[tuple[str, str, str, str | None]]:
                 yield "name", right, words[b].low, seed if start == a or titled else None
 
 
-def _edge_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_SCAN = "row string, tid string, graph string, pattern string, instance string, seed string, n bigint, s int, e int, patterns array<string>, text string, spans array<int>"
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One reading of the texts: edges, counted per batch; the mentions with a form; each text with the spans these take."""
+    names = [f.split()[0] for f in _SCAN.split(", ")]
     for batch in batches:
-        rows = [edge for text in batch.text for edge in graph_edges(text)]
-        frame = pd.DataFrame(rows, columns=["graph", "pattern", "instance", "seed"], dtype="object")
-        frame = frame.groupby(["graph", "pattern", "instance", "seed"], dropna=False).size().reset_index(name="n")
-        frame["seed"] = pd.Series([s if isinstance(s, str) else None for s in frame["seed"]], dtype="object")
+        edges: Counter = Counter()
+        rows = []
+        for tid, text in zip(batch.tid, batch.text):
+            plain, words, mails, streets, nums = mentions(text)
+            for m in form_mentions(plain, words, mails, streets, nums):
+                edges.update((m.graph, p, m.instance, m.seed) for p in m.patterns)
+                rows.append(("mention", tid, m.graph, None, m.instance, m.seed, None, m.start, m.end, m.patterns, None, None))
+            taken = mails + [(a, b) for a, b, _ in streets] + nums
+            edges.update(name_edges(plain, words, taken))
+            rows.append(("text", tid, None, None, None, None, None, None, None, None, text, [x for span in taken for x in span]))
+        rows += [("edge", None, g, p, i, seed, n, None, None, None, None, None) for (g, p, i, seed), n in edges.items()]
+        frame = pd.DataFrame(rows, columns=names, dtype="object")
         yield frame
 
 
-KINDS = ("phone", "id_number", "name", "other")
+KINDS = ("phone", "id_number", "email", "address", "name", "other")
 
 
-def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def learn(scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pattern scores, instance scores (graph, pattern or instance, mass, one score per kind) and the common words."""
     edges = (
-        spread(texts.select("text"))
-        .mapInPandas(_edge_batches, "graph string, pattern string, instance string, seed string, n bigint")
+        scanned.where(F.col("row") == "edge")
         .groupBy("graph", "pattern", "instance")
         .agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("seed") == k, F.col("n")).otherwise(0)).alias(f"seed_{k}") for k in KINDS])
         # An edge counts by the logarithm of its repeats, so that one hot text can't outvote the rest.
@@ -329,18 +410,22 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         total.alias("mass"),
         *[F.when((F.col("graph") == "name") & F.lit(k == "name"), F.when(F.sum(f"seed_{k}") > 0, 0.9).otherwise(0.0)).otherwise(share(k) / total).alias(k) for k in KINDS],
     )
+    seeds = cut(seeds)
     instances = seeds
     floors = seeds.select("graph", "instance", *[F.col(k).alias(f"floor_{k}") for k in KINDS])
-    for _ in range(ROUNDS):
+    # How far an edge says that its mention is no `other`: a name beside a company's word counts for less.
+    clean = lambda k: 1.0 - F.col("seed_other") / F.col("n") if k != "other" else F.lit(1.0)
+    for r in range(ROUNDS):
         patterns = (
-            edges.join(instances.drop("mass"), ["graph", "instance"])
+            edges.join(instances.drop("mass", "breadth"), ["graph", "instance"])
             .groupBy("graph", "pattern")
             .agg(
                 total.alias("mass"),
-                F.count_distinct("instance").alias("breadth"),
-                *[(F.sum(F.col("w") * F.greatest(F.col(k), F.col(f"seed_{k}") / F.col("n")) * (1.0 - (F.col("seed_other") / F.col("n") if k != "other" else F.lit(0.0)))) / (total + 0.5)).alias(k) for k in KINDS],
+                F.count(F.lit(1)).alias("breadth"),
+                *[(F.sum(F.col("w") * F.greatest(F.col(k), F.col(f"seed_{k}") / F.col("n")) * clean(k)) / (total + 0.5)).alias(k) for k in KINDS],
             )
         )
+        patterns = cut(patterns)
         # A name is one if any broad pattern that mostly takes names takes it (noisy or); a number's form is what
         # its patterns say on average.
         broad = F.col("breadth") >= SUPPORT + 1
@@ -349,18 +434,19 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         held = F.sum(F.when(good, F.col("w")).otherwise(0.0))
         named = (1.0 - miss) * held / (held + F.sum(F.when(bad, F.col("w")).otherwise(0.0)) + 0.1)
         mean = lambda k: F.sum(F.col("w") * F.col(k)) / total
+        # Words that open a name have their edges to left patterns, words that close one to right patterns.
+        opens = F.sum(F.when(F.col("pattern").startswith("l:"), F.col("w")).otherwise(0.0)) / total
         instances = (
             edges.join(patterns.drop("mass"), ["graph", "pattern"])
             .groupBy("graph", "instance")
-            .agg(total.alias("m"), *[F.when((F.col("graph") == "name") & F.lit(k == "name"), named).otherwise(mean(k)).alias(k) for k in KINDS])
+            .agg(total.alias("m"), F.count(F.lit(1)).alias("breadth"), opens.alias("first"), *[F.when((F.col("graph") == "name") & F.lit(k == "name"), named).otherwise(mean(k)).alias(k) for k in KINDS])
             .join(floors, ["graph", "instance"])
-            .select("graph", "instance", F.col("m").alias("mass"), *[F.greatest(F.col(k), F.col(f"floor_{k}") * 0.9).alias(k) for k in KINDS])
+            .select("graph", "instance", F.col("m").alias("mass"), "breadth", "first", *[F.greatest(F.col(k), F.col(f"floor_{k}") * 0.9).alias(k) for k in KINDS])
         )
-    # Words that open a name have their edges to left patterns, words that close one to right patterns.
-    opens = F.sum(F.when(F.col("pattern").startswith("l:"), F.col("w")).otherwise(0.0))
-    roles = edges.where(F.col("graph") == "name").groupBy("graph", "instance").agg((opens / total).alias("first"))
-    instances = instances.join(roles, ["graph", "instance"], "left").withColumn("first", F.coalesce("first", F.lit(0.5)))
-    return cut(patterns), cut(instances), common.select(F.col("instance").alias("word"))
+        instances = cut(instances)
+        if r + 1 < ROUNDS:
+            instances = instances.drop("first")
+    return patterns, instances, common.select(F.col("instance").alias("word"))
 
 
 # --- decoding ----------------------------------------------------------------------------------------------
@@ -368,24 +454,6 @@ def learn(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 #: Least lexicon score of a word that may carry a name, and what a mention needs in all.
 WORD_FLOOR, NAME_BOTH, NAME_PATTERN = 0.25, 0.45, 0.8
 
-_MENTION = "tid string, graph string, kind string, s int, e int, instance string, cue string, lex double, n_words int, patterns array<string>"
-
-
-def _fixed_mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """E-mails, addresses and numbers of each text; the words of the text as rows of graph `word`."""
-    names = ["tid", "graph", "kind", "s", "e", "instance", "cue", "lex", "n_words", "patterns"]
-    for batch in batches:
-        rows = []
-        for tid, text in zip(batch.tid, batch.text):
-            plain, words, mails, streets, nums = mentions(text)
-            rows += [(tid, "email", "email", s, e, "", None, 1.0, 1, []) for s, e in mails]
-            rows += [(tid, "address", "address", s, e, street, None, 1.0, 1, []) for s, e, street in streets]
-            for s, e in nums:
-                a, b = _span_words(words, s, e)
-                rows.append((tid, "number", None, s, e, shape(plain[s:e]), _cue(words, a, b), 0.0, 1, context(words, a, b)))
-        yield pd.DataFrame(rows, columns=names)
-
-
 def _lookup_words(text: str) -> set[str]:
     words = {t.low for t in tokens(fold(text)) if len(t.low) > 1 and t.low[0].isalpha()}
     return words | {p for w in words if "-" in w for p in w.split("-") if len(p) > 1}
@@ -397,24 +465,52 @@ def _text_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["tid", "word"])
 
 
-def _name_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_NAMES = "tid string, s int, e int, lex double, n_words int, patterns array<string>"
+
+
+def _name_rows(tids, texts, spans, lexicons) -> pd.DataFrame:
+    rows = []
+    for tid, text, taken, lexicon in zip(tids, texts, spans, lexicons):
+        pairs = list(zip(taken[0::2], taken[1::2])) if taken is not None else []
+        rows += [(tid, s, e, lex, n, patterns) for s, e, lex, n, patterns in name_candidates(text, lexicon, pairs)]
+    return pd.DataFrame(rows, columns=["tid", "s", "e", "lex", "n_words", "patterns"])
+
+
+def _names(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Candidate names of each text, given the lexicon's scores of its words."""
-    names = ["tid", "graph", "kind", "s", "e", "instance", "cue", "lex", "n_words", "patterns"]
-    for batch in batches:
-        rows = []
-        for tid, text, hits in zip(batch.tid, batch.text, batch.hits):
-            lexicon = {h["word"]: (h["score"], h["first"]) for h in hits} if hits is not None else {}
-            for s, e, lex, n, patterns in name_candidates(text, lexicon):
-                rows.append((tid, "name", "name", s, e, "", None, lex, n, patterns))
-        yield pd.DataFrame(rows, columns=names)
+    if lexicon.count() <= BROADCAST_ROWS:
+        sent = texts.sparkSession.sparkContext.broadcast({r[0]: (r[1], r[2]) for r in lexicon.select("word", "score", "first").collect()})
 
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = sent.value
+            for b in batches:
+                yield _name_rows(b.tid, b.text, b.spans, [known] * len(b))
 
-def name_candidates(text: str, lexicon: dict[str, tuple[float, float]]) -> list[tuple[int, int, float, int, list[str]]]:
-    """(start, end, mean lexicon score of the words, number of words, patterns) of the possible names in a text."""
-    plain, words, mails, streets, nums = mentions(text)
-    free = _free_words(words, mails + [(a, b) for a, b, _ in streets] + nums)
-    keep_case = cased(plain)
+        return texts.mapInPandas(run, _NAMES)
+
+    def run_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _name_rows(b.tid, b.text, b.spans, [{h["word"]: (h["score"], h["first"]) for h in hits} if hits is not None else {} for hits in b.hits])
 
+    words = texts.select("tid", "text").mapInPandas(_text_words, "tid string, word string")
+    hits = looked_up(words, lexicon, ["word"], "inner", broadcast=False).groupBy("tid").agg(F.collect_list(F.struct("word", "score", "first")).alias("hits"))
+    return texts.join(hits, "tid", "left").select("tid", "text", "spans", "hits").mapInPandas(run_hits, _NAMES)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], how: str, broadcast: bool | None = None) -> DataFrame:
+    """rows (with tid) joined to a table of distinct keys: broadcast if it is small, else on keys salted by the text, so that no key is one task's."""
+    if broadcast if broadcast is not None else table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
+def name_candidates(text: str, lexicon: dict[str, tuple[float, float]], taken: list[tuple[int, int]]) -> list[tuple[int, int, float, int, list[str]]]:
+    """(start, end, mean lexicon score of the words, number of words, patterns) of the possible names outside the taken spans."""
+    plain = fold(text)
+    words = tokens(plain)
+    free = _free_words(words, taken)
+    keep_case = cased(plain)
 
     def score(i: int) -> float:
         low = words[i].low
@@ -489,55 +585,62 @@ def name_candidates(text: str, lexicon: dict[str, tuple[float, float]]) -> list[
     return out
 
 
+def scan(texts: DataFrame) -> DataFrame:
+    """What one reading of the distinct texts finds."""
+    distinct = texts.select("text").where(F.trim("text") != "").distinct().withColumn("tid", F.md5("text"))
+    return cut(spread(distinct).mapInPandas(_scan, _SCAN))
+
+
 def find(texts: DataFrame) -> DataFrame:
-    """(text, kind, s, e) of the mentions in distinct texts."""
-    texts = cut(texts.select("text").where(F.trim("text") != "").distinct().withColumn("tid", F.sha2("text", 256)))
-    patterns, instances, common = learn(texts)
-    fixed = spread(texts).mapInPandas(_fixed_mentions, _MENTION)
+    """(tid, kind, s, e) of the mentions in distinct texts; tid is the text's md5."""
+    scanned = scan(texts)
+    patterns, instances, common = learn(scanned)
     names = instances.where((F.col("graph") == "name") & (F.col("name") >= WORD_FLOOR))
     lexicon = names.select(F.col("instance").alias("word"), F.col("name").alias("score"), "first")
     lexicon = lexicon.unionAll(common.select("word", F.lit(-1.0), F.lit(0.5)))
-    hits = (
-        spread(texts)
-        .mapInPandas(_text_words, "tid string, word string")
-        .join(lexicon, "word")
-        .groupBy("tid")
-        .agg(F.collect_list(F.struct("word", "score", "first")).alias("hits"))
-    )
-    named = texts.join(hits, "tid", "left").select("tid", "text", "hits").mapInPandas(_name_batches, _MENTION)
-    found = cut(fixed.unionAll(named))
-    sure = found.where(F.col("graph").isin("email", "address")).select("tid", "kind", "s", "e")
-    open_ = found.where(F.col("graph").isin("number", "name"))
+    named = cut(_names(scanned.where(F.col("row") == "text").select("tid", "text", "spans"), lexicon))
+    formed = scanned.where(F.col("row") == "mention").select("tid", "graph", "s", "e", "instance", F.col("seed").isNull().alias("open"), F.lit(0.0).alias("lex"), F.lit(0).alias("n_words"), "patterns")
+    open_ = formed.unionAll(named.select("tid", F.lit("name").alias("graph"), "s", "e", F.lit("").alias("instance"), F.lit(True).alias("open"), "lex", "n_words", "patterns"))
+    known = patterns.where((F.col("mass") >= SUPPORT) & ((F.col("graph") != "name") | (F.col("breadth") >= SUPPORT + 1))).drop("mass", "breadth")
+    mention = ["tid", "graph", "s", "e", "instance", "open", "lex", "n_words"]
+    cue = F.col("pattern").startswith("c:")
     scored = (
-        open_.select("tid", "graph", "s", "e", "instance", "cue", "lex", "n_words", F.explode_outer("patterns").alias("pattern"))
-        .join(patterns.where((F.col("mass") >= SUPPORT) & ((F.col("graph") != "name") | (F.col("breadth") >= SUPPORT + 1))), ["graph", "pattern"], "left")
-        .groupBy("tid", "graph", "s", "e", "instance", "cue", "lex", "n_words")
-        .agg(*[F.avg(k).alias(f"p_{k}") for k in KINDS], F.max("name").alias("best_name"), F.max(F.when(~F.col("pattern").startswith("r:"), F.col("name"))).alias("left_name"))
-        .join(instances.where(F.col("graph") == "number").select("graph", "instance", *[F.col(k).alias(f"i_{k}") for k in KINDS]), ["graph", "instance"], "left")
-    )
+        looked_up(open_.select(*mention, F.explode_outer("patterns").alias("pattern")), known, ["graph", "pattern"], "left")
+        .groupBy(*mention)
+        .agg(
+            *[F.avg(F.when(~cue, F.col(k))).alias(f"p_{k}") for k in KINDS], *[F.max(F.when(cue, F.col(k))).alias(f"c_{k}") for k in KINDS],
+            F.max("name").alias("best_name"), F.max(F.when(~F.col("pattern").startswith("r:"), F.col("name"))).alias("left_name"),
+        )
+    )
+    forms = instances.where(F.col("graph") != "name").select("graph", "instance", F.col("breadth").alias("i_breadth"), *[F.col(k).alias(f"i_{k}") for k in KINDS])
+    scored = looked_up(scored, forms, ["graph", "instance"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    total = {k: zero(f"p_{k}") + zero(f"i_{k}") + F.when(F.col("cue") == k, 1.0).otherwise(0.0) for k in ("phone", "id_number", "other")}
-    kind = (
+    total = {k: zero(f"p_{k}") + zero(f"i_{k}") + zero(f"c_{k}") for k in KINDS}
+    number = (
         F.when((total["other"] >= total["phone"]) & (total["other"] >= total["id_number"]), None)
         .when(total["phone"] >= total["id_number"], "phone")
         .otherwise("id_number")
     )
-    digits = F.col("graph") == "number"
+    is_mail = (total["email"] >= SURE) & (total["email"] > total["other"])
+    listed = ~F.col("open") | (zero("i_address") >= OPEN_FLOOR) & (F.col("i_breadth") >= OPEN_BREADTH)
+    is_address = listed & (total["address"] >= SURE) & (total["address"] > total["other"])
     is_name = (
         ((F.col("lex") >= NAME_BOTH) & (F.col("n_words") >= 2))
         | ((F.col("lex") >= WORD_FLOOR) & (zero("best_name") >= NAME_BOTH))
         | (zero("left_name") >= NAME_PATTERN)
     )
-    decided = scored.select("tid", F.when(digits, kind).when(is_name, "name").alias("kind"), "s", "e").where(F.col("kind").isNotNull())
-    return sure.unionAll(decided).join(texts, "tid").select("text", "kind", "s", "e")
+    graph = F.col("graph")
+    kind = F.when(graph == "number", number).when((graph == "email") & is_mail, "email").when((graph == "address") & is_address, "address").when((graph == "name") & is_name, "name")
+    return scored.select("tid", kind.alias("kind"), "s", "e").where(F.col("kind").isNotNull())
 
 
 def pii_mentions(cases: DataFrame, key: str, column: str) -> DataFrame:
     """(key, pii_type, start_pos, end_pos), each once; end exclusive."""
     rows = cases.select(F.col(key), F.col(column).alias("text")).where(F.col("text").isNotNull())
-    found = find(rows)
     return (
-        rows.join(found, "text")
+        rows.select(key, F.md5("text").alias("tid"))
+        .distinct()
+        .join(find(rows), "tid")
         .select(key, F.col("kind").alias("pii_type"), F.col("s").cast("bigint").alias("start_pos"), F.col("e").cast("bigint").alias("end_pos"))
         .distinct()
     )
@@ -545,9 +648,9 @@ def pii_mentions(cases: DataFrame, key: str, column: str) -> DataFrame:
 
 def redact(cases: DataFrame, key: str, column: str) -> DataFrame:
     """(key, column) with every mention replaced by <TYPE>, all other text unchanged."""
-    rows = cases.select(key, column).distinct()
+    rows = cases.select(key, column).distinct().withColumn("__tid", F.md5(column))
     found = find(rows.select(F.col(column).alias("text")).where(F.col("text").isNotNull()))
-    spans = found.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("spans"))
+    spans = found.groupBy(F.col("tid").alias("__tid")).agg(F.sort_array(F.collect_list(F.struct("s", "e", "kind"))).alias("__spans"))
 
     @F.pandas_udf("string")
     def replace(text: pd.Series, starts: pd.Series, ends: pd.Series, kinds: pd.Series) -> pd.Series:
@@ -563,5 +666,5 @@ def redact(cases: DataFrame, key: str, column: str) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype="object")
 
-    joined = rows.join(spans, rows[column] == spans["text"], "left")
-    return joined.select(key, replace(F.col(column), F.col("spans.s"), F.col("spans.e"), F.col("spans.kind")).alias(column))
+    joined = rows.join(spans, "__tid", "left")
+    return joined.select(key, replace(F.col(column), F.col("__spans.s"), F.col("__spans.e"), F.col("__spans.kind")).alias(column))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from . import mixing, packing, pairs, percentiles, pii, subjects, truncation
+from .tokens import source_name
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,26 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(packing.pack(table(spark, sf_dir, "documents"), containers), containers)
 
 
+def _sources(documents: DataFrame) -> DataFrame:
+    return documents.select("doc_id", F.coalesce(source_name("source"), F.lit("")).alias("source"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How near the windows are to the corpus' proportions, and how near whole texts let them be."""
+    documents, containers = table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
+    packed = cut(packing.pack(documents, containers))
+    return packing.mixture(packed, _sources(documents), containers)
+
+
+def p8_target_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the selection that has mix_targets' shares, each document packed as often as it is used."""
+    documents, containers, targets = (table(spark, sf_dir, n) for n in ("documents", "containers", "mix_targets"))
+    chosen = mixing.select(documents, targets)
+    uses = chosen.select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), "uses"))).drop("col")
+    packed = cut(packing.pack_sized(uses, containers, targets))
+    return packing.mixture(packed, chosen.select("doc_id", "source").distinct(), containers, targets)
+
+
 def p9_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -68,5 +89,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(p10_found(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p4_rates, p6_latency_by_day, p8_packed, p8_fill, p9_selected, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p4_found, p4_rates, p6_latency_by_day, p8_packed, p8_fill, p8_mixture, p8_target_mixture, p9_selected, p9_shares, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
