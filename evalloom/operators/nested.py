@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .strict_json import deep_value
+
 
 @dataclass(frozen=True)
 class NestedSpec:
@@ -63,8 +65,13 @@ def _decode(text: str):
     while isinstance(value, str):
         try:
             inner = _DECODER.decode(value)
-        except (ValueError, RecursionError):
+        except ValueError:
             return value
+        except RecursionError:
+            try:
+                inner = deep_value(value, _float)
+            except ValueError:
+                return value
         if isinstance(inner, str) and inner == value:
             return value
         value = inner
@@ -227,6 +234,57 @@ def tables(nodes: DataFrame, keys: list[str]) -> DataFrame:
     ).dropDuplicates([*keys, "node_path"])
 
 
+def table_columns(long: DataFrame) -> DataFrame:
+    """(table_name, column_name, column_type, n_values) of the tables that tables() holds, from their rows' attributes.
+
+    Whole numbers are bigint, numbers double, truth values boolean, all else (lists, mixtures) text. As many rows as
+    the data's schema is wide.
+    """
+    each = F.explode(F.from_json("attributes", "map<string,variant>")).alias("column_name", "v")
+    kinds = long.select("table_name", each).select("table_name", "column_name", F.schema_of_variant("v").alias("kind"))
+    kinds = kinds.groupBy("table_name", "column_name").agg(
+        F.collect_set(F.regexp_replace("kind", r"[(<].*", "")).alias("kinds"), F.count(F.when(F.col("kind") != "VOID", 1)).alias("n_values")
+    )
+    only = lambda *names: F.size(F.array_except("kinds", F.array(*[F.lit(n) for n in ("VOID", *names)]))) == 0
+    kind = F.when(F.col("n_values") == 0, "string").when(only("BIGINT"), "bigint").when(only("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), "double").when(only("BOOLEAN"), "boolean").otherwise("string")
+    return kinds.select("table_name", "column_name", kind.alias("column_type"), "n_values")
+
+
+def typed_table(long: DataFrame, keys: list[str], name: str, columns: list[tuple[str, str]]) -> DataFrame:
+    """One flat table of tables(): keys, node_path, parent_path (its row in the parent's table), ordinal, and the typed columns.
+
+    A column named like a key or link gets an underscore before it.
+    """
+    fixed = [*keys, "node_path", "parent_path", "ordinal"]
+    values = F.from_json("attributes", "map<string,variant>")
+    rows = long.where(F.col("table_name") == name).select(*fixed, values.alias("__v"))
+    made, taken = [], {f.lower() for f in fixed}
+    for column, kind in columns:
+        v = F.try_element_at("__v", F.lit(column))
+        alias = column.lstrip(".")
+        while alias.lower() in taken:
+            alias = "_" + alias
+        taken.add(alias.lower())
+        made.append((F.try_variant_get(v, "$", kind) if kind != "string" else v.cast("string")).alias(alias))
+    return rows.select(*fixed, *made)
+
+
+def relational(long: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """The related flat tables, one DataFrame per schema path, with typed columns; each links to its parent by parent_path."""
+    columns: dict[str, list[tuple[str, str]]] = {}
+    for r in table_columns(long).orderBy("table_name", "column_name").collect():
+        columns.setdefault(r["table_name"], []).append((r["column_name"], r["column_type"]))
+    return {name: typed_table(long, keys, name, own) for name, own in columns.items()}
+
+
+def write_relational(long: DataFrame, keys: list[str], folder: str) -> list[str]:
+    """Write the related tables as parquet, a folder per schema path; their names."""
+    made = relational(long, keys)
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{re.sub(r'[^A-Za-z0-9_.]+', '_', name).strip('_')}")
+    return sorted(made)
+
+
 #: The columns of agent runs and what their JSON's keys mean.
 AGENT_RUNS = NestedSpec(
     columns=("simulator_result.turns", "simulator_result.observations", "harness_result.transcript", "harness_result.artifacts"),

@@ -21,6 +21,7 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .strict_json import fast_value, is_object
 
 #: One finite decimal number in ASCII digits, spaces around it allowed.
@@ -194,12 +195,13 @@ def _strict_quotes(lines: pa.Array, delimiter: str) -> bool:
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over (line_id, file_name, line_no, dataset, raw_line, header): adds __reason and the loaded __fields."""
+    """Over (line_id, file_name, line_no, dataset, raw_line, header): adds __reason, the loaded __fields and the header's __names."""
     for batch in batches:
         lines, headers = batch.column("raw_line").to_pylist(), batch.column("header").to_pylist()
         datasets = batch.column("dataset").to_pylist()
         reasons: list[str | None] = [None] * len(batch)
         loaded: list[list[str] | None] = [None] * len(batch)
+        names: list[list[str] | None] = [None] * len(batch)
         groups: dict[tuple, list[int]] = {}
         for i, key in enumerate(zip(headers, datasets)):
             groups.setdefault(key, []).append(i)
@@ -207,6 +209,9 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             delimiter = header_delimiter(header or "")
             columns = split_record(header, delimiter)[0] if header else None
             width = len(columns) if columns else None
+            trimmed = [c.strip() for c in columns] if columns else None
+            for i in rows:
+                names[i] = trimmed
             at = {c.strip(): k for k, c in enumerate(columns or [])}
             score = at.get("score_text") if dataset == "scores" else None
             payload = at.get("payload_text" if dataset == "scores" else "payload_json")
@@ -239,24 +244,35 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 loaded[i] = fields if reason is None else None
 
             bisect(len(rows), bulk, single)
-        yield batch.append_column("__reason", pa.array(reasons, pa.string())).append_column("__fields", pa.array(loaded, pa.list_(pa.string())))
+        yield batch.append_column("__reason", pa.array(reasons, pa.string())).append_column("__fields", pa.array(loaded, pa.list_(pa.string()))).append_column("__names", pa.array(names, pa.list_(pa.string())))
+
+
+#: Most files whose headers are broadcast, and the salts of the join beyond.
+BROADCAST_FILES, SALTS = 100_000, 32
 
 
 def judge_lines(lines: DataFrame) -> DataFrame:
     """Records of delimited files, each with __reason (null if valid) and its __fields (null if bad).
 
     Needs line_id, file_name, line_no, dataset, raw_line. line_no 1 is the header; null and empty lines are
-    dropped. A file without a header is judged for its quotes alone, split at commas.
+    dropped. A file without a header is judged for its quotes alone, split at commas. Headers, one per file, are
+    broadcast if they are few; otherwise they are joined on the file and a salt, so that no file is one task's.
     """
     headers = (
         lines.where((F.col("line_no") == 1) & F.col("raw_line").isNotNull())
         .groupBy("file_name")
         .agg(F.min("raw_line").alias("header"))
     )
+    headers = cut(headers)
     body = lines.where(((F.col("line_no") != 1) | F.col("line_no").isNull()) & F.col("raw_line").isNotNull() & (F.col("raw_line") != ""))
-    body = body.select("line_id", "file_name", "line_no", "dataset", "raw_line").join(headers, "file_name", "left")
+    body = body.select("line_id", "file_name", "line_no", "dataset", "raw_line")
+    if headers.count() <= BROADCAST_FILES:
+        body = body.join(F.broadcast(headers), "file_name", "left")
+    else:
+        headers = headers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        body = body.withColumn("__salt", F.pmod(F.xxhash64("line_id", "raw_line"), F.lit(SALTS)).cast("int")).join(headers, ["file_name", "__salt"], "left")
     body = body.select("line_id", "file_name", "line_no", "dataset", "raw_line", "header")
-    schema = "line_id bigint, file_name string, line_no int, dataset string, raw_line string, header string, __reason string, __fields array<string>"
+    schema = "line_id bigint, file_name string, line_no int, dataset string, raw_line string, header string, __reason string, __fields array<string>, __names array<string>"
     return body.mapInArrow(_line_batches, schema)
 
 
@@ -279,12 +295,8 @@ def bad_rows(raw_lines: DataFrame, scores: DataFrame, metadata_cases: DataFrame)
 def load_lines(raw_lines: DataFrame) -> DataFrame:
     """The valid records as a table: line_id, file_name, dataset and a map from the header's columns to the fields."""
     good = judge_lines(raw_lines).where(F.col("__reason").isNull())
-    delimiter = F.when(F.instr("header", "\t") > 0, "\t").when(F.instr("header", ";") > 0, ";").otherwise(",")
-    columns = F.transform(F.split("header", delimiter), lambda c: F.trim(c))
-    same = F.size(columns) == F.size("__fields")
-    return good.select(
-        "line_id", "file_name", "line_no", "dataset", F.when(same, F.map_from_arrays(columns, F.col("__fields"))).alias("fields")
-    )
+    same = F.size("__names") == F.size("__fields")
+    return good.select("line_id", "file_name", "line_no", "dataset", F.when(same, F.map_from_arrays("__names", "__fields")).alias("fields"))
 
 
 def load_values(df: DataFrame, key: str, score_col: str | None, payload_col: str | None) -> DataFrame:

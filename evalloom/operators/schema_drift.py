@@ -310,7 +310,7 @@ def _scripts(prev: pd.Series, tree: pd.Series, support: pd.Series) -> pd.Series:
 
 
 def drift_scripts(sidecars: DataFrame, records: DataFrame) -> DataFrame:
-    """(stage_table, file_no, tree, script) for every file, the script against the file before."""
+    """(stage_table, file_no, prev_tree, tree, script) for every file, the script against the file before."""
     files = file_schemas(sidecars)
     support = (
         rename_support(files, records)
@@ -319,7 +319,7 @@ def drift_scripts(sidecars: DataFrame, records: DataFrame) -> DataFrame:
     )
     make = F.pandas_udf(_scripts, _SCRIPT)
     return files.join(support, ["stage_table", "file_no"], "left").select(
-        "stage_table", "file_no", "tree", make("prev_tree", "tree", "support").alias("script")
+        "stage_table", "file_no", "prev_tree", "tree", make("prev_tree", "tree", "support").alias("script")
     )
 
 
@@ -334,6 +334,55 @@ def field_changes(sidecars: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def moves(script: list[tuple]) -> list[tuple[tuple, tuple]]:
+    """(old path, new path) of the fields that a script removes below one parent and adds, with their name and type, below another.
+
+    script: (kind, old path, new path, type). A move costs one edit where a removal and an addition cost two; fields
+    that could go to or come from several places are left as they are.
+    """
+    gone: dict[tuple, list[tuple]] = {}
+    came: dict[tuple, list[tuple]] = {}
+    for kind, old, new, field_type in script:
+        if kind == "removed":
+            gone.setdefault((old[-1], field_type), []).append(tuple(old))
+        elif kind == "added":
+            came.setdefault((new[-1], field_type), []).append(tuple(new))
+    return [(gone[k][0], came[k][0]) for k in gone if len(gone[k]) == 1 and len(came.get(k, ())) == 1 and gone[k][0][:-1] != came[k][0][:-1]]
+
+
+def _type_at(tree, path) -> str:
+    """The type below a path of a schema tree, as text; lists of structs are gone through."""
+    for step in path:
+        tree = (_children(tree) or {}).get(step)
+    return json.dumps(tree, sort_keys=True)
+
+
+def _with_types(prev, tree, script) -> list[tuple]:
+    """A script with the types of the fields it removes (in the old tree) and adds (in the new one)."""
+    return [(k, tuple(a), tuple(b), _type_at(prev, a) if k == "removed" else _type_at(tree, b) if k == "added" else "") for k, a, b in script]
+
+
+_CHANGES = "array<struct<change_kind:string,old_field:string,new_field:string>>"
+
+
+def _moved(prev: pd.Series, tree: pd.Series, script: pd.Series) -> pd.Series:
+    out = []
+    for p, t, rows in zip(prev, tree, script):
+        steps = [(r["change_kind"], list(r["old_path"]), list(r["new_path"])) for r in rows] if rows is not None else []
+        found = moves(_with_types(json.loads(p), json.loads(t), steps)) if p is not None and steps else []
+        done = {a for a, _ in found} | {b for _, b in found}
+        kept = [{"change_kind": k, "old_field": ".".join(a), "new_field": ".".join(b)} for k, a, b in steps if not (k == "removed" and tuple(a) in done or k == "added" and tuple(b) in done)]
+        out.append(kept + [{"change_kind": "moved", "old_field": ".".join(a), "new_field": ".".join(b)} for a, b in found])
+    return pd.Series(out, dtype="object")
+
+
+def changes_with_moves(sidecars: DataFrame, records: DataFrame) -> DataFrame:
+    """field_changes(), but a removal and an addition of the same field below different parents as one `moved`."""
+    scripts = drift_scripts(sidecars, records)
+    each = F.explode(F.pandas_udf(_moved, _CHANGES)("prev_tree", "tree", "script")).alias("c")
+    return scripts.select("stage_table", "file_no", each).select("stage_table", "file_no", "c.*").distinct()
+
+
 # --- one consistent table ---------------------------------------------------------------------------------
 
 #: Types from narrow to wide; any other mix of types is text.
@@ -384,9 +433,19 @@ def compile_projections(files: list[tuple[int, dict, list[tuple]]]) -> dict[int,
     lives: list[dict] = []
     alive: dict[tuple, dict] = {}
     held: dict[int, dict[int, list[str]]] = {}
+    before: dict = {}
     for no, tree, script in files:
         renames = {tuple(a): tuple(b) for k, a, b in script if k == "renamed"}
+        moved = dict(moves(_with_types(before, tree, script)))
+        bare = lambda path: tuple(p for p in path if p is not ELEMENT)
         now = {_renamed(path, renames): life for path, life in alive.items()}
+        # A moved field takes its column along, unless it goes into or out of a list, whose elements have their own columns.
+        places = {bare(path): path for path, _, within in _leaves(tree) if within is None}
+        for path, life in alive.items():
+            target = next((b + bare(path)[len(a) :] for a, b in moved.items() if bare(path)[: len(a)] == a), None)
+            if target in places and life["within"] is None:
+                now[places[target]] = life
+        before = tree
         alive, held[no] = {}, {}
         for path, kind, within in _leaves(tree):
             around = alive[within] if within else None
@@ -463,21 +522,29 @@ def _project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, projection in zip(batch.record_json, batch.projection):
             try:
                 record = json.loads(text)
-                steps = compiled.get(projection) or compiled.setdefault(projection, json.loads(projection))
             except (ValueError, TypeError, RecursionError):
                 out.append(None)
                 continue
-            out.append(json.dumps(_row(record, steps), ensure_ascii=False, sort_keys=True))
+            if projection is not None:
+                record = _row(record, compiled.get(projection) or compiled.setdefault(projection, json.loads(projection)))
+            out.append(json.dumps(record, ensure_ascii=False, sort_keys=True))
         yield batch.assign(record=out)[["record_id", "stage_table", "file_no", "line_no", "case_id", "record"]]
 
 
 def consistent_table(sidecars: DataFrame, records: DataFrame) -> DataFrame:
     """All records of all files in the consistent schema of their table; every field of it in every row.
 
-    record is JSON with the consistent names; null where a record isn't JSON or its file has no schema.
+    record is JSON with the consistent names; null where a record isn't JSON. A file without a readable schema is
+    read by that of the nearest file before it, else after it; records of a table without any come out as they are.
     """
     records = records.select("record_id", "stage_table", "file_no", "line_no", "case_id", "record_json")
-    joined = records.join(projections(sidecars, records), ["stage_table", "file_no"], "left")
+    known = projections(sidecars, records)
+    # One row per file: as many as the table has files, without their records.
+    files = records.select("stage_table", "file_no").distinct().join(known, ["stage_table", "file_no"], "full")
+    w = Window.partitionBy("stage_table").orderBy("file_no")
+    near = [F.last("projection", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("projection", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))]
+    files = files.select("stage_table", "file_no", F.coalesce(*near).alias("projection"))
+    joined = records.join(files, ["stage_table", "file_no"], "left")
     return joined.select("record_id", "stage_table", "file_no", "line_no", "case_id", "record_json", "projection").mapInPandas(
         _project, "record_id bigint, stage_table string, file_no int, line_no int, case_id string, record string"
     )

@@ -80,3 +80,64 @@ def _walk_object(text: str) -> bool:
                 i += 1
             else:
                 return False
+
+
+def deep_value(text: str, number=float):
+    """The value of JSON text nested deeper than the decoder can follow; ValueError if it isn't one JSON value.
+
+    Containers are built on an own stack, so memory is the only bound. number makes a value of a number's text.
+    """
+    decode = json.JSONDecoder(parse_constant=_reject, parse_float=number).decode
+    # (container, key that its next value gets)
+    stack: list[list] = []
+    i, n, done, value = _SPACE.match(text).end(), len(text), False, None
+    while not done:
+        ch = text[i : i + 1]
+        if ch in ("{", "["):
+            value, i = ({} if ch == "{" else []), _SPACE.match(text, i + 1).end()
+            if text[i : i + 1] == ("}" if ch == "{" else "]"):
+                i += 1
+            else:
+                stack.append([value, None])
+                if ch == "[":
+                    continue
+                i = _key(text, i, stack)
+                continue
+        else:
+            hit = _STRING.match(text, i) or _SCALAR.match(text, i)
+            if not hit:
+                raise ValueError(f"no value at {i}")
+            value, i = decode(hit[0]), hit.end()
+        while True:
+            i = _SPACE.match(text, i).end()
+            if not stack:
+                done = True
+                break
+            holder, key = stack[-1]
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            ch = text[i : i + 1]
+            if ch == ",":
+                i = _SPACE.match(text, i + 1).end()
+                if isinstance(holder, dict):
+                    i = _key(text, i, stack)
+                break
+            if ch != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"neither a comma nor an end at {i}")
+            stack.pop()
+            value, i = holder, i + 1
+    if i != n:
+        raise ValueError(f"more text at {i}")
+    return value
+
+
+def _key(text: str, i: int, stack: list[list]) -> int:
+    """Read a key and its colon into the open object; the place of its value."""
+    hit = _STRING.match(text, i)
+    colon = _SPACE.match(text, hit.end()).end() if hit else i
+    if not hit or text[colon : colon + 1] != ":":
+        raise ValueError(f"no key at {i}")
+    stack[-1][1] = json.loads(hit[0])
+    return _SPACE.match(text, colon + 1).end()
