@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
@@ -415,6 +415,13 @@ def learn(scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     floors = seeds.select("graph", "instance", *[F.col(k).alias(f"floor_{k}") for k in KINDS])
     # How far an edge says that its mention is no `other`: a name beside a company's word counts for less.
     clean = lambda k: 1.0 - F.col("seed_other") / F.col("n") if k != "other" else F.lit(1.0)
+    seeded = sum((F.col(f"seed_{k}") for k in KINDS), F.lit(0)) / F.col("n")
+
+    def evidence(k: str) -> Column:
+        # Beside a cue word a seed's word stands alone; elsewhere it is one voice with the instance's.
+        own = F.col(f"seed_{k}") / F.col("n")
+        return F.when(F.col("pattern").startswith("c:"), own + (1.0 - seeded) * F.col(k)).otherwise(F.greatest(F.col(k), own) * clean(k))
+
     for r in range(ROUNDS):
         patterns = (
             edges.join(instances.drop("mass", "breadth"), ["graph", "instance"])
@@ -422,7 +429,7 @@ def learn(scanned: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             .agg(
                 total.alias("mass"),
                 F.count(F.lit(1)).alias("breadth"),
-                *[(F.sum(F.col("w") * F.greatest(F.col(k), F.col(f"seed_{k}") / F.col("n")) * clean(k)) / (total + 0.5)).alias(k) for k in KINDS],
+                *[(F.sum(F.col("w") * evidence(k)) / (total + 0.5)).alias(k) for k in KINDS],
             )
         )
         patterns = cut(patterns)
