@@ -28,6 +28,7 @@ from ..sources import files, readers, sinks
 from ..streaming import stages as streams
 from . import manifest as M
 from . import plain
+from .permits import PermitServer
 
 #: Options that LOAD knows; WRAP may not be turned off.
 WRAP_OPTIONS = ("WRAP", "WRAP_CELLS")
@@ -69,7 +70,7 @@ class Result:
 
 
 def keyword_functions(registry: Registry) -> frozenset[str]:
-    return frozenset(n for n in registry.functions if "." not in n)
+    return registry.keywords()
 
 
 def validate(text: str, registry: Registry | None = None, macros: dict[str, str] | None = None, strict: bool = True, wrapped: bool = True) -> tuple[list[S.Statement], list[Step]]:
@@ -180,6 +181,8 @@ class Runner:
     def __init__(self, spark: SparkSession, text: str, settings: Settings, registry: Registry | None = None) -> None:
         self.spark, self.settings, self.registry = spark, settings, registry or Registry()
         self.statements, self.steps = validate(text, self.registry, settings.macros, settings.strict, settings.wrapped)
+        if self.registry.object_folder is None:
+            self.registry.objects(f"{settings.folder}/objects")
         self.context = Context(spark, self.registry, strict=settings.strict)
         for s in self.statements:
             if isinstance(s, S.CreateFunction):
@@ -208,6 +211,16 @@ class Runner:
     # --- running ------------------------------------------------------------------------------------------
 
     def run(self) -> Result:
+        """All steps; limits that the recipe declares hold over all executors while it runs."""
+        server = PermitServer(self.spark) if self.context.limits else None
+        self.context.permits = server.permits if server else None
+        try:
+            return self._run()
+        finally:
+            if server:
+                server.close()
+
+    def _run(self) -> Result:
         before = M.load(f"{self.settings.reuse_from}/manifests") if self.settings.reuse_from else {}
         plan = M.analyse_rerun(self.steps, self.prints, before, self.settings.policy, self.settings.from_node) if before else None
         if plan and plan.errors:

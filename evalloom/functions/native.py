@@ -9,14 +9,19 @@ from __future__ import annotations
 import base64
 import csv
 import fnmatch
+import hashlib
 import io
 import json
+import mimetypes
+import os
 import re
 import tarfile
 import zipfile
 from collections.abc import Mapping
 from typing import Any
 
+from .agents import ORDERINGS, as_json, schema_match, step_adherence  # noqa: F401
+
 # --- ranking ------------------------------------------------------------------------------------------------------
 
 INITIAL_RATING, K_FACTOR = 1500.0, 32.0
@@ -80,145 +85,6 @@ def fenced_blocks(content: str | None, fence_type: str | None = None) -> list:
     return out
 
 
-# --- agents -------------------------------------------------------------------------------------------------------
-
-_JSON_TYPES = {
-    "string": (str,), "integer": (int,), "int": (int,), "number": (int, float), "float": (int, float), "boolean": (bool,), "array": (list,), "object": (dict,),
-}
-
-
-def decoded(value: Any) -> Any:
-    """A JSON text's value; lists and maps as they are; None for anything else."""
-    if isinstance(value, (dict, list)):
-        return value
-    try:
-        return json.loads(value) if isinstance(value, str) and value.strip() else None
-    except ValueError:
-        return None
-
-
-def _texts(items: Any) -> list[str]:
-    items = items if isinstance(items, list) else [] if items is None else [items]
-    return [str(i) for i in items if i is not None]
-
-
-def _fits(value: Any, schema: Mapping) -> bool:
-    kinds = schema.get("type")
-    for kind in kinds if isinstance(kinds, list) else [kinds]:
-        if kind not in _JSON_TYPES:
-            return True
-        if isinstance(value, _JSON_TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool)):
-            return True
-    return False
-
-
-def _wanted(items: Any) -> tuple[set[str], dict, dict[str, str]]:
-    """Required names, equal values and contained texts of the expectations `{...}`, `k=v` and `k`."""
-    required, equals, contains = set(), {}, {}
-    for text in _texts(items):
-        spec = decoded(text)
-        if isinstance(spec, dict):
-            required |= {str(x) for x in spec.get("required") or [] if isinstance(spec.get("required"), list)}
-            equals |= spec["equals"] if isinstance(spec.get("equals"), dict) else {}
-            contains |= {str(k): str(v) for k, v in spec["contains"].items()} if isinstance(spec.get("contains"), dict) else {}
-            equals |= {k: v for k, v in spec.items() if k not in ("required", "equals", "contains", "forbidden", "notes")}
-        elif "=" in text:
-            key, _, value = text.strip().partition("=")
-            equals[key.strip()] = value.strip()
-        elif text.strip():
-            required.add(text.strip())
-    return required, equals, contains
-
-
-def _arguments(call: Any) -> tuple[dict | None, str]:
-    call_value = decoded(call)
-    if not isinstance(call_value, dict):
-        return None, "" if call is None else str(call)
-    shown = json.dumps(call_value, ensure_ascii=False, sort_keys=True)
-    for key in ("arguments", "args", "parameters", "input"):
-        inner = decoded(call_value.get(key))
-        if isinstance(inner, dict):
-            return inner, shown
-    envelope = {"name", "tool", "tool_name", "function", "id", "type"}
-    return {k: v for k, v in call_value.items() if k not in envelope}, shown
-
-
-def schema_match(tool_schema: Any, expected_call_properties: Any, tool_call: Any) -> dict:
-    """Does a tool call fit its schema and the properties expected of it?"""
-    schema: dict = {}
-    for text in _texts(tool_schema):
-        part = decoded(text)
-        schema |= part if isinstance(part, dict) else {}
-    parameters = schema["parameters"] if isinstance(schema.get("parameters"), dict) else schema
-    properties = parameters["properties"] if isinstance(parameters.get("properties"), dict) else {}
-    names = parameters.get("required") if isinstance(parameters.get("required"), list) else []
-    more, equals, contains = _wanted(expected_call_properties)
-    arguments, shown = _arguments(tool_call)
-
-    def answer(score: float, failure: str, fields: list[str], expected: Any, reason: str) -> dict:
-        text = json.dumps(expected, ensure_ascii=False, sort_keys=True)
-        return {"score": score, "construction_failure_type": failure, "malformed_fields": fields, "expected_call": text, "actual_call": shown, "reason": reason}
-
-    if arguments is None:
-        expected = schema or {"expected": _texts(expected_call_properties)}
-        return answer(0.0, "invalid_call_shape", ["tool_call"], expected, "The tool call is not valid JSON or a structured argument map.")
-    if not schema and not more and not equals and not contains:
-        return answer(0.0, "insufficient_schema", [], {}, "No structured schema or expected call properties were provided for deterministic matching.")
-    required = sorted({str(n) for n in names} | more)
-    missing = {n for n in required if arguments.get(n) in (None, "")}
-    wrong = set()
-    for name, spec in properties.items():
-        if name in arguments and isinstance(spec, dict):
-            if not _fits(arguments[name], spec) or isinstance(spec.get("enum"), list) and arguments[name] not in spec["enum"]:
-                wrong.add(str(name))
-    for name, value in equals.items():
-        mine = arguments.get(name)
-        same = name in arguments and (mine == value or None not in (mine, value) and str(mine).strip() == str(value).strip())
-        wrong |= set() if same else {str(name)}
-    wrong |= {n for n, part in contains.items() if part not in ("" if arguments.get(n) is None else str(arguments[n]))}
-    failure = "missing_argument" if missing else "wrong_argument_value" if wrong else "none"
-    expected = {"required": required, "properties": properties, "equals": equals, "contains": contains}
-    verdict = "does not match" if missing | wrong else "matches"
-    return answer(0.0 if missing | wrong else 1.0, failure, sorted(missing | wrong), expected, f"The tool call {verdict} the structured schema and expected properties.")
-
-
-ORDERINGS = ("in_order", "exact_order", "any_order", "prefix")
-
-
-def step_adherence(alignment: Any, ordering_policy: Any = None) -> dict:
-    """Do the observed steps satisfy the expected ones under an ordering policy?"""
-    value = decoded(alignment) or {}
-    expected = [{"id": str(s.get("id")), "required": s.get("required", True) is not False} for s in value.get("expected_steps") or []]
-    observed = [(str(s.get("id")), [str(i) for i in s.get("matches_expected_ids") or []]) for s in value.get("observed_steps") or []]
-    policy = str(ordering_policy or "in_order").strip().lower()
-    policy = policy if policy in ORDERINGS else "in_order"
-    ids, needed = {s["id"] for s in expected}, [s["id"] for s in expected if s["required"]]
-    first: dict[str, int] = {}
-    for at, (_, matches) in enumerate(observed):
-        for m in matches:
-            first.setdefault(m, at)
-    missing = [i for i in needed if i not in first]
-    if policy == "prefix":
-        missing = missing[:1]
-    late, reached = [], -1
-    for i in needed:
-        if i in first and policy != "any_order":
-            if first[i] < reached:
-                late.append(i)
-            reached = max(reached, first[i])
-    extra = [o for o, matches in observed if not ids & set(matches)]
-    passed = not missing and not late and not (policy == "exact_order" and extra)
-    if not needed:
-        score, label, reason = 0.0, "review", "No required expected steps were provided for deterministic adherence checking."
-    else:
-        score, label = (1.0, "pass") if passed else (0.0, "fail")
-        reason = f"Observed steps {'satisfy' if passed else 'do not satisfy'} the {policy} expected-step policy."
-    return {
-        "score": score, "label": label, "ordering_policy": policy, "matched_steps": sorted(ids & set(first) & set(needed)), "missing_steps": missing,
-        "out_of_order_steps": late, "extra_steps": extra, "reason": reason,
-    }
-
-
 # --- data ---------------------------------------------------------------------------------------------------------
 
 MAX_ROWS, MAX_CHARS = 500, 2_000_000
@@ -232,8 +98,8 @@ def whole(value: Any, default: int) -> int:
 
 
 def parse_json(content: str | None) -> str | None:
-    """The JSON text in its shortest canonical form."""
-    return None if content is None else json.dumps(json.loads(content), ensure_ascii=False)
+    """The JSON text written anew; null for none."""
+    return json.dumps(json.loads(content), ensure_ascii=False) if content else None
 
 
 def _table(columns: list[str], rows: list[dict], truncated: bool) -> str:
@@ -284,7 +150,7 @@ def bundle(texts, most: int) -> str:
     """Documents one after another, numbered, cut where the bundle is full."""
     parts, left = [], most
     for i, text in enumerate(texts, 1):
-        part = f"BEGIN DOCUMENT {i}\n{text}\nEND DOCUMENT {i}"[:left]
+        part = f"BEGIN DOCUMENT {i}:\n{text}\nEND DOCUMENT {i}"[:left]
         parts.append(part)
         left -= len(part)
         if left <= 0:
@@ -333,34 +199,65 @@ def glob_entries(entries: list | None, pattern: str | None) -> list:
     return [dict(e) for e in entries or [] if e is not None and pattern is not None and fnmatch.fnmatchcase(_entry_path(e), pattern)]
 
 
-def read_text(entries: list | None, path: str | None, max_bytes: int = 2_000_000) -> str | None:
-    """Content of an entry whose object is a local file."""
+#: Most bytes of an object that is read into a cell; a larger one is an error, never a prefix.
+MAX_READ_BYTES = 2_000_000
+
+
+def _local(uri: str) -> str:
+    if "://" in uri and not uri.startswith("file://"):
+        raise ValueError(f"{uri} is no local file")
+    return uri.removeprefix("file://")
+
+
+def read_text(entries: list | None, path: str | None) -> str:
+    """Content of a file entry whose object is a local file; an error if it isn't there, too large or no UTF-8."""
     entry = find_entry(entries, path)
-    if entry is None:
-        return None
-    uri = str(entry.get("object_uri") or "").removeprefix("file://")
+    if entry is None or not entry.get("object_uri"):
+        raise FileNotFoundError(path)
+    if entry.get("entry_type") not in (None, "file"):
+        raise IsADirectoryError(path)
+    uri = _local(str(entry["object_uri"]))
+    if max(int(entry.get("size_bytes") or 0), os.path.getsize(uri)) > MAX_READ_BYTES:
+        raise ValueError(f"{path} has more than {MAX_READ_BYTES} bytes")
     with open(uri, "rb") as f:
-        return f.read(max_bytes).decode("utf-8", "replace")
+        return f.read().decode("utf-8")
 
 
-def read_json(entries: list | None, path: str | None) -> str | None:
-    return parse_json(read_text(entries, path))
+def read_json(entries: list | None, path: str | None) -> str:
+    """The same as compact JSON with sorted keys."""
+    return json.dumps(json.loads(read_text(entries, path)), separators=(",", ":"), sort_keys=True)
 
 
-# --- specs --------------------------------------------------------------------------------------------------------
+def _put(root: str, path: str, payload: bytes, content_type: str | None) -> list[dict]:
+    """Store an object below the run's shared folder under its content's hash; a repeated call stores the same."""
+    name = path.strip("/")
+    if not name or any(p in ("", ".", "..") for p in name.split("/")):
+        raise ValueError(f"{path} is no path of an object")
+    digest = hashlib.sha256(payload).hexdigest()
+    place = f"{_local(root)}/{digest[:2]}/{digest}"
+    if not os.path.exists(place):
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        part = f"{place}.{os.getpid()}"
+        with open(part, "wb") as f:
+            f.write(payload)
+        os.replace(part, place)
+    parent, _, last = name.rpartition("/")
+    known = {"dataset_path": name, "path": name, "name": last, "parent_path": parent, "entry_type": "file", "size_bytes": len(payload), "sha256": digest, "object_uri": f"file://{place}"}
+    known |= {"content_type": content_type or mimetypes.guess_type(last)[0] or "application/octet-stream", "is_empty_dir": False, "schema_version": "1"}
+    return [{n: known[n] for n in ENTRY_FIELDS}]
 
 
-def spec(kind: str, **fields: Any) -> dict:
-    """A spec record: its kind and the fields that are given."""
-    return {"kind": kind, **{k: v for k, v in fields.items() if v is not None}}
+def write_text(path: str, content: str, content_type: str | None = None, root: str = "") -> list[dict]:
+    return _put(root, path, str(content).encode("utf-8"), content_type or mimetypes.guess_type(path)[0] or "text/plain")
 
 
-def observer(callback: str, schedule: Any = None, config: Any = None) -> dict:
-    return spec("observer", callback=callback, schedule=[s for s in _texts(schedule) if s in ("after_turn", "final")] or ["final"], config=decoded(config) or {})
+def write_json(path: str, value: Any, root: str = "") -> list[dict]:
+    """Compact JSON with sorted keys; text counts as the JSON it holds."""
+    held = json.loads(value) if isinstance(value, str) else value
+    return _put(root, path, json.dumps(held, separators=(",", ":"), sort_keys=True).encode(), "application/json")
 
 
-def limits(max_turns: Any = None, timeout_seconds: Any = None) -> dict:
-    return spec("limits", max_turns=max(1, whole(max_turns, 10)), timeout_seconds=number(timeout_seconds, 600.0))
+# --- simulations --------------------------------------------------------------------------------------------------
 
 
 def simulate(agent, user, observers: list | None = None, max_turns: int = 10, first: Any = None) -> dict:
@@ -385,10 +282,10 @@ def simulate(agent, user, observers: list | None = None, max_turns: int = 10, fi
 
 def _calls(value: Any) -> list[tuple[str, str]]:
     """(name, canonical arguments) of the tool calls in a conversation or a list of calls."""
-    value, out = decoded(value), []
+    value, out = as_json(value), []
     for item in value if isinstance(value, list) else [value] if value else []:
         for call in item.get("tool_calls") or ([item] if "name" in item else []) if isinstance(item, dict) else []:
-            out.append((str(call.get("name")), json.dumps(decoded(call.get("args", call.get("arguments"))) or {}, sort_keys=True)))
+            out.append((str(call.get("name")), json.dumps(as_json(call.get("args", call.get("arguments"))) or {}, sort_keys=True)))
     return out
 
 

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 from typing import Any, get_args, get_type_hints
 
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-from . import columns, native
+from . import columns, native, specs
 
 REQUIRED = object()
 
 
+@dataclass(frozen=True)
+class TimeoutConfig:
+    """Seconds that a call, and its connecting, may take; given to project functions that have a parameter of this type."""
+
+    total: float = 60.0
+    connect: float = 20.0
+
+
+@dataclass(frozen=True)
+class RetryConfig:
+    """How often a call is tried, the growth of the waits between and the longest wait; given in the same way."""
+
+    tries: int = 3
+    backoff: float = 1.1
+    longest_wait: float = 600.0
+
+
 class BindError(ValueError):
     """A call whose arguments don't fit its function."""
 
@@ -88,6 +106,9 @@ class Registry:
         self.functions: dict[str, Function] = {}
         self.builtin = frozenset(CATALOG) if catalog else frozenset()
         self.transports: dict[str, Callable[..., Any]] = {}
+        self.object_folder: str | None = None
+        self._aliases: dict[str, str] = {}
+        self._aliased = 0
         if catalog:
             self.functions |= CATALOG
 
@@ -103,18 +124,42 @@ class Registry:
         """What calls of network functions whose names start with a prefix go to: call(name, arguments)."""
         self.transports[prefix] = call
 
+    def objects(self, folder: str) -> None:
+        """Where objectstore.write_* put what they store: a folder that all executors share."""
+        self.object_folder = folder
+
     def get(self, name: str) -> Function:
+        name = self.named(name)
         if name not in self.functions:
             raise BindError(f"unknown function {name}")
         f = self.functions[name]
+        if name in STORING and self.object_folder:
+            return replace(f, python=partial(STORING[name], root=self.object_folder), needs="")
         if f.python is None and f.column is None:
             for prefix, call in self.transports.items():
                 if name.startswith(prefix):
                     return Function(f.name, f.parameters, f.returns, lambda _name=name, _call=call, **kw: _call(_name, kw), None, "", f.version)
         return f
 
+    def named(self, name: str) -> str:
+        """A function's own name: `ns_f` is another one for `ns.f`."""
+        if name in self.functions or "." in name:
+            return name
+        if self._aliased != len(self.functions):
+            self._aliases, self._aliased = {n.replace(".", "_"): n for n in self.functions if "." in n}, len(self.functions)
+        return self._aliases.get(name, name)
+
     def __contains__(self, name: str) -> bool:
-        return name in self.functions
+        return self.named(name) in self.functions
+
+    def keywords(self) -> frozenset[str]:
+        """Names without a point, which take `name = value` arguments too."""
+        return frozenset(n if "." not in n else n.replace(".", "_") for n in self.functions)
+
+
+def stub(name: str, arguments: dict[str, Any]) -> str:
+    """A transport for tests: the call as text."""
+    return f"{name}({', '.join(f'{k}={v!r}' for k, v in arguments.items())})"
 
 
 _SPARK_OF = {str: "string", int: "bigint", float: "double", bool: "boolean", bytes: "binary", dict: "variant", list: "array<string>", Any: "variant"}
@@ -142,10 +187,12 @@ def function(name: str | None = None, version: str = "1"):
 
     def wrap(fn: Callable[..., Any]) -> Callable[..., Any]:
         hints = get_type_hints(fn)
-        params = tuple(
-            Parameter(p.name, spark_kind(hints.get(p.name, str)), REQUIRED if p.default is inspect.Parameter.empty else p.default) for p in inspect.signature(fn).parameters.values()
-        )
-        fn.__evalloom__ = Function(f"local.{name or fn.__name__}", params, spark_kind(hints.get("return", str)), fn, None, "", version)
+        own = inspect.signature(fn).parameters.values()
+        # Timeouts and retries aren't arguments of the call: the framework supplies them.
+        supplied = {p.name: hints[p.name]() for p in own if hints.get(p.name) in (TimeoutConfig, RetryConfig)}
+        params = tuple(Parameter(p.name, spark_kind(hints.get(p.name, str)), REQUIRED if p.default is inspect.Parameter.empty else p.default) for p in own if p.name not in supplied)
+        call = partial(fn, **supplied) if supplied else fn
+        fn.__evalloom__ = Function(f"local.{name or fn.__name__}", params, spark_kind(hints.get("return", str)), call, None, "", version)
         return fn
 
     return wrap
@@ -216,8 +263,15 @@ _add("objectstore.find", f"entries {_ENTRIES}, path", _ENTRY, native.find_entry,
 _add("objectstore.glob", f"entries {_ENTRIES}, pattern", _ENTRIES, native.glob_entries)
 _add("objectstore.read_text", f"entries {_ENTRIES}, path", "string", native.read_text)
 _add("objectstore.read_json", f"entries {_ENTRIES}, path", "string", native.read_json)
-for _name in ("write_text", "write_json", "upload", "upload_all", "download", "download_all"):
-    _add(f"objectstore.{_name}", "path, content?", _ENTRIES, needs="object store")
+# These store into the run's object folder, which Registry.objects() names.
+_add("objectstore.write_text", "path, content, content_type?", _ENTRIES, needs="object folder")
+_add("objectstore.write_json", "path, value variant", _ENTRIES, needs="object folder")
+STORING = {"objectstore.write_text": native.write_text, "objectstore.write_json": native.write_json}
+# Between an executor's own disk and the object folder: calls of Python projects, not of SQL.
+_add("objectstore.upload", "local_path, artifact_path?, content_type?", _ENTRY, needs="local disk")
+_add("objectstore.upload_all", "local_root, artifact_prefix?", _ENTRIES, needs="local disk")
+_add("objectstore.download", f"entry {_ENTRY}, local_path", "string", needs="local disk")
+_add("objectstore.download_all", f"entries {_ENTRIES}, local_root", "string", needs="local disk")
 _add("agent.ragas.tool_call_accuracy", "user_input, reference_tool_calls, strict_order? boolean", "variant", native.tool_call_accuracy)
 _add("agent.ragas.tool_call_f1", "user_input, reference_tool_calls, batch_size? int, is_multi_turn? boolean", "variant", lambda user_input, reference_tool_calls, **_: native.tool_call_f1(user_input, reference_tool_calls))
 _add("agent.ragas.execution_based_datacompy_score", "reference, response, mode?, metric_name?", "variant", lambda reference, response, mode=None, metric_name=None: native.datacompy_score(reference, response, mode or "rows", metric_name or "f1"))
@@ -243,36 +297,57 @@ JUDGED = {
 for _name, _params in JUDGED.items():
     _add(f"agent.ragas.{_name}", f"{_params}, aisystem_id?, aisystem_parameters?, limiter?", "variant", needs="language model")
 _add("agent.simple_agent.chat", "initial_data_json, tools_json?, user_simulator_json?, user_prompt?, max_turns? int, options?", "string", needs="language model")
+#: Optional arguments of model calls, in their order: fixed names.
+_CHAT = (
+    "request_timeout? double, temperature? double, top_p? double, n? int, stream? boolean, stream_options? variant, stop? variant, max_completion_tokens? int, max_tokens? int, "
+    "reasoning_effort?, presence_penalty? double, frequency_penalty? double, logit_bias? variant, user?, response_format? variant, seed? int, tools? variant, tool_choice?, "
+    "parallel_tool_calls? boolean, logprobs? boolean, top_logprobs? int, safety_identifier?, deployment_id?, functions? variant, function_call?, base_url?, api_version?, api_key?, "
+    "model_list? variant, api_base?, extra_headers? variant, secret_id?, limiter?, pool?"
+)
+_RESPONSES = (
+    "input_value? variant, instructions?, request_timeout? double, temperature? double, top_p? double, max_output_tokens? int, stream? boolean, tools? variant, tool_choice? variant, user?, "
+    "metadata? variant, response_format? variant, base_url?, api_base?, api_key?, extra_headers? variant, secret_id?, limiter?, pool?"
+)
 for _name in ("chat", "messages"):
-    _add(f"aisystems.llm.{_name}", "aisystem_id, messages variant, temperature? double, max_tokens? int, tools? variant, response_format? variant, limiter?, pool?", "variant", needs="language model")
-_add("aisystems.llm.responses", "aisystem_id, input_value variant, instructions?, prompt?, limiter?, pool?", "variant", needs="language model")
+    _add(f"aisystems.llm.{_name}", f"aisystem_id, messages variant, {_CHAT}", "variant", needs="language model")
+_add("aisystems.llm.responses", f"prompt?, aisystem_id, {_RESPONSES}", "variant", needs="language model")
 _add("aisystems.a2a.send_message", "aisystem_id, message, metadata?, context_id?, task_id?, secret_id?, limiter?", "variant", needs="network")
-for _name in ("aisystems.http.get", "http.get"):
-    _add(_name, "url, headers_json?, params_json?, limiter?", "string", needs="network")
-for _name in ("aisystems.http.post", "http.post"):
-    _add(_name, "url, json_body?, headers_json?, params_json?, limiter?", "string", needs="network")
-_add("http.request", "method, url, headers_json?, params_json?, body?, json_body?, allow_redirects? boolean, max_bytes? int, limiter?", "string", needs="network")
+_LIMITS = "allow_redirects? boolean, max_bytes? int, limiter?"
+_REQUEST = f"headers_json?, params_json?, {_LIMITS}"
+_add("aisystems.http.get", f"aisystem_id, url, {_REQUEST}", "string", needs="network")
+_add("aisystems.http.post", f"aisystem_id, url, headers_json?, params_json?, body?, json_body?, {_LIMITS}", "string", needs="network")
+_add("http.get", f"url, {_REQUEST}", "string", needs="network")
+_add("http.post", f"url, headers_json?, params_json?, body?, json_body?, {_LIMITS}", "string", needs="network")
+_add("http.request", f"method, url, headers_json?, params_json?, body?, json_body?, {_LIMITS}", "string", needs="network")
 _add("simulators.run", "input variant, user, agent, observers? variant, environments? variant, reuse? boolean, limits? variant, limiter?", "variant", needs="registered callbacks")
-_add("simulators.observer", "callback, schedule? array<string>, config?", "variant", native.observer)
-_add("simulators.limits", "max_turns? int, timeout_seconds? double", "variant", native.limits)
-
-
-def _spec_function(name: str, kind: str, params: str) -> None:
-    names = [p.name for p in parameters(params)]
-    _add(name, params, "variant", lambda _kind=kind, _names=tuple(names), **kw: native.spec(_kind, **{n: kw.get(n) for n in _names}))
-
-
-_spec_function("envs.browser.spec", "browser", "session_id?, start_url?, policy?, viewport?, locale?, timezone_id?, storage_state_path?")
-_spec_function("envs.shell.spec", "shell", "session_id?, cwd?, policy?, env? array<string>")
-for _name in ("envs.agent_harness.spec", "agent_harness.spec"):
-    _spec_function(_name, "agent_harness", "session_id?, aisystem?, workdir?, secret_id?, mcps? variant")
-for _name in ("envs.mcp.http.spec", "mcps.http.spec"):
-    _spec_function(_name, "mcp_http", "name, endpoint, required? boolean, secret_id?, allow_tools? array<string>, deny_tools? array<string>, headers?, start_mode?")
-for _name in ("envs.mcp.stdio.spec", "mcps.stdio.spec"):
-    _spec_function(_name, "mcp_stdio", "name, command, args? array<string>, required? boolean, allow_tools? array<string>, deny_tools? array<string>, env? array<string>, approval_mode?, start_mode?")
-for _name in ("envs.mcp.playwright.spec", "mcps.playwright.spec"):
-    _spec_function(_name, "mcp_playwright", "output_dir?, name?, headless? boolean, isolated? boolean, hosts? array<string>, tools? array<string>, start_mode?, command?, args? array<string>")
-_spec_function("mcps.spec", "mcp", "name, transport?, endpoint?, command?, args? array<string>, required? boolean, start_mode?")
+_add("simulators.observer", "callback, schedule? array<string>, config? variant", "variant", specs.observer)
+_add("simulators.limits", "max_turns? int, timeout_seconds? double", "variant", specs.limits)
+
+
+def _spec(names: str, params: str, make: Callable[..., dict]) -> None:
+    for name in names.split():
+        _add(name, params, "variant", make)
+
+
+_spec("envs.browser.spec", "session_id, start_url?, policy? variant, viewport? variant, locale?, timezone_id?, storage_state_path?", partial(specs.environment, "browser"))
+_spec("envs.shell.spec", "session_id, cwd?, policy? variant, env? variant", partial(specs.environment, "shell"))
+_spec("envs.agent_harness.spec agent_harness.spec", "session_id, aisystem, workdir, secret_id?, mcps? variant", partial(specs.environment, "agent_harness"))
+_spec(
+    "envs.mcp.http.spec mcps.http.spec", "name, endpoint, required? boolean, secret_id?, allow_tools? array<string>, deny_tools? array<string>, headers? variant, start_mode?",
+    partial(specs.server, "http"),
+)
+_spec(
+    "envs.mcp.stdio.spec mcps.stdio.spec",
+    "name, command, args? array<string>, required? boolean, allow_tools? array<string>, deny_tools? array<string>, env? variant, default_tools_approval_mode?, start_mode?",
+    partial(specs.server, "stdio"),
+)
+_spec(
+    "envs.mcp.playwright.spec mcps.playwright.spec",
+    "output_dir?, name?, headless? boolean, isolated? boolean, allowed_hosts? array<string>, allow_tools? array<string>, deny_tools? array<string>, capture_final_screenshot? boolean, "
+    "final_screenshot_filename?, start_mode?, command?, args? array<string>",
+    specs.playwright,
+)
+_spec("mcps.spec", "mcps variant", specs.servers)
 for _name in ("navigate", "wait_for", "screenshot", "tabs", "call_tool"):
     _add(f"mcps.playwright.browser.{_name}", "spec variant, target?, arguments?", "variant", needs="browser")
 for _name in ("envs.agent_harness.run_task", "agent_harness.run_task"):

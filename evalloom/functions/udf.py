@@ -2,7 +2,7 @@
 
 A call takes plain values and a flag; where an argument has errors the call is skipped and the errors are passed
 on. An exception becomes an error of the cell. Calls of a batch run in threads when a limit on calls in flight is
-given, and equal calls of a worker are made once.
+given, each under a permit of that limit's where a run serves them; equal calls of a worker are made once.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -74,21 +76,37 @@ async def _awaited(value):
     return await value
 
 
-def caller(function: Function, names: list[str], in_flight: int | None = None, cached: bool = True) -> Callable[..., Column]:
-    """The Arrow function of a call site: (skip, args...) -> struct(value, code, message, ms)."""
+@dataclass(frozen=True)
+class Limit:
+    """At most so many calls in flight: in a batch, and with permits under the limit's name over all executors."""
+
+    most: int
+    name: str = ""
+    permits: Any = None
+
+    def held(self):
+        return self.permits.permit(self.name, self.most) if self.permits is not None else nullcontext()
+
+
+def caller(function: Function, names: list[str], limit: Limit | None = None, cached: bool = True) -> Callable[..., Column]:
+    """The Arrow function of a call site: (skip, args...) -> struct(value, code, message, ms, hit)."""
     as_json = function.returns == "variant"
     kind = "string" if as_json else function.returns
     schema = f"struct<value:{kind},code:string,message:string,ms:bigint,hit:boolean>"
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        pool = ThreadPoolExecutor(min(FAN_OUT, in_flight)) if in_flight and in_flight > 1 else None
+        pool = ThreadPoolExecutor(min(FAN_OUT, limit.most)) if limit and limit.most > 1 else None
+
+        def one(item):
+            with limit.held() if limit else nullcontext():
+                return item[0], call_once(function, names, item[1], cached)
+
         for batch in batches:
             skip, *series = batch if isinstance(batch, tuple) else (batch,)
             columns = [s.to_dict("records") if isinstance(s, pd.DataFrame) else list(s) for s in series]
             rows = [tuple(_plain(v) for v in r) for r in zip(*columns)] if columns else [()] * len(skip)
             work = [(i, r) for i, (r, no) in enumerate(zip(rows, skip)) if not no]
-            one = lambda item: (item[0], call_once(function, names, item[1], cached))
             done = dict(pool.map(one, work) if pool else map(one, work))
             out = [done.get(i, (None, None, None, None, None)) for i in range(len(skip))]
             values = [None if v is None else json.dumps(v, ensure_ascii=False, default=str) if as_json else v for v, *_ in out]
@@ -97,7 +115,7 @@ def caller(function: Function, names: list[str], in_flight: int | None = None, c
     return run
 
 
-def prepare(function: Function, arguments: dict[str, Cell], in_flight: int | None = None, cached: bool = True) -> tuple[Column, Callable[[Column], Cell]]:
+def prepare(function: Function, arguments: dict[str, Cell], limit: Limit | None = None, cached: bool = True) -> tuple[Column, Callable[[Column], Cell]]:
     """The hidden column of a call and, given that column, the cell it makes."""
     used = {n: c for n, c in arguments.items() if n not in function.controls}
     upstream = A.merged(*[c.parts for c in used.values()])
@@ -106,23 +124,23 @@ def prepare(function: Function, arguments: dict[str, Cell], in_flight: int | Non
         return F.lit(0), lambda _: Cell(F.lit(None).cast(function.returns), A.merged(upstream, missing))
     skip = A.any_error(upstream)
     values = [c.value.cast("string") if _kind(function, n) in ("string", "variant") else c.value for n, c in used.items()]
-    hidden = caller(function, list(used), in_flight, cached)(skip, *values)
+    hidden = caller(function, list(used), limit, cached)(skip, *values)
 
     def cell(done: Column) -> Cell:
         value = F.try_parse_json(done["value"]) if function.returns == "variant" else done["value"]
         own = A.error(done["code"], done["message"], function.name)
         errors = A.own_error(upstream, done["code"].isNotNull(), own)
-        return Cell(value, errors, done["ms"], kind=_variant(function), trace=_trace(function, done, skip, in_flight))
+        return Cell(value, errors, done["ms"], kind=_variant(function), trace=_trace(function, done, skip, limit))
 
     return hidden, cell
 
 
-def _trace(function: Function, done: Column, skip: Column, in_flight: int | None) -> Column:
+def _trace(function: Function, done: Column, skip: Column, limit: Limit | None) -> Column:
     """The call's trace in the fixed layout; what only a remote backend knows stays null."""
     known = {
         "schema_version": F.lit("1"), "function_name": F.lit(function.name), "runtime_alias": F.lit(function.name.replace(".", "_")), "backend": F.lit("spark"),
         "execution_runtime": F.lit("python"), "status": F.when(skip, "skipped").when(done["code"].isNotNull(), "error").otherwise("ok"), "duration_ms": F.when(skip, 0).otherwise(done["ms"]),
-        "cache_hit": done["hit"], "max_in_flight": F.lit(in_flight), "error_code": done["code"], "error_message": done["message"],
+        "cache_hit": done["hit"], "limiter_key": F.lit(limit.name if limit else None), "max_in_flight": F.lit(limit.most if limit else None), "error_code": done["code"], "error_message": done["message"],
     }
     return F.struct(*[known.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in C.TRACE_FIELDS])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from ..cells.frame import CellFrame
 from ..functions import columns as K
 from ..functions import registry as R
 from ..functions import udf as U
+from ..script import ast as N
+from ..script.lower import Context, lower_query
 from ..session import table
+from . import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -153,7 +158,21 @@ def elo_delta(spark, d):
     return p.select({"o_orderkey": p["o_orderkey"], "delta": A.lift(K.elo_rating_delta, p["ra"], p["rb"], p["outcome"], k)}).unwrap()
 
 
-@query()
+_REPLAY = """
+    WITH RECURSIVE games AS (
+        SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i, o_orderstatus AS a, CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'F' END AS b, (o_custkey % 3) / 2.0 AS won FROM orders
+    ), played AS (
+        SELECT DISTINCT o_custkey, CAST(0 AS BIGINT) AS i, 1500.0::DOUBLE AS f, 1500.0::DOUBLE AS o, 1500.0::DOUBLE AS p FROM orders
+        UNION ALL
+        SELECT g.o_custkey, g.i, f + CASE 'F' WHEN a THEN d WHEN b THEN -d ELSE 0 END, o + CASE 'O' WHEN a THEN d WHEN b THEN -d ELSE 0 END, p + CASE 'P' WHEN a THEN d ELSE 0 END
+        FROM (SELECT g.*, r.f, r.o, r.p, 24.0 * (won - 1 / (1 + power(10.0, (CASE b WHEN 'F' THEN f ELSE o END - CASE a WHEN 'F' THEN f WHEN 'O' THEN o ELSE p END) / 400.0))) AS d
+              FROM played r JOIN games g ON g.o_custkey = r.o_custkey AND g.i = r.i + 1) g
+    )
+    SELECT o_custkey, round(arg_max(f, i), 6) AS rating FROM played GROUP BY o_custkey
+"""
+
+
+@query(_REPLAY)
 def elo_final(spark, d):
     """The final rating of each customer's status F against status O, replayed over the customer's orders."""
     o = table(spark, d, "orders").withColumn("other", F.when(F.col("o_orderstatus") == "F", "O").otherwise("F"))
@@ -193,7 +212,11 @@ def schema_match(spark, d):
     )
 
 
-@query()
+@query("""
+    SELECT run_id, CASE WHEN len(t) > 0 AND places = list_sort(places) THEN 1.0 ELSE 0.0 END AS score, CASE WHEN len(t) = 0 THEN 'review' WHEN places = list_sort(places) THEN 'pass' ELSE 'fail' END AS label
+    FROM (SELECT DISTINCT run_id, t, list_transform(list_sort(list_distinct(t)), lambda x: list_position(t, x)) AS places
+          FROM (SELECT run_id, list_filter(list_transform(simulator_result.turns, lambda u: u.turn), lambda x: x IS NOT NULL) AS t FROM agent_runs WHERE simulator_result.turns IS NOT NULL))
+""")
 def step_adherence(spark, d):
     """Do the turns of a simulation come in order?"""
     runs = table(spark, d, "agent_runs").select("run_id", F.col("simulator_result.turns.turn").alias("turns")).distinct().where("turns IS NOT NULL")
@@ -281,3 +304,88 @@ def udf_async(spark, d):
         return text.lower()
 
     return table(spark, d, "nation").select("n_nationkey", U.async_row_function(low, "string")("n_name").alias("v"))
+
+
+# --- catalog functions over fixed arguments ------------------------------------------------------------------------
+
+_ZIP = "UEsDBBQAAAAAAAAAIQCsKpPYAgAAAAIAAAAFAAAAYS50eHRoaVBLAQIUAxQAAAAAAAAAIQCsKpPYAgAAAAIAAAAFAAAAAAAAAAAAAACAAQAAAABhLnR4dFBLBQYAAAAAAQABADMAAAAlAAAAAAA="
+_CALLS = '[{"tool_calls": [{"name": "f", "args": {"x": 1}}, {"name": "g", "args": {}}]}]'
+_WANTED = '[{"name": "f", "args": {"x": 1}}, {"name": "h", "args": {}}]'
+#: (label, call, its result as compact JSON with sorted keys).
+FIXED = [
+    ("observer", "simulators.observer('local.look')", {"spec_type": "simulator_observer", "callback": "local.look", "schedule": ["final"], "config": {}}),
+    ("observer both", """simulators.observer('f', schedule = array('after_turn', 'final'), config = parse_json('{"k": 1}'))""",
+     {"spec_type": "simulator_observer", "callback": "f", "schedule": ["after_turn", "final"], "config": {"k": 1}}),
+    ("limits", "simulators.limits()", {"spec_type": "simulator_limits", "max_turns": 32, "timeout_seconds": 300.0}),
+    ("limits given", "simulators.limits(max_turns = 5, timeout_seconds = 1.5)", {"spec_type": "simulator_limits", "max_turns": 5, "timeout_seconds": 1.5}),
+    ("browser", "envs.browser.spec(session_id = 's', start_url = 'https://x.example')", {"spec_type": "environment", "kind": "browser", "env_id": "s", "config": {"start_url": "https://x.example"}}),
+    ("shell", "envs.shell.spec(session_id = 's', cwd = '/w')", {"spec_type": "environment", "kind": "shell", "env_id": "s", "config": {"cwd": "/w"}}),
+    ("harness", "agent_harness.spec(session_id = 's', aisystem = 'a', workdir = 'w')",
+     {"spec_type": "environment", "kind": "agent_harness", "env_id": "s", "config": {"session_id": "s", "aisystem": "a", "workdir": "w"}}),
+    ("mcp http", "mcps.http.spec(name = 'n', endpoint = 'https://x.example', allow_tools = array('t'))",
+     {"spec_type": "mcp", "transport": "http", "name": "n", "endpoint": "https://x.example", "required": False, "secret_id": None, "allow_tools": ["t"], "deny_tools": [], "headers": {}, "start_mode": "lazy"}),
+    ("mcp stdio", "envs.mcp.stdio.spec(name = 'n', command = 'c', args = array('-v'), required = true)",
+     {"spec_type": "mcp", "transport": "stdio", "name": "n", "command": "c", "args": ["-v"], "required": True, "allow_tools": [], "deny_tools": [], "env": {}, "default_tools_approval_mode": None, "start_mode": "lazy"}),
+    ("playwright", "mcps.playwright.spec(output_dir = '/o', headless = false)",
+     {"spec_type": "mcp", "transport": "stdio", "name": "playwright", "command": "playwright-mcp", "args": ["--isolated", "--allowed-hosts", "*", "--no-sandbox", "--output-dir", "/o"], "required": True,
+      "allow_tools": [], "deny_tools": ["browser_install"], "env": {}, "default_tools_approval_mode": "approve", "start_mode": "lazy",
+      "playwright": {"output_dir": "/o", "capture_final_screenshot": False, "final_screenshot_filename": "fixture-final.png"}}),
+    ("schema", """agent.tool.schema_match(array('{"properties": {"q": {"type": "string"}}, "required": ["q"]}'), array('q=x'), '{"q": 3}')""",
+     {"score": 0.0, "construction_failure_type": "wrong_argument_value", "malformed_fields": ["q"], "actual_call": '{"q": 3}', "reason": "The tool call does not match the structured schema and expected properties.",
+      "expected_call": '{"contains": {}, "equals": {"q": "x"}, "properties": {"q": {"type": "string"}}, "required": ["q"]}'}),
+    ("steps", """agent.trajectory.step_adherence(parse_json('{"expected_steps": [{"id": "a"}, {"id": "b"}], "observed_steps": [{"id": "1", "matches_expected_ids": ["b"]}, {"id": "2", "matches_expected_ids": ["a"]}]}'), 'in_order')""",
+     {"score": 0.0, "label": "fail", "ordering_policy": "in_order", "matched_steps": ["a", "b"], "missing_steps": [], "out_of_order_steps": ["b"], "extra_steps": [], "reason": "Observed steps do not satisfy the in_order expected-step policy."}),
+    ("fence", "string.extract_from_fence('x\\n```json\\n{}\\n```\\n```\\nb\\n```', NULL)", [["json", "{}"], ["", "b"]]),
+    ("fence kind", "string.extract_from_fence('```sql\\nSELECT 1\\n```', 'SQL')", ["SELECT 1"]),
+    ("f1", f"agent.ragas.tool_call_f1('{_CALLS}', '{_WANTED}')", {"value": 0.5, "reason": "1 of 2 calls are among the 2 wanted"}),
+    ("accuracy", f"agent.ragas.tool_call_accuracy('{_CALLS}', '{_WANTED}', false)", {"value": 0.0, "reason": "1 of 2 calls agree, in another order"}),
+    ("datacompy", "agent.ragas.execution_based_datacompy_score('a,b\\n1,2\\n3,4', 'a,b\\n1,2\\n5,6', 'rows', 'precision')", {"value": 0.5, "reason": "1 rows are the same"}),
+    ("unzip", f"zip.unzip('{_ZIP}', '[\"a.txt\"]')", "BEGIN DOCUMENT 1:\nhi\nEND DOCUMENT 1"),
+    ("unzip cut", f"zip.unzip('{_ZIP}', '[\"a.txt\"]', 8)", "BEGIN DO"),
+    ("json", "data.parse_json('{\"b\":1,\"a\":[true]}')", '{"b": 1, "a": [true]}'),
+    ("json empty", "data.parse_json('')", None),
+    ("csv", "data.parse_csv('a;b\\n1;2', ';', NULL, true, 5)", '{"columns": ["a", "b"], "rows": [{"a": "1", "b": "2"}], "row_count": 1, "truncated": false}'),
+]
+
+
+def _as_variant(value):
+    """A value as a VARIANT writes it: whole numbers without a fraction."""
+    if isinstance(value, float) and value.is_integer():
+        return int(value)
+    if isinstance(value, list):
+        return [_as_variant(v) for v in value]
+    return {k: _as_variant(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def _fixed_sql() -> str:
+    text = lambda v: "NULL" if v is None else "'" + (v if isinstance(v, str) else json.dumps(_as_variant(v), sort_keys=True, separators=(",", ":"))).replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{name}', {text(want)})" for name, _, want in FIXED) + ") AS t(name, result)"
+
+
+@query(_fixed_sql())
+def catalog_fixed(spark, d):
+    """Deterministic functions of the catalog, called from a recipe's query, against the results that they must have."""
+    context = Context(spark, tables={"one": CellFrame.wrap(spark.range(1)).df})
+    out = None
+    for name, call, _ in FIXED:
+        value = lower_query(N.parse_query(f"SELECT {call} AS r FROM one"), context).unwrap()
+        kind = value.schema["r"].dataType.simpleString()
+        row = value.select(F.lit(name).alias("name"), (F.to_json("r") if kind == "variant" else F.col("r").cast("string")).alias("result"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("SELECT n_nationkey, '{\"a\":[1,2],\"n\":' || n_nationkey || '}' AS content, 'nations/' || n_name || '.json' AS path, true AS same_size FROM nation")
+def objectstore_round_trip(spark, d):
+    """Write JSON objects into the run's folder, and read them back through their entries."""
+    text = """CREATE BATCH TABLE written SELECT n_nationkey, objectstore.write_json('nations/' || n_name || '.json', parse_json('{"n":' || n_nationkey || ',"a":[1,2]}')) AS e, 'nations/' || n_name || '.json' AS path FROM nation;
+              CREATE BATCH TABLE made SELECT n_nationkey, objectstore.read_json(e, path) AS content, e[0].path AS path, e[0].size_bytes = length(objectstore.read_text(e, path)) AS same_size FROM written;"""
+    return stored.made(spark, d, text, "nation")
+
+
+@query("SELECT n_nationkey, 'RUNTIME_PYTHON_ERROR' AS code FROM nation")
+def objectstore_missing(spark, d):
+    """Reading what isn't there is an error of the cell."""
+    n = CellFrame.wrap(table(spark, d, "nation").select("n_nationkey", F.array(K.entry(path=F.lit("a"), object_uri=F.lit("file:///nowhere"))).alias("e")))
+    f = _call(n, "objectstore.read_text", ["n_nationkey"], entries=n["e"], path=A.literal("b"))
+    return f.df.select("n_nationkey.value", f.first_code("result").alias("code")).toDF("n_nationkey", "code")

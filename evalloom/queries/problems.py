@@ -28,12 +28,12 @@ def p1_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One of the flat tables with its typed columns: the turns of the simulations."""
-    return nested.relational(cut(_nodes(spark, sf_dir)), ["run_id"])["simulator_result.turns[*]"]
+    return nested.relational(cut(_nodes(spark, sf_dir)), ["run_id"])["simulator_result.turns*"]
 
 
 def p1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table below it, whose parent_path is the turn's node_path."""
-    return nested.relational(cut(_nodes(spark, sf_dir)), ["run_id"])["simulator_result.turns[*].request.messages[*]"]
+    return nested.relational(cut(_nodes(spark, sf_dir)), ["run_id"])["simulator_result.turns*.request.messages*"]
 
 
 def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ Python calls become hidden columns of their own, once each, before the projectio
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,8 @@ class Context:
     clean: dict[str, frozenset[str]] = field(default_factory=dict)
     inputs: dict[str, Cell] = field(default_factory=dict)
     limits: dict[str, int] = field(default_factory=dict)
+    #: Where calls ask for permits of these limits; None: each batch keeps them by itself.
+    permits: Any = None
     macros: dict[str, Macro] = field(default_factory=dict)
     strict: bool = True
 
@@ -527,13 +530,14 @@ class Lowering:
     def _function(self, e: N.Call) -> Cell:
         f = self.context.registry.get(e.name)
         bound = f.bind(e.args, e.named)
-        in_flight = None
+        limit = None
         arguments: dict[str, Cell] = {}
         for name, a in bound.items():
             if name in f.controls:
                 if not isinstance(a, N.Name) or a.parts[0] not in self.context.limits and a.parts[0] not in self.context.inputs:
                     raise BindError(f"{e.name}: {name} must be a declared input")
-                in_flight = self.context.limits.get(a.parts[0], in_flight)
+                if a.parts[0] in self.context.limits:
+                    limit = U.Limit(self.context.limits[a.parts[0]], a.parts[0], self.context.permits)
             else:
                 arguments[name] = self.lower(a)
         if f.column is not None and f.python is None or f.column is not None and not self.grouping:
@@ -541,7 +545,7 @@ class Lowering:
             return A.lift(lambda *v: f.column(**dict(zip(_column_names(f.column, order), v))), *[arguments[n] for n in order])
         if self.grouping:
             raise ScriptError(f"{e.name} over aggregates: call it in an outer query")
-        hidden, cell = U.prepare(f, arguments, in_flight)
+        hidden, cell = U.prepare(f, arguments, limit)
         return cell(self.hide(hidden))
 
     def _aggregate(self, e: N.Call) -> Cell:

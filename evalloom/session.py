@@ -34,6 +34,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a cluster that don't have it installed; the archive's path."""
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # On the driver's own disk, from where Spark hands it to each executor.
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="evalloom-ship-"), "evalloom"), "zip", root, "evalloom")
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable lineage cut: computed once, kept in the shared checkpoint folder, survives lost executors."""
     checkpoint_dir(df.sparkSession)

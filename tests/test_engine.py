@@ -186,3 +186,25 @@ def test_leases():
     assert leases.renew("k", held) and leases.release("k", held) and leases.in_use("k") == 0
     assert fan_out(lambda x: x * 2, [1, 2, 3], 2) == [2, 4, 6]
     assert os.path.exists(__file__)
+
+
+def test_limits_hold_over_all_workers(spark, tmp_path):
+    """Each call notes when it began and ended; no more than the limit overlap, whichever worker made them."""
+    import time
+
+    from evalloom.functions.registry import Function, parameters
+
+    def slow(text, limiter=None):
+        began = time.time()
+        time.sleep(0.05)
+        return f"{began} {time.time()}"
+
+    r = Registry()
+    r.add(Function("local.slow", parameters("text, limiter?"), "string", slow))
+    spark.range(40).selectExpr("CAST(id AS STRING) AS t").repartition(4).write.parquet(str(tmp_path / "t"))
+    recipe = f"DECLARE INPUT calls RATELIMIT DEFAULT 2; LOAD t FROM '{tmp_path}/t' WITH FORMAT = 'parquet'; CREATE BATCH TABLE a SELECT local.slow(text = t, limiter = calls) AS s FROM t;"
+    result = engine.run(spark, recipe, engine.Settings(str(tmp_path / "r")), r)
+    assert result.failed == {}
+    rows = spark.read.parquet(result.tables["a"]).select("s.value", "s.metadata.trace.limiter_key", "s.metadata.trace.max_in_flight").collect()
+    spans = [tuple(map(float, v.value.split())) for v in rows]
+    assert max(sum(a <= b <= z for a, z in spans) for b, _ in spans) <= 2 and {(v.limiter_key, v.max_in_flight) for v in rows} == {("calls", 2)}

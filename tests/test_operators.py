@@ -1,11 +1,13 @@
 """The general data problems against brute force and odd input."""
 
+import datetime as dt
 import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from evalloom.operators import nested, quarantine, schema_drift
+from evalloom.operators import nested, quarantine, schema_drift, strict_json
 from evalloom.operators.strict_json import is_object
 
 RUN = "run_id string, simulator_result struct<turns:array<struct<turn:int,request:string,response:string,user_request:string>>,observations:array<struct<observation:string,artifacts:array<string>>>>, harness_result struct<transcript:array<string>,artifacts:array<struct<name:string,metadata:string>>>"
@@ -235,3 +237,71 @@ def test_assignment_is_cheapest():
         best = min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
         chosen = schema_drift.assign(cost)
         assert abs(sum(cost[i][chosen[i]] for i in range(n)) - best) < 1e-9
+
+
+# --- related tables, depth, moves, headers ------------------------------------------------------------------------
+
+
+def test_json_of_any_depth_keeps_its_nodes(spark):
+    depth = 20_000
+    text = '{"a":' * depth + '{"messages":[{"x":1},{"x":2}]}' + "}" * depth
+    spec = nested.NestedSpec(columns=("doc",), list_keys=frozenset(("messages",)), json_fields=frozenset(("doc",)))
+    rows = list(nested.walk("[" + text + "]", "doc", spec))
+    assert [len(label) for label, _, _ in rows] == [1, 2, 2]
+    assert rows[1][0][1].endswith(".messages[0]")
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, 2.5, true, null, "x\\n"], "b": {}, "c": []}', "[]", "3", '"x"', ' [ { } , [ ] ] ', '{"a":{"b":[{"c":[]}]}}'])
+def test_deep_values_against_the_decoder(text):
+    assert strict_json.deep_value(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a":1,}', '{"a" 1}', "[1] 2", "{1:2}", "nul", "[1", '{"a":}'])
+def test_deep_values_refuse_what_is_no_json(text):
+    with pytest.raises(ValueError):
+        strict_json.deep_value(text)
+
+
+def test_related_tables_link_to_their_parents(spark):
+    kind = "run string, doc string"
+    rows = [("r1", '[{"turn": 1, "run": "x", "messages": [{"role": "a", "n": 1}, {"role": "b", "n": 2.5}]}, {"turn": "2", "messages": {"role": "c"}}]'), ("r2", None), ("r3", "[]")]
+    spec = nested.NestedSpec(columns=("doc",), list_keys=frozenset(("messages",)), json_fields=frozenset(("doc",)))
+    long = nested.tables(nested.flatten(spark.createDataFrame(rows, kind), ["run"], spec), ["run"])
+    made = nested.relational(long, ["run"])
+    assert set(made) == {"doc*", "doc*.messages*"}
+    top, below = made["doc*"], made["doc*.messages*"]
+    assert dict(below.dtypes)["n"] == "double" and dict(top.dtypes)["turn"] == "string" and "_run" in top.columns
+    joined = below.join(top.select("run", F.col("node_path").alias("parent_path"), "turn"), ["run", "parent_path"])
+    assert sorted((r.turn, r.role, r.n) for r in joined.collect()) == [("1", "a", 1.0), ("1", "b", 2.5), ("2", "c", None)]
+
+
+def test_moves():
+    script = [("removed", ("a", "x"), (), "t"), ("added", (), ("b", "x"), "t"), ("removed", ("y",), (), "t"), ("added", (), ("c", "y"), "u"), ("renamed", ("p",), ("q",), "")]
+    assert schema_drift.moves(script) == [(("a", "x"), ("b", "x"))]
+    # Two places to come from: no move can be told.
+    assert schema_drift.moves([("removed", ("a", "x"), (), "t"), ("removed", ("d", "x"), (), "t"), ("added", (), ("b", "x"), "t")]) == []
+
+
+def test_moved_fields_keep_their_column_and_unreadable_sidecars_take_their_neighbours(spark):
+    struct = lambda **fields: json.dumps({"type": "struct", "fields": [{"name": k, "type": json.loads(v) if v.startswith("{") else v, "nullable": True, "metadata": {}} for k, v in fields.items()]})
+    inner = struct(x="string", z="long")
+    schemas = {1: struct(a=inner, b=struct(w="long")), 2: struct(a=struct(z="long"), b=struct(w="long", x="string")), 3: "no json"}
+    sidecars = spark.createDataFrame(
+        [(i, "t", no, "batch", "p", None, s, None, dt.datetime(2026, 1, no)) for i, (no, s) in enumerate(schemas.items())],
+        "sidecar_id bigint, stage_table string, file_no int, stage_kind string, table_path string, wrapped_schema string, value_schema string, description string, written_at timestamp_ntz",
+    )
+    docs = [(1, 1, '{"a": {"x": "one", "z": 1}, "b": {"w": 2}}'), (2, 2, '{"a": {"z": 3}, "b": {"w": 4, "x": "two"}}'), (3, 3, '{"a": {"z": 5}, "b": {"w": 6, "x": "three"}}')]
+    records = spark.createDataFrame([(i, "t", no, 1, "c", r) for i, no, r in docs], "record_id bigint, stage_table string, file_no int, line_no int, case_id string, record_json string")
+    changes = {tuple(r) for r in schema_drift.changes_with_moves(sidecars, records).select("file_no", "change_kind", "old_field", "new_field").collect()}
+    assert changes == {(2, "moved", "a.x", "b.x")}
+    out = {r.record_id: json.loads(r.record) for r in schema_drift.consistent_table(sidecars, records).collect()}
+    assert [out[i]["b.x"] for i in (1, 2, 3)] == ["one", "two", "three"] and all(len(o) == 3 for o in out.values())
+
+
+def test_headers_with_bars_load_and_salted_headers_agree(spark, monkeypatch):
+    lines = [(0, "f", 1, "scores", "row_id|score_text|payload_text"), (1, "f", 2, "scores", "1|2.5|{}"), (2, "f", 3, "scores", '2|x|"{}"'), (3, "g", 1, "scores", "row_id;a,b;payload_text"), (4, "g", 2, "scores", "7;u,v;{}")]
+    df = spark.createDataFrame(lines, "line_id bigint, file_name string, line_no int, dataset string, raw_line string")
+    got = {r.line_id: r.fields for r in quarantine.load_lines(df).collect()}
+    assert got == {1: {"row_id": "1", "score_text": "2.5", "payload_text": "{}"}, 4: {"row_id": "7", "a,b": "u,v", "payload_text": "{}"}}
+    monkeypatch.setattr(quarantine, "BROADCAST_FILES", -1)
+    assert {r.line_id: r.fields for r in quarantine.load_lines(df).collect()} == got

@@ -133,3 +133,66 @@ def test_native_functions():
     calls = [{"tool_calls": [{"name": "f", "args": {"x": 1}}]}]
     assert native.tool_call_f1(calls, [{"name": "f", "args": {"x": 1}}])["value"] == 1.0
     assert native.tool_call_accuracy(calls, [{"name": "g", "args": {}}])["value"] == 0.0
+
+
+# --- contracts of the catalog ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "default, says",
+    [
+        ("{max_workers: 0}", "positive whole number"), ("{nope: 1}", "no field nope"), ("{min_workers: 3, max_workers: 2}", "above"), ("{memory_per_worker: '2x'}", "size like"),
+        ("{kind: 'service'}", "can't be service"), ("5", "object of literals"), ("{max_workers: 2, memory_per_worker: '2g'}", None), ("'{max_workers: 2}'", None),
+    ],
+)
+def test_pool_fields(default, says):
+    text = f"DECLARE INPUT p POOL WITH KIND = 'executor' DEFAULT {default}; LOAD t FROM 'x.csv'"
+    if says is None:
+        S.check_inputs(S.parse_script(text))
+        return
+    with pytest.raises(ScriptError, match=says):
+        S.check_inputs(S.parse_script(text))
+
+
+def test_supplied_configs_aliases_and_stubs():
+    @R.function()
+    def slow(x: int, timeout: R.TimeoutConfig, retry: R.RetryConfig) -> str:
+        return f"{x} {timeout.total} {retry.tries}"
+
+    r = R.Registry()
+    f = r.add(slow.__evalloom__)
+    assert [p.name for p in f.parameters] == ["x"] and f.python(x=1) == "1 60.0 3"
+    assert "local_slow" in r and r.get("local_slow") is f and "http_get" in r and "nothing_here" not in r
+    r.transport("http.", R.stub)
+    assert r.get("http_get").python(url="u") == "http.get(url='u')"
+
+
+def test_dependencies():
+    from evalloom.plans.graph import dependencies
+
+    text = "DECLARE INPUT m AISYSTEM DEFAULT 'sys-1'; DECLARE INPUT d DATASET DEFAULT 'ds-1'; DECLARE INPUT n INT; CREATE FUNCTION l.f(x INT) RETURN x + 1; LOAD t FROM 'dataset://other'; LOAD u FROM 'a/x.csv'; CREATE BATCH TABLE q SELECT l.f(x) AS a, http.get(url = y) AS b FROM t"
+    found = dependencies(S.parse_script(text))
+    assert found["aisystems"] == ["sys-1"] and found["datasets"] == ["ds-1", "other"] and found["sources"] == ["a/x.csv"] and found["inputs"] == ["n"] and found["functions"] == ["http.get"]
+
+
+def test_network_functions_bind_their_arguments():
+    R.CATALOG["aisystems.http.get"].bind([], {"aisystem_id": "a", "url": "u", "max_bytes": 5, "allow_redirects": True})
+    R.CATALOG["aisystems.llm.chat"].bind([], {"aisystem_id": "a", "messages": "m", "top_p": 1, "seed": 2, "stop": "x", "secret_id": "s"})
+    R.CATALOG["aisystems.llm.responses"].bind([], {"aisystem_id": "a", "input_value": "m", "max_output_tokens": 5, "metadata": "{}"})
+    with pytest.raises(R.BindError):
+        R.CATALOG["http.get"].bind([], {"aisystem_id": "a", "url": "u"})
+
+
+def test_objects_are_read_whole_or_not_at_all(tmp_path):
+    (tmp_path / "big").write_bytes(b"x" * (native.MAX_READ_BYTES + 1))
+    (tmp_path / "bad").write_bytes(b"\xff")
+    entry = lambda n: [{"path": n, "object_uri": f"file://{tmp_path}/{n}", "entry_type": "file"}]
+    for name, error in (("big", ValueError), ("bad", UnicodeDecodeError), ("gone", FileNotFoundError)):
+        with pytest.raises(error):
+            native.read_text(entry(name), name)
+    with pytest.raises(FileNotFoundError):
+        native.read_text(entry("big"), "other")
+    (made,) = native.write_json("a/b.json", {"b": 1, "a": [2]}, root=str(tmp_path))
+    assert native.read_json([made], "a/b.json") == '{"a":[2],"b":1}' and made["parent_path"] == "a" and native.write_json("a/b.json", '{"a":[2],"b":1}', root=str(tmp_path))[0] == made
+    with pytest.raises(ValueError):
+        native.write_text("../x", "y", root=str(tmp_path))
