@@ -88,18 +88,15 @@ _NI = re.compile(r"(?<![\w])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![\w])", re.IG
 _NUMBER = re.compile(
     r"(?<![\w.,/#@:-])(?:[A-Za-z]{1,4}(?=\d))?[+(]?\d[\dA-Za-z]*(?:(?: ?\(0\) ?|\) ?| / |[ ./\-])\(?\d[\dA-Za-z]*)*(?:-[A-Za-z](?![\w]))?(?![\w])"
 )
-_PLUS = re.compile(r"(?:\+|\()$")
+_DIGIT = re.compile(r"\d")
 
 
 def fold(text: str) -> str:
     """The text with digits and letters of full width made plain; as long as before."""
-    if text.isascii():
+    if text.isascii() or max(text) <= "\u2000":
         return text
-    out = []
-    for ch in text:
-        plain = unicodedata.normalize("NFKC", ch) if ord(ch) > 0x2000 else ch
-        out.append(plain if len(plain) == 1 else ch)
-    return "".join(out)
+    plain = {ord(ch): unicodedata.normalize("NFKC", ch) for ch in set(text) if ch > "\u2000"}
+    return text.translate({code: p for code, p in plain.items() if len(p) == 1})
 
 
 class Token(NamedTuple):
@@ -110,10 +107,11 @@ class Token(NamedTuple):
 
 
 def tokens(text: str) -> list[Token]:
-    low = text.lower() if text.isascii() else None
-    if low is not None:
-        return [Token(m[0], low[m.start() : m.end()], m.start(), m.end()) for m in _TOKEN.finditer(text)]
-    return [Token(m[0], m[0].lower().replace("’", "'"), m.start(), m.end()) for m in _TOKEN.finditer(text)]
+    make = Token._make
+    if text.isascii():
+        low = text.lower()
+        return [make((m[0], low[m.start() : m.end()], *m.span())) for m in _TOKEN.finditer(text)]
+    return [make((m[0], m[0].lower().replace("’", "'"), *m.span())) for m in _TOKEN.finditer(text)]
 
 
 def _mask(token: str) -> str:
@@ -260,6 +258,8 @@ def name_runs(words: list[Token], text: str, allowed, free: set[int]) -> list[tu
 
 
 def _free_words(words: list[Token], taken: list[tuple[int, int]]) -> set[int]:
+    if not taken:
+        return set(range(len(words)))
     return {i for i, w in enumerate(words) if not any(w.start < b and a < w.end for a, b in taken)}
 
 
@@ -267,7 +267,7 @@ def mentions(text: str) -> tuple[str, list[Token], list[tuple[int, int]], list[t
     """Folded text, its tokens, spans of e-mails, addresses, numbers."""
     plain = fold(text)
     mails = emails(plain)
-    digits = any(map(str.isdigit, plain))
+    digits = _DIGIT.search(plain)
     streets = addresses(plain, mails) if digits else []
     nums = numbers(plain, mails + [(a, b) for a, b, _ in streets]) if digits else []
     return plain, tokens(plain), mails, streets, nums
@@ -309,7 +309,7 @@ def form_mentions(plain: str, words: list[Token], mails, streets, nums) -> list[
         a, b = _span_words(words, s, e)
         out.append(Mention("email", s, e, mail_form(plain[s:e]), "email" if re.search(r"@|[\[({]at[\])}]", plain[s:e], re.IGNORECASE) else None, context(words, a, b)))
     busy = mails + nums + [(a, b) for a, b, _ in streets]
-    wide = open_addresses(plain, busy) if any(map(str.isdigit, plain)) and cased(plain) else []
+    wide = open_addresses(plain, busy) if _DIGIT.search(plain) and cased(plain) else []
     for s, e, street in streets + wide:
         a, b = _span_words(words, s, e)
         company = b + 1 < len(words) and words[b + 1].low in COMPANY
@@ -329,7 +329,7 @@ def name_edges(plain: str, words: list[Token], taken: list[tuple[int, int]]) ->
     if not cased(plain):
         return
     for i, w in enumerate(words):
-        if len(w.low) > 1 and w.text[0].isalpha():
+        if len(w.low) > 1 and w.low[0].isalpha():
             where = "small" if w.text[0].islower() else "first" if not i or words[i - 1].text in ".!?" else "line" if words[i - 1].text in "\n>-:" else "inside"
             yield "case", where, w.low, None
     free = _free_words(words, taken)
