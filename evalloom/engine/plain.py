@@ -20,27 +20,40 @@ from ..script.surface import ScriptError, tokenize
 
 
 def query(spark: SparkSession, text: str, context: Context, values: dict[str, Any], statements: list[S.Statement]) -> DataFrame:
-    """A query's DataFrame. The views are only read while it is analysed."""
-    for name, df in context.tables.items():
-        if re.search(rf"\b{re.escape(name)}\b", text):
-            df.createOrReplaceTempView(name)
-    for s in statements:
-        if isinstance(s, S.DeclareInput) and s.name in context.inputs and re.search(rf"\b{re.escape(s.name)}\b", text):
-            kind = spark.range(1).select(context.inputs[s.name].value.alias("v")).schema["v"].dataType.simpleString()
-            spark.sql(f"DECLARE OR REPLACE VARIABLE `{s.name}` {kind}")
-            spark.sql(f"SET VARIABLE `{s.name}` = CAST(:v AS {kind})", args={"v": None if values.get(s.name) is None else str(values[s.name])})
-    macros = {s.name: s for s in statements if isinstance(s, S.CreateFunction)}
-    for s in macros.values():
-        parameters = ", ".join(f"{n} {k}" for n, k in s.parameters)
-        body = _renamed(s.text[re.search(r"\breturn\b(?!s)", s.text, re.IGNORECASE).end() :], macros, context.registry)
-        returns = f"RETURNS {s.returns} " if s.returns else ""
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {s.name.replace('.', '_')}({parameters}) {returns}RETURN {body}")
-    for name in _calls(text, context.registry):
-        f = context.registry.get(name)
-        if f.python is None:
-            raise ScriptError(f"{name} needs a {f.needs}")
-        spark.udf.register(name.replace(".", "_"), U.row_function(_positional(f), "string" if f.returns == "variant" else f.returns, f.returns == "variant"))
-    return spark.sql(_renamed(text, macros, context.registry))
+    """A query's DataFrame. Views, variables and functions are only there while it is analysed."""
+    drop: list[str] = []
+    try:
+        for name, df in context.tables.items():
+            if re.search(rf"\b{re.escape(name)}\b", text):
+                df.createOrReplaceTempView(name)
+                drop.append(f"VIEW IF EXISTS `{name}`")
+        for s in statements:
+            if isinstance(s, S.DeclareInput) and s.name in context.inputs and re.search(rf"\b{re.escape(s.name)}\b", text):
+                kind = spark.range(1).select(context.inputs[s.name].value.alias("v")).schema["v"].dataType.simpleString()
+                spark.sql(f"DECLARE OR REPLACE VARIABLE `{s.name}` {kind}")
+                drop.append(f"TEMPORARY VARIABLE IF EXISTS `{s.name}`")
+                spark.sql(f"SET VARIABLE `{s.name}` = CAST(:v AS {kind})", args={"v": None if values.get(s.name) is None else str(values[s.name])})
+        macros = {s.name: s for s in statements if isinstance(s, S.CreateFunction)}
+        for s in macros.values():
+            parameters = ", ".join(f"{n} {k}" for n, k in s.parameters)
+            body = _renamed(s.text[re.search(r"\breturn\b(?!s)", s.text, re.IGNORECASE).end() :], macros, context.registry)
+            returns = f"RETURNS {s.returns} " if s.returns else ""
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {_name(s.name)}({parameters}) {returns}RETURN {body}")
+            drop.append(f"TEMPORARY FUNCTION IF EXISTS {_name(s.name)}")
+        for name in _calls(text, context.registry):
+            f = context.registry.get(name)
+            if f.python is None:
+                raise ScriptError(f"{name} needs a {f.needs}")
+            spark.udf.register(_name(name), U.row_function(_positional(f), "string" if f.returns == "variant" else f.returns, f.returns == "variant"))
+            drop.append(f"TEMPORARY FUNCTION IF EXISTS {_name(name)}")
+        return spark.sql(_renamed(text, macros, context.registry))
+    finally:
+        for what in drop:
+            spark.sql(f"DROP {what}")
+
+
+def _name(name: str) -> str:
+    return name.replace(".", "_")
 
 
 def _positional(f):
@@ -83,6 +96,6 @@ def _renamed(text: str, macros: dict[str, S.CreateFunction], registry: Registry)
                 marks.append(end + t.start)
         for at in reversed(marks):
             text = text[:at] + "=>" + text[at + 1 :]
-        text = text[:start] + name.replace(".", "_") + text[end:]
+        text = text[:start] + _name(name) + text[end:]
     return text
 

@@ -105,8 +105,14 @@ def _check_calls(q: N.Query, registry: Registry, statements: list[S.Statement])
         if not isinstance(node, N.Call) or node.name.lower() in macros:
             continue
         if node.name in registry:
-            bound = registry.get(node.name).bind(node.args, node.named)
+            f = registry.get(node.name)
+            bound = f.bind(node.args, node.named)
+            kinds_of = {p.name: p.kind for p in f.parameters}
             for name, a in bound.items():
+                if kinds_of[name] == "function":
+                    if not isinstance(a, N.Name):
+                        raise ScriptError(f"{node.name}: {name} is the name of a function")
+                    registry.callback(".".join(a.parts))
                 want = {"limiter": "RATELIMIT", "pool": "POOL", "aisystem_id": "AISYSTEM"}.get(name)
                 if want and isinstance(a, N.Name) and kinds.get(a.parts[0]) not in (want, None):
                     raise ScriptError(f"{node.name}: {name} must be a {want} input")

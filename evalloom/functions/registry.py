@@ -11,7 +11,7 @@ from typing import Any, get_args, get_type_hints
 from pyspark.sql import Column
 from pyspark.sql import types as T
 
-from . import columns, native, specs
+from . import columns, native, simulation, specs
 
 REQUIRED = object()
 
@@ -152,6 +152,19 @@ class Registry:
     def __contains__(self, name: str) -> bool:
         return self.named(name) in self.functions
 
+    def callback(self, name: str, least: int = 1) -> Callable[..., Any]:
+        """A function that another one is given, by its name: it must be written in Python and take enough arguments."""
+        f = self.get(name)
+        if f.python is None:
+            raise BindError(f"{name} can't be called back: it needs a {f.needs}")
+        if len(f.parameters) < least:
+            raise BindError(f"{name} takes no argument; what is called back takes {least} at least")
+        return f.python
+
+    def own(self) -> dict[str, Callable[..., Any]]:
+        """The Python functions that are no part of the catalog."""
+        return {n: f.python for n, f in self.functions.items() if n not in self.builtin and f.python is not None}
+
     def keywords(self) -> frozenset[str]:
         """Names without a point, which take `name = value` arguments too."""
         return frozenset(n if "." not in n else n.replace(".", "_") for n in self.functions)
@@ -319,7 +332,7 @@ _add("aisystems.http.post", f"aisystem_id, url, headers_json?, params_json?, bod
 _add("http.get", f"url, {_REQUEST}", "string", needs="network")
 _add("http.post", f"url, headers_json?, params_json?, body?, json_body?, {_LIMITS}", "string", needs="network")
 _add("http.request", f"method, url, headers_json?, params_json?, body?, json_body?, {_LIMITS}", "string", needs="network")
-_add("simulators.run", "input variant, user, agent, observers? variant, environments? variant, reuse? boolean, limits? variant, limiter?", "variant", needs="registered callbacks")
+_add("simulators.run", "input variant, user function, agent function, observers? variant, environments? variant, reuse?, limits? variant, limiter?", "variant", simulation.run)
 _add("simulators.observer", "callback, schedule? array<string>, config? variant", "variant", specs.observer)
 _add("simulators.limits", "max_turns? int, timeout_seconds? double", "variant", specs.limits)
 

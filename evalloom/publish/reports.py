@@ -19,7 +19,7 @@ from ..sources import files
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 CHART_AGGREGATIONS = ("sum", "count", "avg", "min", "max")
 CONSENSUS = ("none", "majority", "unanimous")
-#: Most rows of a report; reports are read by people, tables hold the rest. More is an error, never a silent cut.
+#: Most rows that stand in a report's file itself; of more, the executors write a folder that the file names.
 MAX_REPORT_ROWS = 100_000
 
 
@@ -61,7 +61,7 @@ def issue_rows(df: DataFrame) -> DataFrame:
     return CellFrame(df).unwrap().withColumn("severity", F.when(low.isin(*SEVERITIES), low).otherwise("info"))
 
 
-def chart(df: DataFrame, options: dict[str, Any]) -> dict:
+def chart(df: DataFrame, options: dict[str, Any], place: str) -> dict:
     """A chart's settings with its rows; the aggregation is recorded, the rows are raw."""
     aggregation = str(options.get("AGGREGATION", "avg")).lower()
     if aggregation not in CHART_AGGREGATIONS:
@@ -78,14 +78,16 @@ def chart(df: DataFrame, options: dict[str, Any]) -> dict:
     if options.get("LIMIT"):
         bare = bare.limit(int(options["LIMIT"]))
     settings = {k.lower(): v for k, v in options.items() if k != "COMPONENT"}
-    return {**settings, "aggregation": aggregation, "rows": records(bare)}
+    return {**settings, "aggregation": aggregation, "rows": records(bare, place)}
 
 
-def records(df: DataFrame) -> list[dict]:
+def records(df: DataFrame, place: str) -> list[dict]:
+    """A report's rows; if they are too many for one file, where the executors have written them."""
     rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(MAX_REPORT_ROWS + 1).collect()]
-    if len(rows) > MAX_REPORT_ROWS:
-        raise ScriptError(f"a report has at most {MAX_REPORT_ROWS} rows; aggregate first")
-    return rows
+    if len(rows) <= MAX_REPORT_ROWS:
+        return rows
+    df.write.mode("append").option("ignoreNullFields", "false").json(place)
+    return [{"rows_at": place}]
 
 
 def append(path: str, items: list[dict]) -> None:
@@ -96,16 +98,20 @@ def append(path: str, items: list[dict]) -> None:
 
 def publish_report(df: DataFrame, name: str, options: dict[str, Any], folder: str) -> None:
     component = str(options["COMPONENT"]).upper()
+
+    def put(kind: str, rows: DataFrame) -> None:
+        found = records(rows, f"{folder}/rows/{kind}/{name}")
+        if found or kind == component.lower() + "s":
+            append(f"{folder}/{kind}.json", [{"table": name, **r} for r in found])
+
     if component == "METRIC":
         metrics, issues = metric_rows(df)
-        append(f"{folder}/metrics.json", [{"table": name, **r} for r in records(metrics)])
-        bad = records(issues)
-        if bad:
-            append(f"{folder}/issues.json", [{"table": name, **r} for r in bad])
+        put("metrics", metrics)
+        put("issues", issues)
     elif component == "ISSUE":
-        append(f"{folder}/issues.json", [{"table": name, **r} for r in records(issue_rows(df))])
+        put("issues", issue_rows(df))
     else:
-        append(f"{folder}/charts.json", [{"table": name, **chart(df, options)}])
+        append(f"{folder}/charts.json", [{"table": name, **chart(df, options, f"{folder}/rows/charts/{name}")}])
 
 
 # --- annotations --------------------------------------------------------------------------------------------------
@@ -200,7 +206,9 @@ def render(folder: str, form: str = "md", secrets: list[str] | None = None) -> s
     for kind, rows in parts.items():
         lines.append(("h", kind.capitalize()))
         for r in rows:
-            if kind == "metrics":
+            if "rows_at" in r:
+                lines.append(("i", f"{r.get('table')}: rows in {r['rows_at']}"))
+            elif kind == "metrics":
                 tags = ", ".join(f"{k}={v}" for k, v in sorted((r.get("tags") or {}).items()))
                 lines.append(("i", f"{r.get('metric')}: {r.get('value')}" + (f" ({tags})" if tags else "")))
             elif kind == "issues":

@@ -7,13 +7,17 @@ over stages without cells).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cells.frame import CellFrame
 from ..engine import run as engine
-from ..functions.registry import TEST_FUNCTIONS, Registry
+from ..functions.registry import TEST_FUNCTIONS, Function, Registry, parameters
 from ..session import scratch
+from ..sources import files
+from ..streaming import stages as streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,13 +33,47 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def counting_agent(request: dict, state: dict, environments: dict, turn: int) -> dict:
+    """Test callback: answers with the number asked for and the turn."""
+    return {"response": request["n"] * 100 + turn, "state": {"last": turn}}
+
+
+def patient_user(response: int, state: dict) -> dict:
+    """Test callback: asks again until the agent has answered n % 3 + 1 times."""
+    n = response // 100
+    return {"request": {"n": n}, "terminate": len(state["turns"]) > n % 3}
+
+
+def note(event: dict, state: dict) -> dict:
+    """Test observer: how many turns there have been."""
+    return {"observation": len(state["turns"]), "artifacts": [event["schedule"]]}
+
+
 def registry() -> Registry:
     r = Registry()
     for f in TEST_FUNCTIONS:
         r.add(f)
+    for fn, params in ((counting_agent, "request variant, state variant, environments variant, turn int"), (patient_user, "response variant, state variant"), (note, "event variant, state variant")):
+        r.add(Function(f"local.{fn.__name__}", parameters(params), "variant", fn))
     return r
 
 
+@query("""
+    SELECT n_nationkey, n_nationkey % 3 + 1 <= 2 AS ok, CASE WHEN n_nationkey % 3 < 2 THEN 'completed' ELSE 'max_turns' END AS status, least(n_nationkey % 3 + 1, 2) AS n_turns,
+           n_nationkey * 100 + 1 AS first_response, least(n_nationkey % 3 + 1, 2) + 1 AS n_observed FROM nation
+""")
+def simulation_run(spark, d):
+    """Dialogues of two project functions with an observer, of two turns at most."""
+    return made(
+        spark, d,
+        """CREATE BATCH TABLE ran SELECT n_nationkey, simulators.run(input = parse_json('{"n":' || n_nationkey || '}'), user = local.patient_user, agent = local.counting_agent,
+             observers = parse_json('[{"spec_type":"simulator_observer","callback":"local.note","schedule":["after_turn","final"],"config":{}}]'), limits = simulators.limits(max_turns = 2)) AS r FROM nation;
+           CREATE BATCH TABLE made SELECT n_nationkey, CAST(r['ok'] AS BOOLEAN) AS ok, CAST(r['status'] AS STRING) AS status, array_size(r['turns']) AS n_turns,
+             CAST(r['turns'][0]['response'] AS INT) AS first_response, array_size(r['observations']) AS n_observed FROM ran;""",
+        "nation",
+    )
+
+
 def stages(spark: SparkSession, d: str, text: str, *tables: str, **settings) -> tuple[engine.Result, str]:
     """Run LOADs of the named tables and the recipe; its result and folder."""
     folder = scratch(spark, "recipe")
@@ -246,3 +284,153 @@ def plain_calls(spark, d):
            CREATE BATCH TABLE made SELECT n_nationkey, normalize_text(n_name) AS norm, m.size(k = n_nationkey) AS size FROM nation WHERE n_regionkey >= least;""",
         "nation", wrapped=False,
     )
+
+
+# --- names that pass through to Spark -------------------------------------------------------------------------------
+
+recipe_query(
+    "recipe_more_aggregates",
+    """SELECT o_orderpriority, COUNT_IF(o_orderstatus = 'F') AS n_f, BIT_AND(o_orderkey) AS b_and, BIT_XOR(o_orderkey) AS b_xor, ROUND(COVAR_POP(o_custkey, o_orderkey), 3) AS cov_p,
+              ROUND(COVAR_SAMP(o_custkey, o_orderkey), 3) AS cov_s, ROUND(MEDIAN(o_custkey), 3) AS middle, ROUND(PERCENTILE(o_custkey, 0.25), 3) AS quarter, REGR_COUNT(o_custkey, o_orderkey) AS pairs,
+              ROUND(VAR_SAMP(o_custkey), 2) AS var_s, ROUND(STDDEV_POP(o_custkey), 4) AS dev_p, EVERY(o_custkey > 0) AS every_one, SOME(o_custkey = 1) AS some_one, MIN(o_orderdate) AS first_day,
+              array_size(ARRAY_AGG(o_orderkey)) AS n_items, array_size(COLLECT_SET(o_orderstatus)) AS n_states, ANY_VALUE(o_orderpriority) AS any_p, MEAN(o_custkey) = AVG(o_custkey) AS same FROM orders GROUP BY o_orderpriority""",
+    """SELECT o_orderpriority, COUNT_IF(o_orderstatus = 'F') AS n_f, BIT_AND(o_orderkey) AS b_and, BIT_XOR(o_orderkey) AS b_xor, ROUND(COVAR_POP(o_custkey, o_orderkey), 3) AS cov_p,
+              ROUND(COVAR_SAMP(o_custkey, o_orderkey), 3) AS cov_s, ROUND(MEDIAN(o_custkey), 3) AS middle, ROUND(QUANTILE_CONT(o_custkey, 0.25), 3) AS quarter, REGR_COUNT(o_custkey, o_orderkey) AS pairs,
+              ROUND(VAR_SAMP(o_custkey), 2) AS var_s, ROUND(STDDEV_POP(o_custkey), 4) AS dev_p, BOOL_AND(o_custkey > 0) AS every_one, BOOL_OR(o_custkey = 1) AS some_one, MIN(o_orderdate) AS first_day,
+              CAST(COUNT(*) AS INTEGER) AS n_items, CAST(COUNT(DISTINCT o_orderstatus) AS INTEGER) AS n_states, o_orderpriority AS any_p, true AS same FROM orders GROUP BY o_orderpriority""",
+    tables="orders",
+)
+recipe_query(
+    "recipe_math_names",
+    """SELECT c_custkey, abs(-c_custkey) AS a, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, round(sqrt(c_custkey), 6) AS s, round(ln(c_custkey + 1), 6) AS l, round(log10(c_custkey + 1), 6) AS l10, round(power(c_nationkey, 2), 6) AS p,
+              sign(c_nationkey - 5) AS sg, round(degrees(c_nationkey), 6) AS dg, round(sin(c_custkey), 6) AS sn, round(cos(c_custkey), 6) AS cs, round(atan2(c_custkey, 7), 6) AS at, greatest(c_nationkey, 7) AS g,
+              least(c_nationkey, 7) AS ls, round(cbrt(c_custkey), 6) AS cb, round(pi(), 6) AS pi, round(exp(c_nationkey / 10.0), 6) AS e FROM customer""",
+    tables="customer",
+)
+recipe_query(
+    "recipe_string_names",
+    """SELECT c_custkey, left(c_name, 3) AS l, right(c_name, 3) AS r, rpad(c_mktsegment, 12, '.') AS rp, ltrim('  ' || c_mktsegment) AS lt, rtrim(c_mktsegment || '  ') AS rt, split_part(c_name, '#', 2) AS part,
+              char_length(c_name) AS n, concat(c_name, '-', c_mktsegment) AS both, replace(c_name, '0', 'o') AS o, upper(substring(c_mktsegment, 2, 3)) AS up, c_mktsegment LIKE 'B%' AS b, c_name RLIKE '1$' AS one,
+              coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, CASE c_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS words FROM customer""",
+    """SELECT c_custkey, left(c_name, 3) AS l, right(c_name, 3) AS r, rpad(c_mktsegment, 12, '.') AS rp, ltrim('  ' || c_mktsegment) AS lt, rtrim(c_mktsegment || '  ') AS rt, split_part(c_name, '#', 2) AS part,
+              length(c_name) AS n, concat(c_name, '-', c_mktsegment) AS both, replace(c_name, '0', 'o') AS o, upper(substring(c_mktsegment, 2, 3)) AS up, c_mktsegment LIKE 'B%' AS b, regexp_matches(c_name, '1$') AS one,
+              coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS seg, CASE c_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'many' END AS words FROM customer""",
+    tables="customer",
+)
+recipe_query(
+    "recipe_date_names",
+    """SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, quarter(ts) AS q, dayofyear(ts) AS doy, last_day(ts) AS ld, CAST(ts AS DATE) AS dt,
+              ts >= TIMESTAMP_NTZ '2024-01-15 00:00:00' AS late, datediff(CAST(ts AS DATE), DATE '2024-01-01') AS days FROM events""",
+    """SELECT event_id, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, quarter(ts) AS q, dayofyear(ts) AS doy, last_day(ts) AS ld, CAST(ts AS DATE) AS dt,
+              ts >= TIMESTAMP '2024-01-15 00:00:00' AS late, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS days FROM events""",
+    tables="events",
+)
+
+
+# --- what a run leaves behind ----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority ORDER BY n DESC, o_orderpriority LIMIT 3")
+def report_chart(spark, d):
+    """A CHART's rows: sorted and limited as its options say, the aggregation only noted."""
+    text = """CREATE BATCH TABLE counts SELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderpriority;
+              PUBLISH counts TO REPORTS WITH (COMPONENT = CHART, CHART_TYPE = 'bar', X_AXIS = 'o_orderpriority', Y_AXIS = 'n', AGGREGATION = 'sum', SORT = 'desc', LIMIT = 3);"""
+    _, folder = stages(spark, d, text, "orders")
+    (chart,) = json.loads(files.read_text(f"{folder}/reports/charts.json"))
+    return spark.createDataFrame([(r["o_orderpriority"], r["n"]) for r in chart["rows"]], "o_orderpriority string, n bigint")
+
+
+@query("SELECT n_nationkey, n_name, 'majority' AS consensus, (SELECT count(*) FROM nation) AS task_count FROM nation")
+def annotation_tasks(spark, d):
+    """Tasks that a queue gets, each with an id of its own."""
+    text = "PUBLISH nation TO ANNOTATION QUEUE 'review' AS rev WITH TEMPLATE = '<View><Text name=\"t\" value=\"$n_name\"/></View>', CONSENSUS = 'majority', REVIEWERS_PER_TASK = 3;"
+    _, folder = stages(spark, d, text, "nation")
+    request = files.read_text(f"{folder}/annotations/rev.alias")
+    manifest = json.loads(files.read_text(f"{folder}/annotations/{request}/manifest.json"))
+    tasks = spark.read.json(f"{folder}/annotations/{request}/tasks.jsonl").dropDuplicates(["task_id"])
+    return tasks.select("data.n_nationkey", "data.n_name", F.lit(manifest["consensus"]).alias("consensus"), F.lit(manifest["task_count"]).cast("bigint").alias("task_count"))
+
+
+@query("SELECT n_nationkey AS k, 'label ' || n_name AS label FROM nation WHERE n_nationkey < 10")
+def annotation_results(spark, d):
+    """Results that reviewers leave beside a request, retrieved by its alias in a second run over the same folder."""
+    folder = scratch(spark, "annotations")
+    text = f"LOAD nation FROM '{d}/nation.parquet'; PUBLISH nation TO ANNOTATION QUEUE 'review' AS rev WITH TEMPLATE = '<View/>'; RETRIEVE ANNOTATION RESULTS made FROM rev;"
+    first = engine.run(spark, text, engine.Settings(folder))
+    if first.status != "waiting":
+        raise RuntimeError(f"results before there are any: {first.status}")
+    request = files.read_text(f"{folder}/annotations/rev.alias")
+    n = spark.read.parquet(f"{d}/nation.parquet").where("n_nationkey < 10")
+    n.select(F.col("n_nationkey").alias("k"), F.concat(F.lit("label "), "n_name").alias("label")).write.parquet(f"{folder}/annotations/{request}/results.parquet")
+    again = engine.run(spark, text, engine.Settings(folder))
+    return CellFrame(spark.read.parquet(again.tables["made"])).unwrap()
+
+
+@query("SELECT name, reused FROM (VALUES ('nation', true), ('a', true), ('b', false), ('c', false)) AS t(name, reused)")
+def run_reuse(spark, d):
+    """A second run takes over the stages that are the same and clean; what an error or a change touches runs again."""
+    text = "CREATE BATCH TABLE a SELECT n_nationkey, n_name FROM nation; CREATE BATCH TABLE b SELECT CAST(n_name AS INT) AS bad FROM a; CREATE BATCH TABLE c SELECT COUNT(*) AS n FROM b;"
+    _, before = stages(spark, d, text, "nation")
+    result, _ = stages(spark, d, text, "nation", reuse_from=before)
+    return spark.createDataFrame([(n, n in result.reused) for n in result.tables], "name string, reused boolean")
+
+
+@query("SELECT event, n FROM (VALUES ('started', 3), ('completed', 2), ('failed', 1), ('blocked', 1)) AS t(event, n)")
+def run_events(spark, d):
+    """Events of a run in which one stage fails and another one waits for it in vain."""
+    folder = scratch(spark, "events")
+    text = f"LOAD nation FROM '{d}/nation.parquet'; CREATE BATCH TABLE ok SELECT n_name FROM nation; CREATE BATCH TABLE bad SELECT n_name FROM nation WHERE CAST(n_name AS INT) > 1; CREATE BATCH TABLE after SELECT n_name FROM bad;"
+    engine.run(spark, text, engine.Settings(folder))
+    kinds = [json.loads(line)["event"] for line in files.read_text(f"{folder}/events.jsonl").splitlines()]
+    return spark.createDataFrame([(k, kinds.count(k)) for k in dict.fromkeys(kinds)], "event string, n int")
+
+
+@query("SELECT 'bad' AS column_name, 'CAST_ERROR' AS code, count(*) AS n_cells, count(*) AS n_rows FROM nation")
+def run_manifest(spark, d):
+    """What a stage's manifest counts."""
+    _, folder = stages(spark, d, "CREATE BATCH TABLE made SELECT n_nationkey, CAST(n_name AS INT) AS bad FROM nation;", "nation")
+    e = json.loads(files.read_text(f"{folder}/manifests/made.json"))["errors"]
+    return spark.createDataFrame([(c, k, e["by_code"][k], e["row_count"]) for c in e["by_column"] for k in e["by_code"]], "column_name string, code string, n_cells bigint, n_rows bigint")
+
+
+@query("SELECT n_name AS line, form FROM nation, (VALUES ('text'), ('dataset'), ('csv.gz')) AS t(form)")
+def load_forms(spark, d):
+    """LOAD of a text file, of a DATASET input, and of a compressed file whose format its name tells."""
+    folder = scratch(spark, "forms")
+    n = spark.read.parquet(f"{d}/nation.parquet").select("n_name")
+    n.write.text(f"{folder}/t.txt")
+    n.withColumnRenamed("n_name", "value").write.parquet(f"{folder}/datasets/names")
+    n.withColumnRenamed("n_name", "value").coalesce(1).write.option("header", True).option("compression", "gzip").csv(f"{folder}/t.csv.gz")
+    text = f"DECLARE INPUT ds DATASET DEFAULT 'names'; LOAD a FROM '{folder}/t.txt'; LOAD b FROM ds; LOAD c FROM '{folder}/t.csv.gz';"
+    result = engine.run(spark, text, engine.Settings(f"{folder}/run", datasets=f"{folder}/datasets"))
+    if result.failed:
+        raise RuntimeError(str(result.failed))
+    out = None
+    for name, form in (("a", "text"), ("b", "dataset"), ("c", "csv.gz")):
+        one = CellFrame(spark.read.parquet(result.tables[name])).unwrap().select(F.col("value").alias("line"), F.lit(form).alias("form"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_late_rows(spark, d):
+    """Windows with a watermark in update mode: the delay covers all lateness, so no row is lost, and each window's last count stands."""
+    folder = scratch(spark, "late")
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.repartition(3, F.pmod("event_id", F.lit(3))).write.parquet(f"{folder}/in")
+    windows = streams.tumbling(streams.source(spark, f"{folder}/in", 1), "ts", "1 day", [], [F.count(F.lit(1)).alias("n")], delay="3650 days")
+    flat = windows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n")
+    return streams.drain_to_table(flat, "update", folder=folder, keys=["day"])
+
+
+
+@query("SELECT event_id, n_same FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n_same, event_type FROM events) WHERE event_type = 'click'")
+def stream_static_join(spark, d):
+    """A stream of events joined to a stored table of their users."""
+    folder = scratch(spark, "static")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    e.select("event_id", "user_id", "event_type").write.parquet(f"{folder}/in")
+    users = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_same"))
+    joined = streams.source(spark, f"{folder}/in").where("event_type = 'click'").join(users, "user_id").select("event_id", "n_same")
+    streams.drain(joined, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")

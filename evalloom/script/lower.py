@@ -6,7 +6,8 @@ Python calls become hidden columns of their own, once each, before the projectio
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -532,7 +533,15 @@ class Lowering:
         bound = f.bind(e.args, e.named)
         limit = None
         arguments: dict[str, Cell] = {}
+        kinds = {p.name: p.kind for p in f.parameters}
+        called = {n: self.context.registry.callback(".".join(a.parts)) for n, a in bound.items() if kinds[n] == "function" and isinstance(a, N.Name)}
+        if called:
+            f = replace(f, python=partial(f.python, **called, functions=self.context.registry.own()))
         for name, a in bound.items():
+            if name in called:
+                continue
+            if kinds[name] == "function":
+                raise BindError(f"{e.name}: {name} is the name of a function")
             if name in f.controls:
                 if not isinstance(a, N.Name) or a.parts[0] not in self.context.limits and a.parts[0] not in self.context.inputs:
                     raise BindError(f"{e.name}: {name} must be a declared input")

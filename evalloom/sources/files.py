@@ -78,6 +78,29 @@ def write_text(path: str, text: str) -> None:
     fs.rename(new, place)
 
 
+def copy_from(stream, path: str) -> None:
+    """A stream's bytes as a file, a block at a time; the file appears whole or not at all."""
+    found = _hadoop(path)
+    if found is None:
+        import shutil
+
+        path = local(path)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path + ".new", "wb") as f:
+            shutil.copyfileobj(stream, f)
+        os.replace(path + ".new", path)
+        return
+    fs, place = found
+    new = place.suffix(".new")
+    out = fs.create(new, True)
+    try:
+        while block := stream.read(1 << 20):
+            out.write(bytearray(block))
+    finally:
+        out.close()
+    fs.rename(new, place)
+
+
 def join_parts(folder: str, path: str) -> None:
     """The part files that executors wrote, one after another as one file; bytes only, no row passes Python."""
     found = _hadoop(path)

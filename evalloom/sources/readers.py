@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import urllib.request
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import filter_paths
 from ..script.surface import ScriptError
+from ..session import scratch
+from . import files
 
 FORMATS = ("json", "jsonl", "ndjson", "csv", "parquet", "delta", "text", "directory")
 SUFFIXES = {".jsonl": "jsonl", ".ndjson": "ndjson", ".json": "json", ".csv": "csv", ".delta": "delta", ".parquet": "parquet", ".txt": "text"}
@@ -44,15 +47,32 @@ def infer_format(path: str, given: str | None = None) -> str:
     return "parquet"
 
 
+#: Seconds for a remote source to answer.
+URL_TIMEOUT = 60.0
+
+
+def fetch(spark: SparkSession, url: str, form: str) -> str:
+    """A remote file copied once into the shared folder, from where the executors read it; the copy's path."""
+    gz = ".gz" if url.split("?")[0].endswith(".gz") else ""
+    place = f"{scratch(spark, 'url')}/source.{form}{gz}"
+    try:
+        with urllib.request.urlopen(url, timeout=URL_TIMEOUT) as stream:
+            files.copy_from(stream, place)
+    except (OSError, ValueError) as e:
+        raise ScriptError(f"{url} can't be read: {e}") from e
+    return place
+
+
 def read(spark: SparkSession, path: str, options: dict[str, Any] | None = None, datasets: str | None = None) -> DataFrame:
-    """A lazily read source. Dataset ids are folders below `datasets`; URLs need a network and are refused."""
+    """A lazily read source. Dataset ids are folders below `datasets`; files behind URLs are copied to the shared folder first."""
     options = options or {}
     kind = classify(path)
     if kind == "url":
-        raise ScriptError(f"{path}: remote sources need a network; copy the file first")
+        form = infer_format(path.split("?")[0], options.get("FORMAT"))
+        return read(spark, fetch(spark, path, form), {**options, "FORMAT": form})
     if kind == "dataset":
         name = path.removeprefix("dataset://")
-        if datasets is None or not os.path.exists(f"{datasets}/{name}"):
+        if datasets is None or not files.exists(f"{datasets}/{name}"):
             raise ScriptError(f"dataset {name} is not here")
         path = f"{datasets}/{name}"
     form = infer_format(path, options.get("FORMAT"))

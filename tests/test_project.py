@@ -196,3 +196,75 @@ def test_objects_are_read_whole_or_not_at_all(tmp_path):
     assert native.read_json([made], "a/b.json") == '{"a":[2],"b":1}' and made["parent_path"] == "a" and native.write_json("a/b.json", '{"a":[2],"b":1}', root=str(tmp_path))[0] == made
     with pytest.raises(ValueError):
         native.write_text("../x", "y", root=str(tmp_path))
+
+
+def test_simulations():
+    from evalloom.functions import simulation
+
+    agent = lambda request: {"response": f"re {request}"}
+    more = lambda response, state, env, turn: {"request": "again", "terminate": turn == 3, "state": {"k": turn}}
+    done = simulation.run("hi", more, agent)
+    assert (done["ok"], done["status"], len(done["turns"]), done["final_output"]) == (True, "completed", 3, "again") and done["turns"][1]["request"] == "again"
+    assert simulation.run("hi", lambda r: {"request": "x"}, agent)["turns"][0]["terminate"] is True
+    out = simulation.run("hi", lambda r: {"request": "x", "terminate": False}, agent, limits={"max_turns": 2})
+    assert (out["status"], out["error"]["code"], out["final_output"]) == ("max_turns", "max_turns", "re x")
+
+    def breaks(request):
+        raise KeyError("gone")
+
+    bad = simulation.run("hi", more, breaks)
+    assert (bad["ok"], bad["status"], bad["turns"][0]["error"]["code"]) == (False, "failed", "KeyError")
+    assert simulation.run("hi", more, lambda r: {"no": 1})["status"] == "failed"
+
+    async def slow(request):
+        import asyncio
+
+        await asyncio.sleep(5)
+
+    assert simulation.run("hi", more, slow, limits='{"timeout_seconds": 0.05}')["status"] == "timeout"
+    with pytest.raises(ValueError, match="unknown functions"):
+        simulation.run("hi", more, agent, observers=[{"callback": "x", "schedule": ["final"]}])
+
+
+@pytest.mark.parametrize("argument, says", [("local.nope", "unknown function"), ("'text'", "name of a function"), ("http.get", "needs a network")])
+def test_function_arguments_are_checked(argument, says):
+    from evalloom.engine import run as engine
+    from evalloom.queries.stored import registry
+
+    text = f"LOAD t FROM 'x.csv'; CREATE BATCH TABLE a SELECT simulators.run(input = x, user = local.patient_user, agent = {argument}) AS r FROM t"
+    with pytest.raises((ScriptError, R.BindError), match=says):
+        engine.validate(text, registry())
+
+
+def test_reports_of_many_rows_are_written_by_executors(spark, tmp_path, monkeypatch):
+    from evalloom.cells.frame import CellFrame
+
+    monkeypatch.setattr(reports, "MAX_REPORT_ROWS", 5)
+    df = CellFrame.wrap(spark.range(8).selectExpr("CONCAT('m', id) AS metric", "CAST(id AS DOUBLE) AS value")).df
+    reports.publish_report(df, "t", {"COMPONENT": "METRIC"}, str(tmp_path))
+    (found,) = json.loads((tmp_path / "metrics.json").read_text())
+    assert spark.read.json(found["rows_at"]).count() == 8 and "rows in" in reports.render(str(tmp_path))
+    reports.publish_report(df.limit(2), "u", {"COMPONENT": "METRIC"}, str(tmp_path))
+    assert len(json.loads((tmp_path / "metrics.json").read_text())) == 3
+
+
+def test_sources_behind_urls(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "x.csv").write_text("a,b\n1,x\n2,y\n")
+
+    class Quiet(http.server.SimpleHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}/x.csv"
+        assert sorted(tuple(r) for r in readers.read(spark, url).collect()) == [(1, "x"), (2, "y")]
+        with pytest.raises(ScriptError, match="can't be read"):
+            readers.read(spark, url.replace("x.csv", "gone.csv"))
+    finally:
+        server.shutdown()
