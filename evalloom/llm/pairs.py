@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # --- fixed values: phrases and words by language ---------------------------------------------------------------
 
 #: What refusals say, in small letters; first person or policy, so that reports of others' refusals don't match.
@@ -354,6 +356,8 @@ FOUND = "source_table string, sample_id string, passage_id string, defect string
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        # Redelivered pairs stand together after the join; those that don't are one row of the result all the same.
+        batch = batch.drop_duplicates()
         defects = [
             answer_defect(q, a) if t == "garage_fixture" else response_defect(q, a) for t, q, a in zip(batch.source_table, batch.question, batch.answer)
         ]
@@ -370,6 +374,7 @@ def defective_pairs(fixture: DataFrame, small: DataFrame, large: DataFrame) -> D
     )
     lesser = small.select(F.lit("small_responses").alias("source_table"), "sample_id", F.coalesce("passage_id", F.lit("")).alias("passage_id"), F.col("small_response").alias("answer"))
     greater = large.select(F.lit("large_responses").alias("source_table"), "sample_id", F.lit("").alias("passage_id"), F.col("large_response").alias("answer"))
-    replies = lesser.unionAll(greater).distinct().join(questions, "sample_id")
+    # The answers are shuffled once, to their questions; that rows count once is left to the small result.
+    replies = lesser.unionAll(greater).join(questions, "sample_id")
     columns = ["source_table", "sample_id", "passage_id", "question", "answer"]
-    return own.distinct().select(columns).unionAll(replies.select(columns)).mapInPandas(_judge, FOUND).distinct()
+    return spread(own).select(columns).unionAll(replies.select(columns)).mapInPandas(_judge, FOUND).distinct()
