@@ -220,6 +220,23 @@ def file_schemas(sidecars: DataFrame) -> DataFrame:
 _CANDIDATE = "array<struct<pair:string,old_path:array<string>,new_path:array<string>>>"
 
 
+def _paths(tree, at: tuple = ()) -> Iterator[tuple[tuple, str]]:
+    for k, v in (_children(tree) or {}).items():
+        yield (*at, k), json.dumps(v, sort_keys=True)
+        yield from _paths(v, (*at, k))
+
+
+def move_candidates(old: dict, new: dict) -> list[tuple[tuple, tuple]]:
+    """(old path, new path) of the fields that may have gone from one parent to another."""
+    a, b = dict(_paths(old)), dict(_paths(new))
+    gone = [("removed", p, (), kind) for p, kind in a.items() if p not in b]
+    return moves(gone + [("added", (), p, kind) for p, kind in b.items() if p not in a])
+
+
+def _move_key(a: tuple, b: tuple) -> str:
+    return json.dumps(["move", list(a), list(b)])
+
+
 def _candidates(prev: pd.Series, tree: pd.Series) -> pd.Series:
     out = []
     for p, t in zip(prev, tree):
@@ -227,6 +244,8 @@ def _candidates(prev: pd.Series, tree: pd.Series) -> pd.Series:
         if p is not None and t is not None and p != t:
             for at, g, c in rename_candidates(json.loads(p), json.loads(t)):
                 rows.append({"pair": json.dumps([list(at), g, c]), "old_path": [*at, g], "new_path": [*at, c]})
+            for a, b in move_candidates(json.loads(p), json.loads(t)):
+                rows.append({"pair": _move_key(a, b), "old_path": list(a), "new_path": list(b)})
         out.append(rows)
     return pd.Series(out, dtype="object")
 
@@ -302,15 +321,25 @@ def _scripts(prev: pd.Series, tree: pd.Series, support: pd.Series) -> pd.Series:
         old, new = json.loads(p), json.loads(t)
         # A pair without any comparable record has nothing against it.
         known = {(at, g, c): (0, 0) for at, g, c in rename_candidates(old, new)}
+        agreed = set()
         for r in rows if rows is not None else []:
             at, g, c = json.loads(r["pair"])
-            known[tuple(at), g, c] = (r["n_both"], r["n_differ"])
-        out.append([{"change_kind": k, "old_path": list(a), "new_path": list(b)} for k, a, b in edit_script(old, new, known)[1]])
+            if at == "move":
+                agreed |= {(tuple(g), tuple(c))} if r["n_both"] and not r["n_differ"] else set()
+            else:
+                known[tuple(at), g, c] = (r["n_both"], r["n_differ"])
+        script = edit_script(old, new, known)[1]
+        # Unlike a renamed field, a moved one needs records that show it: names recur below many parents.
+        script = script + [("moved", a, b) for a, b in moves(_with_types(old, new, script)) if (a, b) in agreed]
+        out.append([{"change_kind": k, "old_path": list(a), "new_path": list(b)} for k, a, b in script])
     return pd.Series(out, dtype="object")
 
 
 def drift_scripts(sidecars: DataFrame, records: DataFrame) -> DataFrame:
-    """(stage_table, file_no, prev_tree, tree, script) for every file, the script against the file before."""
+    """(stage_table, file_no, tree, script) for every file, the script against the file before.
+
+    A move is in the script twice: as the removal and the addition that it is between two structs, and as `moved`.
+    """
     files = file_schemas(sidecars)
     support = (
         rename_support(files, records)
@@ -319,7 +348,7 @@ def drift_scripts(sidecars: DataFrame, records: DataFrame) -> DataFrame:
     )
     make = F.pandas_udf(_scripts, _SCRIPT)
     return files.join(support, ["stage_table", "file_no"], "left").select(
-        "stage_table", "file_no", "prev_tree", "tree", make("prev_tree", "tree", "support").alias("script")
+        "stage_table", "file_no", "tree", make("prev_tree", "tree", "support").alias("script")
     )
 
 
@@ -329,6 +358,7 @@ def field_changes(sidecars: DataFrame, records: DataFrame) -> DataFrame:
     return (
         drift_scripts(sidecars, records)
         .select("stage_table", "file_no", F.explode("script").alias("s"))
+        .where(F.col("s.change_kind") != "moved")
         .select("stage_table", "file_no", "s.change_kind", dotted("s.old_path").alias("old_field"), dotted("s.new_path").alias("new_field"))
         .distinct()
     )
@@ -362,25 +392,15 @@ def _with_types(prev, tree, script) -> list[tuple]:
     return [(k, tuple(a), tuple(b), _type_at(prev, a) if k == "removed" else _type_at(tree, b) if k == "added" else "") for k, a, b in script]
 
 
-_CHANGES = "array<struct<change_kind:string,old_field:string,new_field:string>>"
-
-
-def _moved(prev: pd.Series, tree: pd.Series, script: pd.Series) -> pd.Series:
-    out = []
-    for p, t, rows in zip(prev, tree, script):
-        steps = [(r["change_kind"], list(r["old_path"]), list(r["new_path"])) for r in rows] if rows is not None else []
-        found = moves(_with_types(json.loads(p), json.loads(t), steps)) if p is not None and steps else []
-        done = {a for a, _ in found} | {b for _, b in found}
-        kept = [{"change_kind": k, "old_field": ".".join(a), "new_field": ".".join(b)} for k, a, b in steps if not (k == "removed" and tuple(a) in done or k == "added" and tuple(b) in done)]
-        out.append(kept + [{"change_kind": "moved", "old_field": ".".join(a), "new_field": ".".join(b)} for a, b in found])
-    return pd.Series(out, dtype="object")
-
-
 def changes_with_moves(sidecars: DataFrame, records: DataFrame) -> DataFrame:
-    """field_changes(), but a removal and an addition of the same field below different parents as one `moved`."""
-    scripts = drift_scripts(sidecars, records)
-    each = F.explode(F.pandas_udf(_moved, _CHANGES)("prev_tree", "tree", "script")).alias("c")
-    return scripts.select("stage_table", "file_no", each).select("stage_table", "file_no", "c.*").distinct()
+    """field_changes(), but the removal and the addition of a moved field as one `moved`."""
+    moved = F.filter("script", lambda s: s["change_kind"] == "moved")
+    gone, came = F.transform(moved, lambda s: s["old_path"]), F.transform(moved, lambda s: s["new_path"])
+    part = lambda s: (s["change_kind"] == "removed") & F.array_contains(gone, s["old_path"]) | (s["change_kind"] == "added") & F.array_contains(came, s["new_path"])
+    each = F.explode(F.filter("script", lambda s: ~part(s))).alias("s")
+    dotted = lambda c: F.array_join(c, ".")
+    rows = drift_scripts(sidecars, records).select("stage_table", "file_no", each)
+    return rows.select("stage_table", "file_no", "s.change_kind", dotted("s.old_path").alias("old_field"), dotted("s.new_path").alias("new_field")).distinct()
 
 
 # --- one consistent table ---------------------------------------------------------------------------------
@@ -433,10 +453,9 @@ def compile_projections(files: list[tuple[int, dict, list[tuple]]]) -> dict[int,
     lives: list[dict] = []
     alive: dict[tuple, dict] = {}
     held: dict[int, dict[int, list[str]]] = {}
-    before: dict = {}
     for no, tree, script in files:
         renames = {tuple(a): tuple(b) for k, a, b in script if k == "renamed"}
-        moved = dict(moves(_with_types(before, tree, script)))
+        moved = {tuple(a): tuple(b) for k, a, b in script if k == "moved"}
         bare = lambda path: tuple(p for p in path if p is not ELEMENT)
         now = {_renamed(path, renames): life for path, life in alive.items()}
         # A moved field takes its column along, unless it goes into or out of a list, whose elements have their own columns.
@@ -445,7 +464,6 @@ def compile_projections(files: list[tuple[int, dict, list[tuple]]]) -> dict[int,
             target = next((b + bare(path)[len(a) :] for a, b in moved.items() if bare(path)[: len(a)] == a), None)
             if target in places and life["within"] is None:
                 now[places[target]] = life
-        before = tree
         alive, held[no] = {}, {}
         for path, kind, within in _leaves(tree):
             around = alive[within] if within else None

@@ -290,12 +290,16 @@ def test_moved_fields_keep_their_column_and_unreadable_sidecars_take_their_neigh
         [(i, "t", no, "batch", "p", None, s, None, dt.datetime(2026, 1, no)) for i, (no, s) in enumerate(schemas.items())],
         "sidecar_id bigint, stage_table string, file_no int, stage_kind string, table_path string, wrapped_schema string, value_schema string, description string, written_at timestamp_ntz",
     )
-    docs = [(1, 1, '{"a": {"x": "one", "z": 1}, "b": {"w": 2}}'), (2, 2, '{"a": {"z": 3}, "b": {"w": 4, "x": "two"}}'), (3, 3, '{"a": {"z": 5}, "b": {"w": 6, "x": "three"}}')]
+    docs = [(1, 1, '{"a": {"x": "one", "z": 1}, "b": {"w": 2}}'), (2, 2, '{"a": {"z": 3}, "b": {"w": 4, "x": "one"}}'), (3, 3, '{"a": {"z": 5}, "b": {"w": 6, "x": "three"}}')]
     records = spark.createDataFrame([(i, "t", no, 1, "c", r) for i, no, r in docs], "record_id bigint, stage_table string, file_no int, line_no int, case_id string, record_json string")
     changes = {tuple(r) for r in schema_drift.changes_with_moves(sidecars, records).select("file_no", "change_kind", "old_field", "new_field").collect()}
     assert changes == {(2, "moved", "a.x", "b.x")}
     out = {r.record_id: json.loads(r.record) for r in schema_drift.consistent_table(sidecars, records).collect()}
-    assert [out[i]["b.x"] for i in (1, 2, 3)] == ["one", "two", "three"] and all(len(o) == 3 for o in out.values())
+    assert [out[i]["b.x"] for i in (1, 2, 3)] == ["one", "one", "three"] and all(len(o) == 3 for o in out.values())
+    # Where a record of both files has another value, it is no move.
+    other = records.withColumn("record_json", F.regexp_replace("record_json", '"b": ."w": 4, "x": "one"', '"b": {"w": 4, "x": "two"'))
+    changes = {tuple(r) for r in schema_drift.changes_with_moves(sidecars, other).select("file_no", "change_kind", "old_field", "new_field").collect()}
+    assert changes == {(2, "removed", "a.x", ""), (2, "added", "", "b.x")}
 
 
 def test_headers_with_bars_load_and_salted_headers_agree(spark, monkeypatch):
